@@ -6,8 +6,6 @@ round ends in a table in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +13,8 @@ from .scratch import drop, materialize
 
 #: A table of at most so many narrow rows (two or three numbers) may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Buckets are compared pair by pair where they hold so many pairs per member, on the whole, or fewer.
+PAIRS_PER_MEMBER = 16
 
 
 def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -52,49 +52,87 @@ def connected_components(links: DataFrame) -> DataFrame:
     return nodes.select(F.col("node").cast(kind), F.col("component").cast(kind))
 
 
-def linked_components(
-    members: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    percent: int,
-    pairs_per_node: int = 4,
-) -> DataFrame:
-    """Components of the verified links between nodes that share a bucket: ``(node, component)``.
-
-    ``members``: a written table ``(bucket, node, weight)`` of buckets with two
-    nodes or more, where links need ``100 * min(weight) >= percent * max(weight)``.
-    ``verify`` keeps the true links of a table of pairs ``(a, b)``.
-
-    First each bucket gives a star: its smallest node against all others.  What
-    the verified stars connect needs no further pair.  Buckets that still hold
-    several components lose their hub, whose pairs are done, and give a star
-    again, until the pairs left are few against the nodes; those are then
-    compared one by one.  So no link is lost, and a large bucket of copies
-    costs a star, not the square of its size.
+def linked_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Components of the links between nodes that share a bucket: ``(node, component)``.
+
+    ``members``: a written table ``(bucket, node)`` of buckets with two nodes or
+    more; ``sets``: ``(node, shingles)``, the distinct hashes of each of these
+    nodes.  A link needs ``100 * intersection >= percent * union``.
+
+    Each bucket gives a star around its most central node, its hub; the hub is
+    compared with all others on full sets.  What verified stars connect needs no
+    further pair.  For two other nodes x and y of a star, with e the hub's
+    shingles that a node lacks and n its novel ones, the hub lacking them:
+
+    * without a common novel shingle, their similarity is at most
+      ``(hub - max(e)) / (hub - min(e) + n_x + n_y)``; the few pairs that reach
+      the threshold by this bound are compared on full sets;
+    * otherwise they have as many novel shingles in common as the threshold
+      leaves open, and so one among the first few by hash.  Those shingles are
+      the next buckets.  Where these hold few pairs for their members, the pairs
+      are compared on full sets; else they give stars again.
+
+    So no link within a bucket is lost, and a large group of copies costs stars,
+    not the square of its size.
     """
-    fits = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    nodes = members.select("node").distinct().count()
-    left, parts = members, None
+    enough = lambda common, union: common * 100 >= union * percent
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        both = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
+        return both.where(enough(F.col("common"), F.col("total") - F.col("common"))).select("a", "b")
+
+    parts, owned = None, False
     while True:
-        hubs = left.groupBy("bucket").agg(F.min(F.struct("node", "weight")).alias("hub"))
-        star = left.join(hubs, "bucket").where(F.col("node") != F.col("hub.node")).where(fits(F.col("weight"), F.col("hub.weight")))
-        if parts is not None:
-            star = star.join(hubs.select("bucket", F.col("hub.node").alias("at")).join(left.select("bucket", F.col("node").alias("at"), F.col("part").alias("hub_part")), ["bucket", "at"]), "bucket").where("part <> hub_part")
-        found = verify(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
-        if parts is not None:
-            found = found.union(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"))
-        parts = materialize(connected_components(found))
-        rest = left.select("bucket", "node", "weight").join(hubs, "bucket").where(F.col("node") != F.col("hub.node")).select("bucket", "node", "weight")
-        rest = rest.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-        several = rest.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-        left = materialize(rest.join(several, "bucket", "left_semi"))
-        sizes = left.groupBy("bucket", "part").agg(F.count("*").cast("double").alias("n"))
-        pairs = sizes.groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
-        if not pairs:
+        sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+        ranked = members.join(sizes, "bucket")
+        degree = ranked.groupBy("node").agg(F.sum("n").alias("degree"))
+        hubs = members.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("hub"))
+        star = members.join(hubs, "bucket").where("node <> hub").select("hub", "node").distinct()
+        star = star.join(sets.select("node", F.col("shingles").alias("x")), "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("h")), "hub")
+        star = materialize(star.select("hub", "node", F.size("h").alias("nh"), F.size("x").alias("nx"), F.array_except("x", "h").alias("novel")))
+        star = star.withColumn("n", F.size("novel")).withColumn("e", F.col("nh") - F.col("nx") + F.col("n"))
+
+        found = star.where(enough(F.col("nx") - F.col("n"), F.col("nh") + F.col("n"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        parts = materialize(connected_components(_with(found, parts)))
+        if owned:
+            drop(members)
+        at = parts.select("node", F.col("component").alias("part"))
+        rest = star.join(at, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        mixed = rest.groupBy("hub").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("hub")
+        rest = materialize(rest.join(mixed, "hub", "left_semi").select("hub", "node", "nh", "nx", "n", "e", "part", "novel"))
+
+        side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "nx", "n", "e", "part")]
+        x, y = rest.select("hub", "nh", *side("x")), rest.select("hub", *side("y"))
+        union = F.col("nh") - F.least("e_x", "e_y") + F.col("n_x") + F.col("n_y")
+        pairs = x.join(y, "hub").where("node_x < node_y and part_x <> part_y").where(enough(F.least("nx_x", "nx_y"), F.greatest("nx_x", "nx_y")))
+        pairs = pairs.where(enough(F.col("nh") - F.greatest("e_x", "e_y"), union)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+        more = materialize(confirmed(pairs))
+        if not more.isEmpty():
+            parts = materialize(connected_components(_with(more, parts)))
+            at = parts.select("node", F.col("component").alias("part"))
+            rest = rest.drop("part").join(at, "node", "left").withColumn("part", F.coalesce("part", "node"))
+
+        # links need `least` common novel shingles or more, so the first n - least + 1 of each, by hash, share one
+        least = F.greatest(F.lit(1), F.ceil(F.col("nx") * percent / F.lit(100)).cast("int") - (F.col("nx") - F.col("n")))
+        prefix = F.slice(F.array_sort("novel"), F.lit(1), F.greatest(F.lit(0), F.col("n") - least + 1))
+        shared = rest.select("hub", "node", "nx", "part", F.explode(prefix).alias("s")).select(F.xxhash64("hub", "s").alias("bucket"), "node", "nx", "part")
+        split = shared.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
+        members, owned = materialize(shared.join(split, "bucket", "left_semi")), True
+        total = members.groupBy("bucket").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.sum("count")).first()
+        for used in (star, rest, more):
+            drop(used)
+        if not total[1]:
             return parts
-        if pairs <= pairs_per_node * nodes:
+        if total[0] <= PAIRS_PER_MEMBER * total[1]:
             break
-    x = left.select("bucket", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("part").alias("pa"))
-    y = left.select("bucket", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("part").alias("pb"))
-    last = x.join(y, "bucket").where("a < b and pa <> pb").where(fits(F.col("wa"), F.col("wb"))).select("a", "b").distinct()
-    stars = parts.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b")
-    return materialize(connected_components(stars.union(verify(last))))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "nx", "part")]
+    pairs = members.select("bucket", *side("x")).join(members.select("bucket", *side("y")), "bucket").where("node_x < node_y and part_x <> part_y")
+    pairs = pairs.where(enough(F.least("nx_x", "nx_y"), F.greatest("nx_x", "nx_y"))).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    more = materialize(confirmed(pairs))
+    return parts if more.isEmpty() else materialize(connected_components(_with(more, parts)))
+
+
+def _with(links: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Links and the stars of the components so far."""
+    return links if parts is None else links.union(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"))

@@ -80,7 +80,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = materialize(usable.groupBy(*same).agg(F.min("doc_id").alias("node")))
 
     firsts = usable.join(classes.select("node").withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    members = firsts.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("weight"))
+    members = firsts.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"))
     shared = materialize(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
     members = materialize(members.join(broadcast_if_small(shared), "bucket", "left_semi"))
 
@@ -88,13 +88,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     sets = docs.join(broadcast_if_small(needed), "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles array<long>")
     sets = materialize(sets.dropDuplicates(["node"]))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        both = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("common"))
-        return both.where(F.col("common") * 100 >= (F.col("nx") + F.col("ny") - F.col("common")) * percent).select("a", "b")
-
-    parts = linked_components(members, verify, percent)
+    parts = linked_components(members, sets, percent)
     for used in (shared, members, needed, sets):
         drop(used)
     named = classes.join(parts, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
