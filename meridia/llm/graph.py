@@ -61,11 +61,12 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int) -> Data
 
     Each bucket gives a star around its most central node, its hub; the hub is
     compared with all others on full sets.  What verified stars connect needs no
-    further pair.  For two other nodes x and y of a star, with e the hub's
-    shingles that a node lacks and n its novel ones, the hub lacking them:
+    further pair.  For two other nodes x and y of a star, let its core be what most
+    of its nodes have, e the core's shingles that a node lacks and n its novel
+    ones, which the core lacks:
 
     * without a common novel shingle, their similarity is at most
-      ``(hub - max(e)) / (hub - min(e) + n_x + n_y)``; the few pairs that reach
+      ``(core - max(e)) / (core - min(e) + n_x + n_y)``; the few pairs that reach
       the threshold by this bound are compared on full sets;
     * otherwise they have as many novel shingles in common as the threshold
       leaves open, and so one among the first few by hash.  Those shingles are
@@ -90,17 +91,24 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int) -> Data
         hubs = members.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("hub"))
         star = members.join(hubs, "bucket").where("node <> hub").select("hub", "node").distinct()
         star = star.join(sets.select("node", F.col("shingles").alias("x")), "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("h")), "hub")
-        star = materialize(star.select("hub", "node", F.size("h").alias("nh"), F.size("x").alias("nx"), F.array_except("x", "h").alias("novel")))
-        star = star.withColumn("n", F.size("novel")).withColumn("e", F.col("nh") - F.col("nx") + F.col("n"))
+        star = materialize(star.select("hub", "node", F.size("h").alias("nh"), F.size("x").alias("nx"), F.size(F.array_intersect("x", "h")).alias("common")))
 
-        found = star.where(enough(F.col("nx") - F.col("n"), F.col("nh") + F.col("n"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        found = star.where(enough(F.col("common"), F.col("nh") + F.col("nx") - F.col("common"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
         parts = materialize(connected_components(_with(found, parts)))
         if owned:
             drop(members)
         at = parts.select("node", F.col("component").alias("part"))
         rest = star.join(at, "node", "left").withColumn("part", F.coalesce("part", "node"))
         mixed = rest.groupBy("hub").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("hub")
-        rest = materialize(rest.join(mixed, "hub", "left_semi").select("hub", "node", "nh", "nx", "n", "e", "part", "novel"))
+        rest = materialize(rest.join(mixed, "hub", "left_semi").select("hub", "node", "nx", "part"))
+        # the group's core: what most of its nodes have
+        held = rest.select("hub", "node").join(sets.select("node", F.col("shingles").alias("x")), "node")
+        votes = held.select("hub", F.explode("x").alias("s")).groupBy("hub", "s").agg(F.count("*").alias("votes"))
+        votes = votes.join(rest.groupBy("hub").agg(F.count("*").alias("of")), "hub").where("2 * votes > of")
+        core = votes.groupBy("hub").agg(F.collect_list("s").alias("core"))
+        rest = rest.join(held.select("hub", "node", "x"), ["hub", "node"]).join(core, "hub", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
+        rest = rest.select("hub", "node", "part", "nx", F.size("core").alias("nh"), F.array_except("x", "core").alias("novel"))
+        rest = materialize(rest.withColumn("n", F.size("novel")).withColumn("e", F.col("nh") - F.col("nx") + F.col("n")))
 
         side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "nx", "n", "e", "part")]
         x, y = rest.select("hub", "nh", *side("x")), rest.select("hub", *side("y"))
