@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, materialize
+from .scratch import materialize
 
 GRAM = 5
 #: Fingerprints of the benchmark are broadcast up to this many, else both sides are shuffled.
@@ -75,13 +75,14 @@ def contaminated_words(docs: DataFrame, items: DataFrame, window: int = 10) -> D
     """
     if window < GRAM:
         raise ValueError(f"a window has at least {GRAM} words")
-    docs = docs.select("doc_id", word_hashes(F.col("text")).alias("hashes"))
+    docs = docs.select("doc_id", "text")
     bench = materialize(items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), word_hashes(F.col("text")).alias("hashes")).where("size(hashes) > 0"))
     short = sorted(r[0] for r in bench.select(F.size("hashes").alias("m")).where(F.col("m") < window).distinct().collect())
+    # explode_outer: for explode() Spark infers a filter on the array and pushes it down with all of its expression inlined
     # an item's words around each fingerprint: of a short item all, else `window - GRAM` to either side
     reach = window - GRAM
     around = F.transform(F.sequence(F.lit(-reach), F.lit(window - 1)), lambda d: F.get(F.col("hashes"), F.col("p.at") + d))
-    long_items = _fingerprints(bench.where(F.size("hashes") >= window), window, []).select("item_id", "hashes", F.explode("prints").alias("p"))
+    long_items = _fingerprints(bench.where(F.size("hashes") >= window), window, []).select("item_id", "hashes", F.explode_outer("prints").alias("p")).where("p.gram is not null")
     long_items = long_items.select("item_id", F.col("p.size").alias("size"), F.col("p.gram").alias("gram"), around.alias("theirs"))
     table = long_items
     for m in short:
@@ -89,30 +90,31 @@ def contaminated_words(docs: DataFrame, items: DataFrame, window: int = 10) -> D
         table = table.union(own)
     table = materialize(table.distinct())
 
-    prints = _fingerprints(docs.select("doc_id", "hashes"), window, short)
+    # first pass: the fingerprints that the benchmark has too; a last entry of each document holds its number of words
+    words = F.array(F.struct(F.lit(-1).alias("size"), F.size("hashes").alias("at"), F.lit(None).cast("long").alias("gram")))
+    prints = _fingerprints(docs.select("doc_id", word_hashes(F.col("text")).alias("hashes")), window, short)
+    prints = prints.select("doc_id", F.explode_outer(F.concat("prints", words)).alias("p")).select("doc_id", F.col("p.size").alias("size"), F.col("p.at").alias("at"), F.col("p.gram").alias("gram"))
+    keys = table.select("size", "gram").distinct().withColumn("known", F.lit(True))
     if table.limit(BROADCAST_FINGERPRINTS + 1).count() <= BROADCAST_FINGERPRINTS:
-        # one pass: a last entry without a gram keeps documents that match nothing
-        nothing = F.array(F.struct(F.lit(None).cast("int").alias("size"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("long").alias("gram")))
-        rows = prints.select("doc_id", "hashes", F.explode(F.concat("prints", nothing)).alias("p"))
-        rows = rows.select("doc_id", "hashes", F.col("p.size").alias("size"), F.col("p.at").alias("at"), F.col("p.gram").alias("gram"))
-        rows = rows.join(F.broadcast(table), ["size", "gram"], "left").where("item_id is not null or gram is null")
-    else:
-        # documents' words stay at home: narrow rows are joined, and what they meet goes back by doc_id
-        narrow = prints.select("doc_id", F.explode("prints").alias("p")).select("doc_id", F.col("p.size").alias("size"), F.col("p.at").alias("at"), F.col("p.gram").alias("gram"))
-        met = narrow.join(table, ["size", "gram"]).select(F.col("doc_id").alias("met_id"), "size", "at", "item_id", "theirs")
-        rows = docs.join(met, F.col("doc_id").eqNullSafe(F.col("met_id")), "left")
-
-    hashes, at, theirs = F.col("hashes"), F.col("at"), F.col("theirs")
-    ours = F.transform(F.sequence(F.lit(-reach), F.lit(window - 1)), lambda d: F.get(hashes, at + d))
-    same = F.zip_with(ours, theirs, lambda x, y: F.coalesce(x == y, F.lit(False)))
+        keys, table = F.broadcast(keys), F.broadcast(table)
+    met = materialize(prints.join(keys, ["size", "gram"], "left").where("known or size = -1").drop("known"))
+
+    # second pass: words around these fingerprints, compared with the item's
+    lists = met.where("size >= 0").groupBy(F.col("doc_id").alias("met_id")).agg(F.collect_set(F.struct("size", "at", "gram")).alias("met"))
+    rows = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("met_id"))).select("doc_id", word_hashes(F.col("text")).alias("hashes"), "met")
+    around = lambda m: F.transform(F.sequence(F.lit(-reach), F.lit(window - 1)), lambda d: F.get(F.col("hashes"), m["at"] + d))
+    rows = rows.select("doc_id", F.explode_outer(F.transform("met", lambda m: F.struct(m["size"].alias("size"), m["at"].alias("at"), m["gram"].alias("gram"), around(m).alias("ours")))).alias("m"))
+    rows = rows.select("doc_id", "m.*").join(table, ["size", "gram"])
+    at, size = F.col("at"), F.col("size")
+    equal = lambda x, y: F.coalesce(x == y, F.lit(False))
+    rows = rows.withColumn("same", F.when(size == 0, F.zip_with("ours", "theirs", equal)).otherwise(F.zip_with(F.slice("ours", F.lit(reach + 1), F.greatest(size, F.lit(1))), "theirs", equal)))
     # the fingerprint is at offset s of a window that begins s words before it
-    begins = F.filter(F.sequence(F.lit(0), F.lit(reach)), lambda s: F.forall(F.slice(same, F.lit(reach + 1) - s, F.lit(window)), lambda x: x))
+    begins = F.filter(F.sequence(F.lit(0), F.lit(reach)), lambda s: F.forall(F.slice("same", F.lit(reach + 1) - s, F.lit(window)), lambda x: x))
     inside = F.array_distinct(F.flatten(F.transform(begins, lambda s: F.sequence(at - s, at - s + (window - 1)))))
-    whole = F.forall(F.zip_with(F.slice(hashes, at + 1, F.size(theirs)), theirs, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x)
-    few = F.when(whole, F.sequence(at, at + F.size(theirs) - 1)).otherwise(F.array().cast("array<int>"))
-    rows = rows.select("doc_id", F.size(hashes).alias("n_words"), "item_id", F.when(F.col("item_id").isNull(), F.lit(None)).when(F.col("size") == 0, inside).otherwise(few).alias("words"))
-    rows = rows.where("item_id is null or size(words) > 0")
-    words = rows.select("doc_id", "n_words", "item_id", F.explode_outer("words").alias("word"))
-    out = words.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set("word").alias("hits"), F.collect_set("item_id").alias("item_ids"))
-    drop(bench)
-    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.array_sort("hits").alias("hits"), F.array_sort("item_ids").alias("item_ids"))
+    whole = F.when(F.forall("same", lambda x: x), F.sequence(at, at + size - 1))
+    rows = rows.select("doc_id", "item_id", F.explode(F.when(size == 0, inside).otherwise(whole)).alias("word"))
+    hits = rows.groupBy(F.col("doc_id").alias("hit_id")).agg(F.array_sort(F.collect_set("word")).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+
+    every = met.where("size = -1").groupBy("doc_id").agg(F.max("at").cast("long").alias("n_words"))
+    out = every.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    return out.select("doc_id", "n_words", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
