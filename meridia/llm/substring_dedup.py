@@ -27,7 +27,7 @@ from .scratch import drop, materialize, release_shuffles
 
 ANCHOR_WORDS = 20
 #: A prefix group of more suffix runs than this is split by the longest prefix.
-GROUP_RUNS = 4096
+GROUP_RUNS = 32_768
 #: Runs sorted together; whole groups only.
 CHUNK_RUNS = 4096
 #: A list of positions or spans is broadcast up to this many in all.
