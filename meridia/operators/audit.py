@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.time import micros
+
 
 def twins(items: DataFrame, id: str, *keys: str) -> DataFrame:
     """Ordered pairs of different items that share a key: ``left_id, right_id, kind, key``.
@@ -65,7 +67,7 @@ def islands(events: DataFrame, key: str, ts: str, gap_seconds: int, tie: str) ->
     from pyspark.sql import Window
 
     order = Window.partitionBy(key).orderBy(ts, tie)
-    seconds = F.unix_micros(F.col(ts)) / F.lit(1e6)
+    seconds = micros(F.col(ts)) / F.lit(1e6)
     marked = events.withColumn("sec", seconds).withColumn("new", F.coalesce((F.col("sec") - F.lag("sec").over(order) > gap_seconds).cast("int"), F.lit(1)))
     marked = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(key, "island").agg(F.min("sec").alias("start"), F.max("sec").alias("stop"), F.count("*").alias("n"))

@@ -11,9 +11,9 @@ from ..operators import metrics as M
 from .fixtures import manifest, results, with_eval
 from .registry import register
 
-_Q = """, f AS (SELECT query_id, min(CASE WHEN r0.predicted_ref_id = m.ref_id THEN rank END) first_rank, max(CASE WHEN rank = 1 THEN ref_start - query_start END) at
+_Q = """, f AS (SELECT query_id, min(CASE WHEN r0.predicted_ref_id = m.ref_id THEN rank END) first_rank, max(CASE WHEN rank = 1 THEN ref_start - query_start END) spot
   FROM r0 JOIN manifest m USING (query_id) GROUP BY 1),
- pq AS (SELECT m.*, first_rank, f.query_id IS NOT NULL answered, CASE WHEN first_rank = 1 THEN abs(at - offset_sec) END err FROM manifest m LEFT JOIN f USING (query_id)) """
+ pq AS (SELECT m.*, first_rank, f.query_id IS NOT NULL answered, CASE WHEN first_rank = 1 THEN abs(spot - offset_sec) END err FROM manifest m LEFT JOIN f USING (query_id)) """
 _E = with_eval() + _Q
 
 
@@ -29,7 +29,7 @@ def _wilson(k, n):
     return f"CASE WHEN {n} > 0 THEN greatest(0, {c} - {h})::DOUBLE ELSE 0::DOUBLE END", f"CASE WHEN {n} > 0 THEN least(1, {c} + {h})::DOUBLE ELSE 0::DOUBLE END"
 
 
-_MC = "round(CASE WHEN b + c = 0 THEN 1::DOUBLE ELSE least(1::DOUBLE, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2::DOUBLE))))) END, 8)"
+_MC = "round(CASE WHEN b + c = 0 THEN 1::DOUBLE ELSE least(1::DOUBLE, 2 * list_sum(list_transform(range(0, least(b, c)::BIGINT + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2::DOUBLE))))) END, 8)"
 
 
 @register("AGG-1 FLT-1 FLT-2 JOIN-1 JOIN-5", _E + "SELECT query_id, first_rank, answered FROM pq")
@@ -107,8 +107,8 @@ def pooled(spark, d):
     return P.pool(one.union(two), "split", "length_s").withColumn("p", F.round("p", 8))
 
 
-@register("EVAL-7 AGG-29 SET-4 SET-5", _PAIR + """, s AS (SELECT query_id, bool_and(hit) every, bool_or(hit) some FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1)
- SELECT count_if(NOT some) persistent_misses, count_if(every) unanimous_hits, count_if(every AND NOT hit) fixed, count_if(NOT some AND hit) broken, count_if(NOT every) any_miss FROM s JOIN h0 USING (query_id)""")
+@register("EVAL-7 AGG-29 SET-4 SET-5", _PAIR + """, s AS (SELECT query_id, bool_and(hit) every, bool_or(hit) any_hit FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1)
+ SELECT count_if(NOT any_hit) persistent_misses, count_if(every) unanimous_hits, count_if(every AND NOT hit) fixed, count_if(NOT any_hit AND hit) broken, count_if(NOT every) any_miss FROM s JOIN h0 USING (query_id)""")
 def seeds(spark, d):
     return P.across_seeds(_hits(spark, d, 1).union(_hits(spark, d, 2)), _hits(spark, d, 0))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.time import micros
 from ..operators import calibrate, rerank, retrieval as R
 from .fixtures import clips, segments, with_clips, with_search
 from .registry import register, table
@@ -46,7 +47,7 @@ def sequence(spark, d):
     return R.sequence_search(clips(spark, d, 9, 1.0), segments(spark, d))
 
 
-@register("QRK-7", with_search(5, 1.0).rpartition(", ranked AS")[0] + """, fit AS (SELECT * FROM scored WHERE cand // 25 = (cand + 4) // 25)
+@register("QRK-7", with_search(5, 1.0) + """, fit AS (SELECT * FROM scored WHERE cand // 25 = (cand + 4) // 25)
  SELECT query_id, cand, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand) rank FROM fit QUALIFY rank <= 10""")
 def within_recording(spark, d):
     return R.sequence_search(clips(spark, d, 5, 1.0), segments(spark, d), within_ref=True)
@@ -80,7 +81,7 @@ def downmix(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.transform(mono, lambda x: F.greatest(F.least(x * 32767, F.lit(32767.0)), F.lit(-32768.0)).cast("int")).alias("pcm"))
 
 
-@register("WIN-6 SRC-9 STM-5", "SELECT vec_id, i at, len(embedding[i*8+1:i*8+16]) width, embedding[i*8+1]::DOUBLE first FROM embeddings, range(7) t(i)")
+@register("WIN-6 SRC-9 STM-5", "SELECT vec_id, i \"at\", len(embedding[i*8+1:i*8+16]) width, embedding[i*8+1]::DOUBLE AS first FROM embeddings, range(7) t(i)")
 def sliding(spark, d):
     w = table(spark, d, "embeddings").select("vec_id", F.explode(V.windows(F.col("embedding"), 16, 8)).alias("w"))
     return w.select("vec_id", F.col("w.at").alias("at"), F.size("w.window").alias("width"), F.get("w.window", F.lit(0)).cast("double").alias("first"))
@@ -143,10 +144,11 @@ def inverted_softmax(spark, d):
  qa AS (SELECT query_id, round(list_inner_product(c, a), 6) ip, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(c, a), 6) DESC, id) n FROM centre, anchor QUALIFY n <= 10),
  ra AS (SELECT g cand, round(list_inner_product(e, a), 6) ip, row_number() OVER (PARTITION BY g ORDER BY round(list_inner_product(e, a), 6) DESC, id) n FROM seg, anchor WHERE g IN (SELECT cand FROM scored) QUALIFY n <= 10),
  s AS (SELECT query_id, cand, round(score - (qm + rm) / 2, 6) score FROM scored JOIN (SELECT query_id, avg(ip) qm FROM qa GROUP BY 1) USING (query_id) JOIN (SELECT cand, avg(ip) rm FROM ra GROUP BY 1) USING (cand))
- SELECT query_id, cand, round(score, 5) score FROM s""")
+
+ SELECT query_id, cand, round(score, 3) score FROM s""")
 def csls(spark, d):
     q, lib, cands = _scores(spark, d)
-    return rerank.csls(R.rescore(cands, q, lib), _anchors(spark, d), q, lib).select("query_id", "cand", F.round("score", 5).alias("score"))
+    return rerank.csls(R.rescore(cands, q, lib), _anchors(spark, d), q, lib).select("query_id", "cand", F.round("score", 3).alias("score"))
 
 
 _GRAMS = """h AS (SELECT doc_id, list_transform(range(1, len(w) - 1), lambda i: struct_pack(h := md5(array_to_string(w[i:i+2], ' ')), t := i - 1)) l FROM (SELECT doc_id, string_split(text, ' ') w FROM documents)),
@@ -218,7 +220,7 @@ def peak_pairs(spark, d):
     from pyspark.sql import Window
 
     order = Window.partitionBy("user_id").orderBy("t", "event_id")
-    p = table(spark, d, "events").select("user_id", "event_id", F.floor(F.unix_micros("ts") / 1_000_000).alias("t"), (F.col("event_id") % 512).alias("f"))
+    p = table(spark, d, "events").select("user_id", "event_id", F.floor(micros(F.col("ts")) / 1_000_000).alias("t"), (F.col("event_id") % 512).alias("f"))
     later = F.array(*[F.lead(F.struct("event_id", "t", "f"), i).over(order) for i in (1, 2, 3)])
     pairs = p.withColumn("b", later).select("user_id", "event_id", "t", "f", F.explode("b").alias("b")).where("b is not null")
     code = F.shiftleft("f", 23).bitwiseOR(F.shiftleft("b.f", 14)).bitwiseOR(F.least(F.col("b.t") - F.col("t"), F.lit(16383)))

@@ -9,10 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "bigint": T.LongType()}
+
+
+def _struct(columns: str) -> T.StructType:
+    """Columns as ``name type, ...``, without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in map(str.split, columns.split(","))])
+
+
 #: The columns of manifests and of ranked results.
-REFS = T.StructType.fromDDL("ref_id string, corpus string, source_track_id string, audio_path string, duration_sec double, samplerate int, channels int, role string")
-QUERIES = T.StructType.fromDDL("query_id string, ref_id string, corpus string, audio_path string, offset_sec double, length_sec double, seed bigint")
-RESULTS = T.StructType.fromDDL(
+REFS = _struct("ref_id string, corpus string, source_track_id string, audio_path string, duration_sec double, samplerate int, channels int, role string")
+QUERIES = _struct("query_id string, ref_id string, corpus string, audio_path string, offset_sec double, length_sec double, seed bigint")
+RESULTS = _struct(
     "system string, split string, length_s int, seed bigint, query_id string, rank int, predicted_ref_id string, predicted_segment_id bigint, match_count int, score double,"
     " ref_start double, ref_stop double, query_start double, query_stop double, latency_ms double"
 )
