@@ -38,6 +38,10 @@ def _grams(hashes: Column, size: int) -> Column:
     return F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - (size - 1), F.lit(0))), lambda _, i: _gram(hashes, i, size))
 
 
+def _tagged(size: int):
+    return lambda g, i: F.struct(F.lit(size).alias("size"), i.alias("at"), g.alias("gram"))
+
+
 def _fingerprints(table: DataFrame, window: int, short: list[int]) -> DataFrame:
     """Adds ``prints``: the winnowed k-grams, and all m-grams for each m of ``short``, as (size, at, gram)."""
     span = window - GRAM + 1
@@ -53,7 +57,7 @@ def _fingerprints(table: DataFrame, window: int, short: list[int]) -> DataFrame:
     )
     parts = [F.filter(chosen, lambda s: s.isNotNull())]
     for m in short:
-        parts.append(F.transform(_grams(F.col("hashes"), m), lambda g, i, m=m: F.struct(F.lit(m).alias("size"), i.alias("at"), g.alias("gram"))))
+        parts.append(F.transform(_grams(F.col("hashes"), m), _tagged(m)))
     return table.withColumn("prints", F.concat(*parts)).drop("grams", "least")
 
 
