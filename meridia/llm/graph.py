@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, materialize
+from .scratch import drop, materialize, release_shuffles
 
 #: A table of at most so many narrow rows (two or three numbers) may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Buckets are compared pair by pair where they hold so many pairs per member, on the whole, or fewer.
 PAIRS_PER_MEMBER = 16
+#: The nodes of a star of at most so many are compared with each other directly.
+SMALL_GROUP = 8
 
 
 def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -63,7 +65,7 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int) -> Data
     compared with all others on full sets.  What verified stars connect needs no
     further pair.  For two other nodes x and y of a star, let its core be what most
     of its nodes have, e the core's shingles that a node lacks and n its novel
-    ones, which the core lacks:
+    ones, which the core lacks (small stars are compared pair by pair):
 
     * without a common novel shingle, their similarity is at most
       ``(core - max(e)) / (core - min(e) + n_x + n_y)``; the few pairs that reach
@@ -101,21 +103,23 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int) -> Data
         rest = star.join(at, "node", "left").withColumn("part", F.coalesce("part", "node"))
         mixed = rest.groupBy("hub").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("hub")
         rest = materialize(rest.join(mixed, "hub", "left_semi").select("hub", "node", "nx", "part"))
-        # the group's core: what most of its nodes have
-        held = rest.select("hub", "node").join(sets.select("node", F.col("shingles").alias("x")), "node")
-        votes = held.select("hub", F.explode("x").alias("s")).groupBy("hub", "s").agg(F.count("*").alias("votes"))
-        votes = votes.join(rest.groupBy("hub").agg(F.count("*").alias("of")), "hub").where("2 * votes > of")
+        groups = rest
+        counted = rest.join(rest.groupBy("hub").agg(F.count("*").alias("of")), "hub")
+        rest = counted.where(F.col("of") > SMALL_GROUP).select("hub", "node", "nx", "part", "of")
+        few = _pairs(counted.where(F.col("of") <= SMALL_GROUP), percent)
+        # a large group's core: what most of its nodes have
+        held = rest.select("hub", "node", "of").join(sets.select("node", F.col("shingles").alias("x")), "node")
+        votes = held.select("hub", "of", F.explode("x").alias("s")).groupBy("hub", "s").agg(F.count("*").alias("votes"), F.max("of").alias("of")).where("2 * votes > of")
         core = votes.groupBy("hub").agg(F.collect_list("s").alias("core"))
         rest = rest.join(held.select("hub", "node", "x"), ["hub", "node"]).join(core, "hub", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
         rest = rest.select("hub", "node", "part", "nx", F.size("core").alias("nh"), F.array_except("x", "core").alias("novel"))
         rest = materialize(rest.withColumn("n", F.size("novel")).withColumn("e", F.col("nh") - F.col("nx") + F.col("n")))
+        release_shuffles(members.sparkSession)
 
-        side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "nx", "n", "e", "part")]
-        x, y = rest.select("hub", "nh", *side("x")), rest.select("hub", *side("y"))
         union = F.col("nh") - F.least("e_x", "e_y") + F.col("n_x") + F.col("n_y")
-        pairs = x.join(y, "hub").where("node_x < node_y and part_x <> part_y").where(enough(F.least("nx_x", "nx_y"), F.greatest("nx_x", "nx_y")))
-        pairs = pairs.where(enough(F.col("nh") - F.greatest("e_x", "e_y"), union)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-        more = materialize(confirmed(pairs))
+        near = _pairs(rest, percent, enough(F.col("nh") - F.greatest("e_x", "e_y"), union), "nh", "n", "e")
+        more = materialize(confirmed(few.union(near).distinct()))
+        release_shuffles(members.sparkSession)
         if not more.isEmpty():
             parts = materialize(connected_components(_with(more, parts)))
             at = parts.select("node", F.col("component").alias("part"))
@@ -128,19 +132,27 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int) -> Data
         split = shared.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
         members, owned = materialize(shared.join(split, "bucket", "left_semi")), True
         total = members.groupBy("bucket").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.sum("count")).first()
-        for used in (star, rest, more):
+        for used in (star, groups, rest, more):
             drop(used)
+        release_shuffles(members.sparkSession)
         if not total[1]:
             return parts
         if total[0] <= PAIRS_PER_MEMBER * total[1]:
             break
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "nx", "part")]
-    pairs = members.select("bucket", *side("x")).join(members.select("bucket", *side("y")), "bucket").where("node_x < node_y and part_x <> part_y")
-    pairs = pairs.where(enough(F.least("nx_x", "nx_y"), F.greatest("nx_x", "nx_y"))).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    pairs = _pairs(members.withColumnRenamed("bucket", "hub"), percent).distinct()
     more = materialize(confirmed(pairs))
     return parts if more.isEmpty() else materialize(connected_components(_with(more, parts)))
 
 
+def _pairs(rows: DataFrame, percent: int, bound=None, *more: str) -> DataFrame:
+    """Pairs ``(a, b)`` of a group's nodes in different parts whose sizes ``nx`` allow a link."""
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "nx", "part", *[m for m in more if m != "nh"])]
+    left = rows.select("hub", *[m for m in more if m == "nh"], *side("x"))
+    pairs = left.join(rows.select("hub", *side("y")), "hub").where("node_x < node_y and part_x <> part_y")
+    pairs = pairs.where(F.least("nx_x", "nx_y") * 100 >= F.greatest("nx_x", "nx_y") * percent)
+    return (pairs if bound is None else pairs.where(bound)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+
+
 def _with(links: DataFrame, parts: DataFrame | None) -> DataFrame:
     """Links and the stars of the components so far."""
     return links if parts is None else links.union(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"))
