@@ -55,19 +55,17 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.child: dict[int, int] = {}  # trie: node << 8 | byte -> node
+        self.child: list[dict[int, int]] = [{}]  # trie: byte -> node, by node
         self.ends: dict[int, int] = {}  # node -> token
-        size = 1
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                key = node << 8 | byte
-                node = self.child.get(key, 0)
-                if not node:
-                    node = self.child[key] = size
-                    size += 1
+                after = self.child[node].get(byte)
+                if after is None:
+                    after = self.child[node][byte] = len(self.child)
+                    self.child.append({})
+                node = after
             self.ends[node] = rank
-        self.inner = {key >> 8 for key in self.child}  # nodes that go on
         self.spines: dict[int, tuple | None] = {}
         self.pairs: dict[int, bool] = {}  # two tokens -> they stay apart
         self._reset()
@@ -104,14 +102,12 @@ class Transducer:
 
     def _follows(self, left: int, right: int) -> bool:
         """Whether ``right`` can come after ``left`` (-1: the start): no merge joins them."""
-        b = self._spines(right)
-        if b is None:
-            return False
-        if left < 0:
-            return True
         key = left << 32 | right
         ok = self.pairs.get(key)
         if ok is None:
+            b = self._spines(right)
+            if b is None or left < 0:
+                return b is not None
             ok, ours, theirs, i, j, get = True, self._spines(left)[0], b[1], 0, 0, self.ranks.get
             while True:  # the pieces that meet at the border, in the order of merges
                 (x, x_end), (y, y_end) = ours[i], theirs[j]
@@ -132,13 +128,14 @@ class Transducer:
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         after = []
+        child, ends = self.child, self.ends
         for node, pending in self.states[state]:
-            node = self.child.get(node << 8 | byte)
+            node = child[node].get(byte)
             if node is None:
                 continue
-            if node in self.inner:
+            if child[node]:
                 after.append((node, pending))
-            token = self.ends.get(node)
+            token = ends.get(node)
             if token is not None and self._follows(pending[-1], token):
                 done = (0, (*pending, token))
         after.append(done)  # each string has one encoding, so one alternative ends here
