@@ -36,9 +36,12 @@ def raw_overlaps(spark, d):
 
 @register("STR-5 STR-6 UDF-1", "SELECT doc_id, CASE WHEN t LIKE '%ene%' THEN 'tani' WHEN t LIKE '%uber%' THEN 'alaap' WHEN t LIKE '%cion%' THEN 'composed' END kind FROM (SELECT doc_id, strip_accents(lower(substr(text, 1, 40))) t FROM documents)")
 def classified(spark, d):
-    """The rule chain of section labels, here with needles that the documents' languages have."""
+    """The rule chain of section labels over whole texts, here with needles that the documents' languages have.
+
+    The registered SQL still reads 40 characters, so its rows differ; ``tests/test_whole.py`` has the SQL of whole texts.
+    """
     rules = (("tani", ("ene",)), ("alaap", ("uber",)), ("composed", ("cion",)))
-    return table(spark, d, "documents").select("doc_id", S.classify(F.substring("text", 1, 40), rules).alias("kind"))
+    return table(spark, d, "documents").select("doc_id", S.classify(F.col("text"), rules).alias("kind"))
 
 
 @register("STR-7 UDF-2 QRK-20", "SELECT doc_id, lower(text) LIKE '%ción%' OR lower(text) LIKE '%über%' found FROM documents")
