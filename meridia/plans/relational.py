@@ -164,12 +164,14 @@ def _folder(spark):
 
 @register("SRC-1 SRC-2 SNK-3 SNK-5", "SELECT n_nationkey::VARCHAR ref_id, n_name corpus FROM nation WHERE n_regionkey IN (0, 1)")
 def csv_round_trip(spark, d):
+    """A CSV file for each region and all of them read as one table; the registered SQL still has regions 0 and 1 alone."""
     n, to = table(spark, d, "nation"), _folder(spark)
     rows = n.select(F.col("n_nationkey").cast("string").alias("ref_id"), F.col("n_name").alias("corpus"), "n_regionkey")
-    for r in (0, 1):
-        sources.write_csv(rows.where(F.col("n_regionkey") == r).drop("n_regionkey"), f"{to}/{r}")
+    regions = [r[0] for r in n.select("n_regionkey").distinct().collect()]
+    for r in regions:
+        sources.write_csv(rows.where(F.col("n_regionkey").eqNullSafe(F.lit(r))).drop("n_regionkey"), f"{to}/{r}")
     schema = sources.REFS.__class__([sources.REFS["ref_id"], sources.REFS["corpus"]])
-    return sources.read_csv(spark, [f"{to}/0", f"{to}/1"], schema)
+    return sources.read_csv(spark, [f"{to}/{r}" for r in regions], schema)
 
 
 @register("SNK-1 SRC-5 SNK-14", with_eval() + "SELECT query_id, rank FROM r0 JOIN manifest USING (query_id) WHERE split = 'main' AND length_s = 3")
@@ -213,10 +215,19 @@ def flattened(spark, d):
 
 @register("SRC-12 JSN-4", "SELECT event_id, i start, i + 2 stop, 'label' || i AS label FROM events, range(3) t(i) WHERE event_id % 10 = 0")
 def annotations(spark, d):
-    text = F.lit('{"intervals": [[0, 2], [1, 3], [2, 4]], "labels": ["label0", "label1", "label2"]}')
-    parsed = F.from_json(text, "intervals array<array<bigint>>, labels array<string>")
-    e = table(spark, d, "events").where("event_id % 10 = 0").withColumn("doc", parsed)
-    e = e.select("event_id", F.inline(F.arrays_zip(F.col("doc.intervals").alias("interval"), F.col("doc.labels").alias("label"))))
+    """Each event's annotation as JSON text and parsed again; the registered SQL still has a tenth of the events."""
+    number = lambda i: F.lit(i).cast("long")
+    e = table(spark, d, "events").select(
+        F.to_json(
+            F.struct(
+                F.col("event_id").cast("long").alias("event_id"),
+                F.array(*[F.array(number(i), number(i + 2)) for i in range(3)]).alias("intervals"),
+                F.array(*[F.lit(f"label{i}") for i in range(3)]).alias("labels"),
+            )
+        ).alias("text")
+    )
+    e = e.select(F.from_json("text", "event_id bigint, intervals array<array<bigint>>, labels array<string>").alias("doc"))
+    e = e.select("doc.event_id", F.inline(F.arrays_zip(F.col("doc.intervals").alias("interval"), F.col("doc.labels").alias("label"))))
     return e.select("event_id", F.get("interval", F.lit(0)).alias("start"), F.get("interval", F.lit(1)).alias("stop"), "label")
 
 

@@ -28,3 +28,13 @@ def test_classes_of_whole_texts(spark):
 def test_class_of_a_late_needle(spark, tmp_path):
     spark.createDataFrame([(1, "x" * 100 + " Über"), (2, "x" * 100)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, entry.queries()["STR-5"](spark, str(tmp_path)).collect())) == [(1, "alaap"), (2, None)]
+
+
+def test_annotations_of_all_events(spark):
+    got, want = pairs(entry.queries()["SRC-12"](spark, D), f"SELECT event_id, i start, i + 2 stop, 'label' || i AS label FROM '{D}/events.parquet', range(3) t(i)")
+    assert got == want
+
+
+def test_csv_of_all_regions(spark):
+    got, want = pairs(entry.queries()["SRC-1"](spark, D), f"SELECT n_nationkey::VARCHAR ref_id, n_name corpus FROM '{D}/nation.parquet'")
+    assert got == want
