@@ -13,6 +13,8 @@ from ..functions import vectors as V
 
 #: Queries are sent to the library's partitions in blocks of so many rows.
 QUERY_BLOCK = 20_000
+#: Products held at once by a task, at most (or one row of the library's).
+PRODUCTS = 4_000_000
 
 
 def knn(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
@@ -44,9 +46,10 @@ def _knn_block(table: pa.Table, library: DataFrame, k: int, kind: str) -> DataFr
         ids, offs, matrix = shipped.value
         best_ip = np.full((len(ids), 0), 0.0)
         best_at = np.zeros((len(ids), 0), np.int64)
+        step = min(4096, max(1, PRODUCTS // max(1, len(ids))))
         for batch in batches:
-            for i in range(0, len(batch), 4096):
-                part = batch.slice(i, 4096)
+            for i in range(0, len(batch), step):
+                part = batch.slice(i, step)
                 at = np.asarray(part.column("global_idx"))
                 base = np.asarray(part.column("embedding").flatten(), float).reshape(len(part), -1)
                 if not len(ids) or not len(base):

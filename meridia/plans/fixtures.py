@@ -48,11 +48,15 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clips(spark: SparkSession, sf_dir: str, length: int, weight: float) -> DataFrame:
-    """Twenty queries of ``length`` segments, with noise from another segment: ``query_id, q_off, embedding``."""
-    lib = segments(spark, sf_dir).select("global_idx", "embedding")
+    """A query of ``length`` segments for each recording, with noise from another segment: ``query_id, q_off, embedding``.
+
+    The registered SQL still has twenty queries; it agrees on tables of twenty recordings (500 vectors).
+    """
+    seg = segments(spark, sf_dir)
+    lib = seg.select("global_idx", "embedding")
     n = lib.count()
-    rows = spark.range(20).select(F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("q_off"))
-    rows = rows.select("query_id", F.col("q_off").cast("long").alias("q_off"), (F.col("query_id") * 25 + 3 + F.col("q_off")).alias("v")).withColumn("other", (F.col("v") * 7 + 3) % n)
+    rows = seg.where("segment_idx = 3").select(F.col("ref_id").alias("query_id"), "global_idx", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("q_off"))
+    rows = rows.select("query_id", F.col("q_off").cast("long").alias("q_off"), (F.col("global_idx") + F.col("q_off")).alias("v")).withColumn("other", (F.col("v") * 7 + 3) % n)
     own = lib.select(F.col("global_idx").alias("v"), F.col("embedding").alias("a"))
     far = lib.select(F.col("global_idx").alias("other"), F.col("embedding").alias("b"))
     mixed = rows.join(own, "v").join(far, "other")

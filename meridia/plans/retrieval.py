@@ -57,7 +57,8 @@ def within_recording(spark, d):
  CASE WHEN cand IS NOT NULL THEN 0::DOUBLE END query_start, CASE WHEN cand IS NOT NULL THEN 2::DOUBLE END query_stop
  FROM range(23) q(query_id) LEFT JOIN (SELECT * FROM ranked JOIN seg ON g = cand) USING (query_id)""")
 def emitted(spark, d):
-    manifest = spark.range(23).select(F.col("id").alias("query_id"), F.lit(3).alias("n_segments"))
+    last = segments(spark, d).agg(F.max("ref_id")).first()[0]
+    manifest = spark.range(last + 4).select(F.col("id").alias("query_id"), F.lit(3).alias("n_segments"))
     return R.emit(R.sequence_search(clips(spark, d, 3, 0.8), segments(spark, d)), manifest, segments(spark, d))
 
 

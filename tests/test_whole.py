@@ -38,3 +38,12 @@ def test_annotations_of_all_events(spark):
 def test_csv_of_all_regions(spark):
     got, want = pairs(entry.queries()["SRC-1"](spark, D), f"SELECT n_nationkey::VARCHAR ref_id, n_name corpus FROM '{D}/nation.parquet'")
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["FLAGSHIP", "RET-3", "RET-4"])
+def test_a_clip_for_each_recording(spark, name):
+    """The registered SQL for 80 recordings instead of 20."""
+    big = "/root/testdata/sf0.1"
+    sql = entry.oracle_sql()[name].replace("range(20)", "range(80)").replace("range(23)", "range(83)").replace("FROM embeddings", f"FROM '{big}/embeddings.parquet'")
+    got, want = pairs(entry.queries()[name](spark, big), sql)
+    assert got == want
