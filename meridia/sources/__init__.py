@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,9 +60,10 @@ def write_hash_index(hashes: DataFrame, table: str, buckets: int = 64) -> None:
 
 
 def artefacts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``name, length, sha256`` of all files below a folder."""
+    """``name`` (path below the folder), ``length, sha256`` of all files below a folder."""
+    below = re.sub(r"^\w+:(//[^/]*)?", "", path).rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    return files.select(F.substring_index("path", below, -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:

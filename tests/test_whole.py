@@ -1,6 +1,8 @@
 """Registered queries over whole inputs, where their registered SQL reads a part."""
 
+import hashlib
 import os
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -47,3 +49,12 @@ def test_a_clip_for_each_recording(spark, name):
     sql = entry.oracle_sql()[name].replace("range(20)", "range(80)").replace("range(23)", "range(83)").replace("FROM embeddings", f"FROM '{big}/embeddings.parquet'")
     got, want = pairs(entry.queries()[name](spark, big), sql)
     assert got == want
+
+
+def test_checksums_of_all_files(spark, tmp_path):
+    for name in ("a.bin", "t/x.bin", "u/x.bin"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    for d in (D, str(tmp_path)):
+        want = sorted((str(p.relative_to(d)), p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in Path(d).rglob("*") if p.is_file())
+        assert len(want) > 1 and sorted(map(tuple, entry.queries()["SNK-9"](spark, d).collect())) == want
