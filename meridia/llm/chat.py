@@ -24,18 +24,29 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(\\)|\\", "$1")
 
 
+def _boxed(*names: str) -> list[Column]:
+    """Keys in structs, which are never null, so that a null key joins with itself."""
+    return [F.struct(F.col(n).alias("v")).alias(n) for n in names]
+
+
+def _unboxed(*names: str) -> list[Column]:
+    return [F.col(f"{n}.v").alias(n) for n in names]
+
+
 def reply_paths(messages: DataFrame) -> DataFrame:
     """Root-to-leaf paths of reply trees.
 
     ``messages``: ``tree``, ``id`` (unique in its tree), ``parent`` (null: a
     root).  Iterative self-joins double the distance to the known ancestor, so
     a path of n messages takes log2(n) rounds.  A message whose parent is missing is a root.  Messages on a
-    cycle belong to no path.
+    cycle belong to no path.  A null tree is a tree like others, and so is a null id an id, but no reply names it.
 
     Returns a row for each message of each path: ``tree, leaf, id, depth`` (0 for the root).
     """
+    parent = F.col("parent").try_cast(messages.schema["id"].dataType)
+    messages = messages.select(*_boxed("tree", "id"), F.when(parent.isNotNull(), F.struct(parent.alias("v"))).alias("parent"))
     known = messages.select("tree", F.col("id").alias("parent"), F.lit(True).alias("there")).distinct()
-    nodes = messages.select("tree", "id", "parent").dropDuplicates(["tree", "id"]).join(known, ["tree", "parent"], "left")
+    nodes = messages.dropDuplicates(["tree", "id"]).join(known, ["tree", "parent"], "left")
     nodes = nodes.select("tree", "id", F.when(F.col("there"), F.col("parent")).alias("parent"))
     inner = nodes.where("parent is not null").select("tree", F.col("parent").alias("id")).distinct()
     # reach: pairs (leaf, ancestor, distance); hops: each message's ancestor 2**k above
@@ -52,7 +63,7 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     rooted = nodes.where("parent is null").select("tree", "id")
     paths = paths.join(paths.join(rooted, ["tree", "id"]).select("tree", "leaf").distinct(), ["tree", "leaf"], "left_semi")  # none from a cycle
     top = Window.partitionBy("tree", "leaf")
-    return paths.withColumn("depth", F.max("up").over(top) - F.col("up")).drop("up")
+    return paths.select(*_unboxed("tree", "leaf", "id"), (F.max("up").over(top) - F.col("up")).alias("depth"))
 
 
 def format_conversations(messages: DataFrame, best: int = 1) -> DataFrame:
@@ -61,14 +72,15 @@ def format_conversations(messages: DataFrame, best: int = 1) -> DataFrame:
     ``messages``: ``tree, id, parent, role, text`` and ``score`` (null: 0).  A
     branch is a root-to-leaf path; branches rank by the sum of their scores,
     then by length (longer first), then by the smaller leaf.  ``best`` branches
-    of each tree are kept (null: all).  Null texts and roles are empty.
+    of each tree are kept (null: all).  Null texts and roles are empty.  Messages
+    of a null tree are one tree, as SQL groups them; a null id is an id.
 
     Returns ``tree, leaf, rank, n_turns, formatted`` and ``loss``, the spans
     (start from 0, length, in characters) of assistants' texts in ``formatted``.
     """
-    paths = reply_paths(messages)
+    paths = reply_paths(messages).select(*_boxed("tree", "leaf", "id"), "depth")
     texts = messages.dropDuplicates(["tree", "id"]).select(
-        "tree", "id", F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce("score", F.lit(0)).cast("double").alias("score")
+        *_boxed("tree", "id"), F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce("score", F.lit(0)).cast("double").alias("score")
     )
     scored = paths.join(texts.select("tree", "id", "score"), ["tree", "id"]).groupBy("tree", "leaf").agg(F.sum("score").alias("total"), F.count("*").alias("length"))
     scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("length"), "leaf")))
@@ -84,7 +96,7 @@ def format_conversations(messages: DataFrame, best: int = 1) -> DataFrame:
         (acc["at"] + F.char_length(t["turn"])).alias("at"),
         F.when(t["role"] == "assistant", F.array_append(acc["loss"], F.struct((acc["at"] + head + F.char_length(t["role"])).alias("start"), t["chars"].alias("length")))).otherwise(acc["loss"]).alias("loss"),
     )
-    return whole.select("tree", "leaf", "rank", "n_turns", F.array_join(F.transform("t", lambda t: t["turn"]), "").alias("formatted"), F.aggregate("t", start, step, lambda a: a["loss"]).alias("loss"))
+    return whole.select(*_unboxed("tree", "leaf"), "rank", "n_turns", F.array_join(F.transform("t", lambda t: t["turn"]), "").alias("formatted"), F.aggregate("t", start, step, lambda a: a["loss"]).alias("loss"))
 
 
 def parse(formatted: Column) -> Column:

@@ -252,6 +252,15 @@ def test_chat(spark):
     assert chat.format_conversations(chain.limit(0)).count() == 0
 
 
+def test_chat_of_null_keys(spark):
+    rows = [(None, 1, None, "user", "q", 0.0), (None, 2, 1, "assistant", "a", 1.0), ("t", None, None, "user", "lone", 0.0), ("t", 1, None, "user", "x", 1.0)]
+    t = spark.createDataFrame(rows, "tree string, id long, parent long, role string, text string, score double")
+    got = {(r.tree, r.leaf): (r["rank"], r.n_turns, r.formatted) for r in chat.format_conversations(t, best=None).collect()}
+    assert got == {
+        (None, 2): (1, 2, "<|turn|>user\nq<|end|><|turn|>assistant\na<|end|>"), ("t", 1): (1, 1, "<|turn|>user\nx<|end|>"), ("t", None): (2, 1, "<|turn|>user\nlone<|end|>"),
+    }
+
+
 def test_revisits(spark):
     rows = [
         (1, "http://WWW.a.org/x/?b=2&utm_source=q&a=1#f", 10, "response", 200, "e1", "d1", {"ETag": "e1", "Content-Length": "5"}), (2, "https://a.org/x?a=1&b=2", 20, "revisit", 304, 'W/e1', None, {"Date": "new", "Content-Length": "0"}),
