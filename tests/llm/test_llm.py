@@ -207,32 +207,48 @@ def test_streamed_utf8():
 
 def test_nearest(spark):
     rng = np.random.default_rng(1)
-    e = np.round(rng.normal(size=(3000, 16)) + rng.integers(0, 4, (3000, 1)) * 2, 3).astype(np.float32)
-    e[7], e[9] = e[100], 0
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(e)] + [(5000, None), (5001, [1.0] * 3), (5002, [float("nan")] * 16), (5003, []), (5004, [1.0] * 15 + [None])]
-    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    n = 12_000  # the walk meets a sixth of them
+    e = np.round(rng.normal(size=(n, 16)) + rng.integers(0, 4, (n, 1)) * 2, 3).astype(np.float32)
+    e[7], e[9], e[300:500] = e[100], 0, e[200]  # copies, no direction, a hot cell
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(e)]
+    odd = [(n + 1, None), (n + 2, [float("nan")] * 16), (n + 3, []), (n + 4, [1.0] * 15 + [None]), (None, [1.0] * 16), (100, [9.0] * 16)]  # the second vector of 100 is larger
+    short = [(20_000, [1.0, 2.0]), (20_001, [1.0, 2.5]), (20_002, [4.0, 6.0]), (20_100, [3.0])]
+    t = spark.createDataFrame([(i, v, "x", 1.0) for i, v in rows + odd + short], "vec_id long, embedding array<float>, query_id string, score double")
     got = {}
     for r in ann.nearest(t, t.where("vec_id % 100 = 0")).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     good = total = 0
-    for q in (q for q in range(0, 3000, 100)):
+    for q in range(0, n, 100):
         d = np.sqrt(((e.astype(float) - e[q].astype(float)) ** 2).sum(1))
-        want = [i for i in np.lexsort((np.arange(3000), d)) if i not in (q, 9)][:10]
+        if q == 100 and e[100].tolist() > [9.0] * 16:
+            continue
+        order = [i for i in np.lexsort((np.arange(n), d)) if i not in (q, 9)][:10]
         mine = sorted(got[q])
         assert [m[0] for m in mine] == list(range(1, 11)) and all(abs(m[2] - d[m[1]]) < 1e-9 for m in mine)
-        good += len({m[1] for m in mine} & set(want))
+        good += len({m[1] for m in mine} & set(order))
         total += 10
-    assert good / total >= 0.9
-    assert not {5000, 5001, 5002, 5003, 5004, 9} & set(got)
-    assert ann.nearest(t.limit(0), t).count() == 0
+    assert good / total >= 0.9 and ann.enough_entries(n, 10) < n / 4
+    assert [(r, i) for r, i, _ in sorted(got[20_000])] == [(1, 20_001), (2, 20_002)] and sorted(got[20_000])[0][2] == 0.5
+    assert 20_100 not in got and not {n + 1, n + 2, n + 3, n + 4, 9} & {m[1] for v in got.values() for m in v}
+    assert ann.nearest(t.limit(0), t).count() == 0 and ann.nearest(t, t.limit(0)).count() == 0
 
 
 def test_walk_is_ordered():
     rng = np.random.default_rng(5)
     x, y, counts = rng.random(9), rng.random(7), rng.integers(0, 4, 63)
-    cells = ann.walk(x, y, counts, 10**9)
-    sums = [x[c // 7] + y[c % 7] for c in cells]
-    assert sums == sorted(sums) and set(cells) == set(np.flatnonzero(counts).tolist())
+    counts[[5, 20]] = 3 * ann.BLOCK
+    some = np.flatnonzero(counts)
+    cells = ann.Cells(some, counts[some], 7)
+    walked = list(cells.walk(x, y, 10**9))
+    sums = [s for s, _ in walked]
+    assert sums == sorted(sums) and sorted(p for _, p in walked) == list(range(len(some)))
+    assert all(s == x[some[p] // 7] + y[some[p] % 7] for s, p in walked)
+    assert sum(counts[some[p]] for _, p in list(cells.walk(x, y, 40))[:-1]) < 40
+    spread = np.arange(3000)
+    blocks = [set(cells.block_of(np.full(3000, c), spread).tolist()) for c in some]
+    assert [len(b) for b in blocks] == [3 if c in (5, 20) else 1 for c in some]
+    hot = [b for b, c in zip(blocks, some, strict=True) if c in (5, 20)]
+    assert not any(h & b for h in hot for b in blocks if b is not h)
 
 
 def test_chat(spark):
