@@ -12,11 +12,15 @@ has.  Transitions are kept by (state, byte).
 from __future__ import annotations
 
 import base64
+import gc
+import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,8 +131,8 @@ class Transducer:
         return ok
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        after = []
-        child, ends = self.child, self.ends
+        after, done = [], None
+        child, ends, pairs = self.child, self.ends, self.pairs
         for node, pending in self.states[state]:
             node = child[node].get(byte)
             if node is None:
@@ -136,19 +140,33 @@ class Transducer:
             if child[node]:
                 after.append((node, pending))
             token = ends.get(node)
-            if token is not None and self._follows(pending[-1], token):
-                done = (0, (*pending, token))
-        after.append(done)  # each string has one encoding, so one alternative ends here
-        first, shared = after[0][1], 1
-        while len(first) > shared and all(len(p) > shared and p[shared] == first[shared] for _, p in after):
-            shared += 1
-        out = first[1:shared]
-        key = tuple((node, pending[shared - 1 :]) for node, pending in after)
+            if token is not None and done is None:  # each string has one encoding, so one alternative ends here
+                left = pending[-1]
+                ok = pairs.get(left << 32 | token)
+                if self._follows(left, token) if ok is None else ok:
+                    done = (0, (*pending, token))
+        after.append(done)
+        # tokens that all alternatives share leave
+        first = after[0][1]
+        shared, most = 1, min([len(p) for _, p in after])
+        while shared < most:
+            token = first[shared]
+            for _, pending in after:
+                if pending[shared] != token:
+                    break
+            else:
+                shared += 1
+                continue
+            break
+        if shared > 1:
+            key = tuple([(node, pending[shared - 1 :]) for node, pending in after])
+        else:
+            key = tuple(after)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-        self.moves[state << 8 | byte] = move = (to, out)
+        self.moves[state << 8 | byte] = move = (to, first[1:shared])
         return move
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -193,20 +211,20 @@ class Encoder:
             self.pieces[piece] = ids
         return ids
 
-    def _ids(self, pieces: Iterator[str]) -> np.ndarray:
-        out: list[int] = []
-        extend, get = out.extend, self.pieces.get
-        for piece in pieces:
-            ids = get(piece)
-            extend(self._piece(piece) if ids is None else ids)
-        return np.array(out, np.int32)
+    def _ids(self, pieces: list[str]) -> np.ndarray:
+        found = list(map(self.pieces.get, pieces))
+        if None in found:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    found[k] = self.pieces.get(pieces[k]) or self._piece(pieces[k])
+        return np.fromiter(chain.from_iterable(found), np.int32)
 
     def encode(self, text: str) -> np.ndarray:
         if len(text) <= _LONG_TEXT:
             return self._ids(self.pattern.findall(text))
         found = (m[0] for m in self.pattern.finditer(text))  # a very long text: some pieces at a time
         parts = []
-        while len(part := self._ids(islice(found, 100_000))):
+        while len(part := self._ids(list(islice(found, 100_000)))):
             parts.append(part)
         return np.concatenate(parts)
 
@@ -223,35 +241,91 @@ def _utf8_table() -> np.ndarray:
     return t
 
 
-_UTF8 = _utf8_table().tolist()
+_UTF8 = _utf8_table()
 
 
 class StreamDecoder:
     """Decodes tokens as they come; bytes of an unfinished character wait for the next ones.
 
-    Bytes that are not UTF-8 become U+FFFD.
+    The automaton's moves over whole tokens are tabled, so a stream costs one
+    look-up for a token.  Bytes that are not UTF-8 become U+FFFD, one for each
+    longest part of a character.
     """
 
-    def __init__(self, table: list[bytes]):
-        self.table, self.held = table, b""
-
-    def feed(self, ids: list[int]) -> str:
-        data = self.held + b"".join(map(self.table.__getitem__, ids))
-        cut = len(data)
-        for back in range(1, min(3, len(data)) + 1):  # an unfinished character has three bytes at most
-            state = 0
-            if data[-back] >= 0xC0:
-                for byte in data[-back:]:
-                    state = _UTF8[state][byte]
-                if 0 < state < 8:
-                    cut = len(data) - back
-                break
+    def __init__(self, tokens: list[bytes | None]):
+        self.tokens = pa.array([t or b"" for t in tokens], pa.large_binary())
+        self.known = np.array([t is not None for t in tokens])
+        size = np.array([len(t or b"") for t in tokens])
+        self.moves = np.repeat(np.arange(9, dtype=np.uint8)[:, None], len(tokens), axis=1)  # state, token -> state
+        data, first = np.frombuffer(b"".join(t or b"" for t in tokens), np.uint8), np.cumsum(size) - size
+        for k in range(int(size.max(initial=0))):
+            on = np.flatnonzero(size > k)
+            self.moves[:, on] = _UTF8[self.moves[:, on], data[first[on] + k][None]]
+        self.reset()
+
+    def reset(self) -> None:
+        self.state, self.held = 0, b""
+
+    def bytes_of(self, ids: np.ndarray) -> pa.Array:
+        """The bytes of each token; all of them lie in one buffer, in order."""
+        if len(ids) and not (0 <= int(ids.min()) and int(ids.max()) < len(self.known) and self.known[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        return self.tokens.take(pa.array(ids))
+
+    def feed(self, ids: np.ndarray) -> bytes:
+        """The text that the next tokens complete, in UTF-8."""
+        taken = self.bytes_of(ids)
+        data = self.held + b"".join(taken.to_pylist())
+        state, i = self.state, 0
+        steps = self.moves[0][ids]  # from between characters; runs that stay there need no steps
+        odd = np.flatnonzero(steps).tolist()
+        while i < len(ids) and state != 8:
+            if state == 0:
+                k = bisect_left(odd, i)
+                if k == len(odd):
+                    break
+                i = odd[k]
+            state = int(self.moves[state, ids[i]])
+            i += 1
+        if state == 0:
+            self.state, self.held = 0, b""
+            return data
+        if state == 8:  # not UTF-8: replace what is broken, keep an unfinished end
+            return self._replaced(data, final=False)
+        self.state = state
+        cut = len(data) - 1
+        while data[cut] & 0xC0 == 0x80:
+            cut -= 1
         self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        return data[:cut]
+
+    def _replaced(self, data: bytes, final: bool) -> bytes:
+        out, state, start = bytearray(), 0, 0
+        table = _UTF8
+        k = 0
+        while k < len(data):
+            after = int(table[state, data[k]])
+            if after == 8:
+                if state == 0:
+                    out += b"\xef\xbf\xbd"
+                    k += 1
+                else:  # the part so far is broken; this byte begins anew
+                    out += b"\xef\xbf\xbd"
+                state, start = 0, k
+                continue
+            k += 1
+            state = after
+            if state == 0:
+                out += data[start:k]
+                start = k
+        self.state, self.held = (0, b"") if final else (state, data[start:])
+        if final and state:
+            out += b"\xef\xbf\xbd"
+        return bytes(out)
 
-    def finish(self) -> str:
-        rest, self.held = self.held, b""
-        return rest.decode("utf-8", "replace")
+    def finish(self) -> bytes:
+        """What is left: an unfinished character is broken."""
+        return self._replaced(self.held, final=True)
 
 
 _encoders: dict[object, Encoder] = {}
@@ -261,19 +335,28 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Adds ``ids`` (array<int>): the text's tokens, without special tokens.
 
     ``docs`` needs ``text``; its other columns are kept (an ``ids`` column is replaced).
-    Null and empty texts have no tokens.  Equal to merging by rank within each
-    match of ``pattern``; characters that no match covers are left out.  The
-    vocabulary is shipped to the workers once.
+    Null and empty texts have no tokens; repeated rows give the same tokens each,
+    an empty table gives an empty one.  A very long text is cut into matches some
+    at a time.  Equal to merging by rank within each match of ``pattern``;
+    characters that no match covers are left out.  The vocabulary is shipped to
+    the workers once.
     """
     docs = docs.drop("ids")
     shipped = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
-    key = hash((len(ranks), pattern, shipped._jbroadcast.id() if shipped._jbroadcast is not None else id(shipped)))
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(key)
         if encoder is None:
             _encoders.clear()
             encoder = _encoders[key] = Encoder(*shipped.value)
+        gc.disable()  # its millions of tuples hold no cycles; scanning them takes a fifth of the time
+        try:
+            yield from coded(encoder, batches)
+        finally:
+            gc.enable()
+
+    def coded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = K.string_buffers(batch.column("text"))
             for i, j in K.row_blocks(offsets):
@@ -290,7 +373,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Replaces ``ids`` by ``decoded``: the text of the tokens, decoded as a stream.
 
-    Null and empty ids give an empty text.  An id outside the vocabulary is an error.
+    Null and empty ids give an empty text, an empty table an empty one.  An id
+    outside the vocabulary is an error.  Bytes that are not UTF-8 become U+FFFD.
     """
     tokens = tokens.drop("decoded")
     table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
@@ -299,17 +383,24 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     shipped = tokens.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = StreamDecoder(shipped.value)
         for batch in batches:
             column = batch.column("ids")
-            values, at = np.asarray(column.values), np.asarray(column.offsets)
-            texts = []
-            for k in range(len(batch)):
-                decoder, parts = StreamDecoder(shipped.value), []
-                if column[k].is_valid:
-                    for i in range(int(at[k]), int(at[k + 1]), 65536):
-                        parts.append(decoder.feed(values[i : min(int(at[k + 1]), i + 65536)].tolist()))
-                texts.append("".join(parts) + decoder.finish())
-            rest = [name for name in batch.schema.names if name != "ids"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(texts, pa.string())], [*rest, "decoded"])
+            values, at = np.asarray(column.flatten()), np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()))
+            for i, j in K.row_blocks(at, 1 << 18):
+                ids = values[at[i] : at[j]]
+                taken = decoder.bytes_of(ids)
+                ends = np.asarray(pa.Array.from_buffers(pa.int64(), len(taken) + 1, [None, taken.buffers()[1]], offset=taken.offset))[at[i : j + 1] - at[i]]
+                if decoder.moves[0][ids].any():  # a character is cut: go through these rows as streams
+                    texts = []
+                    for k in range(i, j):
+                        decoder.reset()
+                        texts.append(b"".join([decoder.feed(values[n : min(at[k + 1], n + 65536)]) for n in range(at[k], at[k + 1], 65536)]) + decoder.finish())
+                    decoded = pa.array(texts, pa.large_binary()).view(pa.large_string())
+                else:  # each token ends between characters, so all bytes are text as they are
+                    data = taken.buffers()[2] or pa.py_buffer(b"")
+                    decoded = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(ends), data)
+                rest = [name for name in batch.schema.names if name != "ids"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(i, j - i) for n in rest), decoded.cast(pa.string())], [*rest, "decoded"])
 
     return tokens.mapInArrow(run, tokens.drop("ids").withColumn("decoded", F.lit("")).schema)
