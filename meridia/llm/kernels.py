@@ -157,11 +157,20 @@ def shingles_of(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndar
             values.append(mix(out + _U(m)))
             rows.append(short)
     value, at = np.concatenate(values), np.concatenate(rows)
-    order = np.lexsort((value, at))
-    value, at = value[order], at[order]
+    if len(values) > 1:
+        order = np.argsort(at, kind="stable")
+        value, at = value[order], at[order]
+    return distinct_by_row(value, at)
+
+
+def distinct_by_row(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of each row, sorted, for values whose rows ascend (``value`` is sorted in place)."""
+    lead = np.flatnonzero(np.diff(row)) + 1
+    for i, j in zip([0, *lead.tolist()], [*lead.tolist(), len(value)], strict=True):
+        value[i:j].sort()  # many small sorts are far cheaper than one by two keys
     new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (at[1:] != at[:-1])
-    return value[new], at[new]
+    new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
+    return value[new], row[new]
 
 
 def row_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -180,18 +189,19 @@ def probe_table(bins: int, attempts: int = 4096, seed: int = 97) -> np.ndarray:
 def one_permutation(values: np.ndarray, rows: np.ndarray, n: int, bins: int, probes: np.ndarray) -> np.ndarray:
     """One-permutation MinHash of n rows with optimal densification: (n, bins) of uint64.
 
-    ``values`` are sorted within ``rows``.  The high bits of a hash give its bin;
-    an empty bin takes the value of the first filled bin in its own random order,
-    the same order for every row.  Rows without values hold zeros.
+    The high bits of a hash give its bin; an empty bin takes the value of the
+    first filled bin in its own random order, the same order for every row.  Rows
+    without values hold zeros.
     """
     shift = _U(64 - int(bins - 1).bit_length())
-    bin_of = (values >> shift).astype(np.int64)
     assert 1 << (64 - int(shift)) == bins
-    first = np.ones(len(values), bool)
-    first[1:] = (bin_of[1:] != bin_of[:-1]) | (rows[1:] != rows[:-1])
-    out, full = np.zeros((n, bins), _U), np.zeros((n, bins), bool)
-    out[rows[first], bin_of[first]] = values[first]
-    full[rows[first], bin_of[first]] = True
+    at = (values >> shift).view(np.int64)
+    at += rows * bins
+    out = np.full(n * bins, ~_U(0))  # no hash is taken for this value, at a loss of 1 in 2**64
+    np.minimum.at(out, at, values)
+    out = out.reshape(n, bins)
+    full = out != ~_U(0)
+    out[~full] = 0
     r, b = np.nonzero(~full & full.any(axis=1)[:, None])
     for t in range(len(probes)):
         if not len(r):

@@ -50,10 +50,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, values, rows in _rows(batch):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), K.int64_lists(values, np.bincount(rows, minlength=j - i))], ["node", "shingles"]
+                [batch.column("doc_id").slice(i, j - i), K.int64_lists(values, np.bincount(rows, minlength=j - i))], ["node", "body"]
             )
 
 
+def _measure(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("common"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Components of documents whose sets of five-word shingles are alike.
 
@@ -85,10 +89,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     members = materialize(members.join(broadcast_if_small(shared), "bucket", "left_semi"))
 
     needed = materialize(members.select(F.col("node").alias("doc_id")).distinct())
-    sets = docs.join(broadcast_if_small(needed), "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles array<long>")
+    sets = docs.join(broadcast_if_small(needed), "doc_id", "left_semi").mapInArrow(_sets, "node long, body array<long>")
     sets = materialize(sets.dropDuplicates(["node"]))
 
-    parts = linked_components(members, sets, percent)
+    parts = linked_components(members, sets, percent, _measure, lambda rows: rows.withColumnRenamed("body", "x"))
     for used in (shared, members, needed, sets):
         drop(used)
     named = classes.join(parts, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))

@@ -1,8 +1,10 @@
 """Training-data operators against brute force, round trips and hand-made edge cases."""
 
+import codecs
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -143,6 +145,78 @@ def test_lines(spark):
     assert dedup_lines(table(spark, rows).limit(0)).count() == 0
 
 
+def brute_lines(rows, percent=80):
+    """Which lines go, by comparing all pairs of lines."""
+    place, keep = {}, {}
+    for i, t in rows:
+        for n, line in enumerate((t or "").split("\n") if i is not None else []):
+            line = fold(line.strip(" \t\r\v\f"))
+            if line:
+                place.setdefault(line, []).append((i, n))
+    sets = {x: {x[k : k + 8] for k in range(max(1, len(x) - 7))} for x in place}
+    part = {x: x for x in sets}
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for x in sets:
+        for y in sets:
+            n = len(sets[x] & sets[y])
+            if x < y and n and 100 * n >= percent * (len(sets[x]) + len(sets[y]) - n):
+                part[find(x)] = find(y)
+    for x in sets:
+        keep[find(x)] = min(keep.get(find(x), (1 << 62, 0)), min(place[x]))
+    return {p for x in sets for p in place[x] if p != keep[find(x)]}
+
+
+@pytest.mark.parametrize("records", [1 << 20, 500])
+def test_lines_against_all_pairs(spark, records, monkeypatch):
+    monkeypatch.setattr("meridia.llm.line_dedup.FLUSH_RECORDS", records)
+    monkeypatch.setattr("meridia.llm.line_dedup.PART_RECORDS", 4 * records)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeéß漢") for _ in range(rng.randint(2, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    base = [prose(rng.randint(3, 60)) for _ in range(40)]
+
+    def near():
+        x = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):  # edits anywhere in the line
+            x[rng.randrange(len(x))] = rng.choice("abcX é")
+        return rng.choice(["", " ", "\t"]) + "".join(x) + rng.choice(["", " ", "\r"])
+
+    rows = [(i, "\n".join(rng.choice([near(), near(), prose(rng.randint(0, 9)), "", "ab", "Same LINE everywhere in the corpus"]) for _ in range(rng.randint(0, 12)))) for i in range(120)]
+    rows += [(500, None), (501, ""), (502, "\n\n"), (None, base[0]), (503, base[1] + "\n" + base[1].upper()), (-4, base[2]), (504, "long " * 60_000), (505, "long " * 60_001 + "\nend"), (506, rows[0][1])]
+    gone = brute_lines(rows)
+    want = {}
+    for i, t in rows:
+        kept = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)
+        want[i] = (kept, sum(d == i for d, _ in gone))
+    assert len(gone) > 300
+    got = dedup_lines(spark.createDataFrame([(i, t, "g", 1) for i, t in rows], "doc_id long, text string, gone string, node int").repartition(5))
+    assert {r.doc_id: (r.text, r.n_removed) for r in got.collect()} == want
+    assert got.columns == ["doc_id", "gone", "node", "text", "n_lines", "n_removed"]
+
+
+def test_stray_nodes_of_a_hub_are_linear(spark):
+    """One bucket: many nodes that all link with the hub, and a few that link with nothing."""
+    from meridia.llm.graph import linked_components
+    from meridia.llm.near_dedup import _measure
+
+    core = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: i.cast("long"))
+    spent = []
+    for n in (4_000, 4_000, 32_000):
+        nodes = spark.range(n).withColumn("body", F.when(F.col("id") % 1000 == 1, F.transform(core, lambda i: F.when(i > 20, i + F.col("id") * 1000).otherwise(i))).otherwise(F.array_append(core, F.col("id") + 10**9)))
+        nodes = nodes.withColumnRenamed("id", "node").cache()
+        began = time.time()
+        parts = linked_components(nodes.select(F.lit(5).cast("long").alias("bucket"), "node"), nodes, 80, _measure, lambda rows: rows.withColumnRenamed("body", "x"))
+        sizes = [r[0] for r in parts.groupBy("component").count().select("count").collect()]
+        spent.append(time.time() - began)
+        assert sizes == [n - n // 1000]
+    assert spent[2] < 8 * spent[1]  # eight times the nodes
+
+
 def test_line_spans_of_blocks():
     texts = ["a\nb\n", "", "\n", "c", "d\n\ne"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
@@ -197,12 +271,35 @@ def test_bpe_equals_tiktoken(spark):
     assert {r.doc_id: r.decoded for r in bpe.decode(coded.select("doc_id", "ids"), RANKS).collect()} == {i: t or "" for i, t in rows}
 
 
-def test_streamed_utf8():
-    table_ = [bytes([b]) for b in range(256)]
-    for data in ("aé漢😀b".encode(), b"\xf0\x9f", b"\xe0\x80\xff a", b"\xc3"):
-        decoder = bpe.StreamDecoder(table_)
-        out = "".join(decoder.feed([b]) for b in data) + decoder.finish()
-        assert out.replace("�", "") == data.decode("utf-8", "ignore")
+def test_streamed_utf8(spark):
+    """Against the incremental decoder of the standard library, however the bytes are cut into tokens."""
+    single = [bytes([b]) for b in range(256)]
+    pairs = [bytes([a, b]) for a in (0x61, 0xC3, 0xE2, 0xF0, 0x9F, 0x98) for b in (0x62, 0x80, 0xA9, 0xC3, 0xFF)]
+    rng = random.Random(6)
+    streams = [b"", b"\xf0\x9f", b"\xe0\x80\xff a", b"\xc3", b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xf0\x9f\x98a\xf0\x9f\x98\x80", "aé漢😀b".encode()]
+    streams += [bytes(rng.choice([0x61, 0x80, 0x9F, 0xA9, 0xC3, 0xE2, 0xE0, 0xED, 0xF0, 0xF4, 0xFF]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    decoder = bpe.StreamDecoder([*single, *pairs, None])
+    for data in streams:
+        incremental = codecs.getincrementaldecoder("utf-8")(errors="replace")
+        decoder.reset()
+        i, got, want = 0, b"", ""
+        while i < len(data):
+            two = data[i : i + 2]
+            token = 256 + pairs.index(two) if two in pairs and rng.random() < 0.7 else data[i]
+            step = 2 if token > 255 else 1
+            got += decoder.feed(np.array([token]))
+            want += incremental.decode(data[i : i + step])
+            assert len(decoder.held) < 4
+            i += step
+        assert (got + decoder.finish()).decode() == want + incremental.decode(b"", final=True)
+        decoder.reset()
+        assert (decoder.feed(np.frombuffer(data, np.uint8).astype(np.int64)) + decoder.finish()).decode() == data.decode("utf-8", "replace")
+    with pytest.raises(ValueError):
+        decoder.feed(np.array([256 + len(pairs)]))
+    ranks = {t: i for i, t in enumerate(single)}
+    rows = spark.createDataFrame([(k, list(data) or None) for k, data in enumerate(streams)], "doc_id long, ids array<int>").repartition(2)
+    assert {r.doc_id: r.decoded for r in bpe.decode(rows, ranks).collect()} == {k: data.decode("utf-8", "replace") for k, data in enumerate(streams)}
+    assert bpe.decode(rows.limit(0), ranks).count() == 0
 
 
 def test_nearest(spark):
