@@ -75,7 +75,8 @@ def contaminated_words(docs: DataFrame, items: DataFrame, window: int = 10) -> D
 
     Null or empty texts have no words.  Items with a null id are ignored.
     Repeated items count once; rows that share a doc_id are one document and
-    should be alike.  An empty benchmark leaves every document without hits.
+    should be alike: if not, it has the words of the longest and the hits of all.
+    No documents: an empty table.  An empty benchmark leaves every document without hits.
     """
     if window < GRAM:
         raise ValueError(f"a window has at least {GRAM} words")

@@ -206,7 +206,8 @@ def score_documents(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     """Adds ``score`` (double, 0 to 1): how likely the text has quality label 1.
 
     Only the text is read; all columns are kept (a ``score`` column is replaced).
-    Null counts as the empty text, which is scored as well.
+    Null counts as the empty text, which is scored as well.  Repeated rows give
+    the same score each, an empty table an empty one; texts are read in blocks.
     """
     docs = docs.drop("score")
     shipped = docs.sparkSession.sparkContext.broadcast(model)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality, tokens, warc
+from . import bpe, chat, quality, stages, tokens, warc
 from .ann import nearest
 from .decontaminate import contaminated_words
 from .line_dedup import dedup_lines
@@ -103,9 +103,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, _table(spark, sf_dir, "documents"), sf_dir)
 
 
 _QUERIES = (

@@ -295,7 +295,8 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     Null text: no words, ``kept_text`` empty.  Null doc_id: neither cut nor a
     source.  Rows that share a doc_id are one document and should be alike;
-    each is returned.  Texts shorter than the window stay whole.
+    each is returned.  Texts shorter than the window stay whole.  An empty table
+    gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = repeated_spans(docs, window)

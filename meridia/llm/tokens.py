@@ -8,6 +8,7 @@ that pre-tokens share is scored once; a terminal node keeps the piece count.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -95,14 +96,15 @@ def count_tokens(docs: DataFrame, scores: dict[bytes, float], pattern: str) -> D
     """Adds ``n_pretokens`` and ``n_tokens`` (long): matches of ``pattern``, and their unigram pieces.
 
     ``docs`` needs ``text``; its other columns are kept (the two are replaced).
-    Null and empty texts count 0.  ``scores`` must have every single byte, so
-    every text has a segmentation.
+    Null and empty texts count 0, repeated rows count each, an empty table gives
+    an empty one; a very long text is read match by match.  ``scores`` must have
+    every single byte, so every text has a segmentation.
     """
     if any(bytes([b]) not in scores for b in range(256)):
         raise ValueError("a byte-level vocabulary has every single byte")
     docs = docs.drop("n_pretokens", "n_tokens")
     shipped = docs.sparkSession.sparkContext.broadcast((scores, pattern))
-    key = hash((len(scores), pattern, shipped._jbroadcast.id()))
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex

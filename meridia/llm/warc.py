@@ -43,7 +43,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     ``headers`` (of a resolved one: the response's, with the permitted headers of
     the revisit put over them; names in lower case).
 
-    Null URL, time or id: a revisit is an orphan, a response is no source.
+    Null URL, time or id: a revisit is an orphan, a response is no source.  A
+    record_id should be unique: of responses that share one, the latest gives
+    validators and headers; repeated revisits give a row each.  No revisits: an
+    empty table.
     Payloads never move: join them by ``source_id``.  A page's history is cut
     into spans of time, and what is latest before each span is carried in, so a
     page with very many records does not meet in one task.
@@ -65,7 +68,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     placed = placed.join(carried, ["url_key", "span"], "left").withColumn("source_id", F.coalesce("own", "carried")["record_id"])
     lost = rows.where((F.col("kind") == "revisit") & ~F.coalesce(known, F.lit(False)))
     asked = placed.select("record_id", "url_key", "etag", "last_modified", "headers", "source_id").unionByName(lost.select("record_id", "url_key", "etag", "last_modified", "headers"), allowMissingColumns=True)
-    found = rows.where(full).select(F.col("record_id").alias("source_id"), F.col("etag").alias("s_etag"), F.col("last_modified").alias("s_modified"), F.col("headers").alias("s_headers")).dropDuplicates(["source_id"])
+    kept = F.struct("ts", F.col("etag").alias("s_etag"), F.col("last_modified").alias("s_modified"), F.array_sort(F.map_entries("headers")).alias("entries"))
+    found = rows.where(full).groupBy(F.col("record_id").alias("source_id")).agg(F.max(kept).alias("r"))
+    found = found.select("source_id", "r.s_etag", "r.s_modified", F.map_from_entries("r.entries").alias("s_headers"))
     out = asked.join(found, "source_id", "left")
     tags = F.col("etag").isNotNull() & F.col("s_etag").isNotNull()
     dates = F.col("last_modified").isNotNull() & F.col("s_modified").isNotNull()

@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from meridia.llm import ann, bpe, chat, kernels, quality, tokens, warc
+from meridia.llm import ann, bpe, chat, kernels, quality, stages, tokens, warc
 from meridia.llm import queries as Q
 from meridia.llm import substring_dedup as sub
 from meridia.llm.decontaminate import contaminated_words
@@ -374,6 +374,80 @@ def test_chat_of_null_keys(spark):
     }
 
 
+def test_chat_of_odd_roles_and_repeated_rows(spark):
+    roles = ["us<|end|>\ner", "a\\nb", "\\\n\\", "<|turn|>\n\n", "assistant", ""]
+    rows = [("t", i, i - 1 if i else None, r, f"x\n{r}", 0.0) for i, r in enumerate(roles)]
+    t = spark.createDataFrame(rows + rows[:2] + [("t", 1, 0, "a\\nb", "y", 0.0)], "tree string, id long, parent long, role string, text string, score double").withColumn("leaf", F.lit("clash"))
+    got = chat.format_conversations(t).withColumn("turns", chat.parse(F.col("formatted"))).collect()
+    assert [[(x.role, x.text) for x in r.turns] for r in got] == [[(r, f"x\n{r}") for r in roles]]
+    start, length = got[0].loss[0]
+    assert got[0].formatted[start : start + length] == "x\nassistant" and len(got[0].loss) == 1
+
+
+def test_repeated_record_ids(spark):
+    rows = [(1, "u", 1, "response", 200, "e", None, {"A": "1"}), (1, "u", 2, "response", 200, "f", None, {"A": "2"}), (2, "u", 5, "revisit", 304, "f", None, {}), (2, "u", 5, "revisit", 304, "f", None, {})]
+    t = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, status int, etag string, last_modified string, headers map<string,string>")
+    assert [(r.source_id, r.outcome, r.headers) for r in warc.resolve_revisits(t.withColumn("span", F.lit(0))).collect()] == [(1, "resolved", {"a": "2"})] * 2
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    rng = random.Random(9)
+    good = lambda n: " ".join(rng.choice(["calm", "river", "stone", "green", "walk", "hill", "cloud", "bird"]) + str(rng.randint(0, 40)) for _ in range(n)) + "."
+    bad = lambda: " ".join(rng.choice(["CLICK!!", "BUY!!", "x | y", "win%%%"]) for _ in range(60))
+    rows = [(i, good(60) if i % 2 else bad()) for i in range(300)]
+    base, leak = good(80), good(14)
+    rows += [(400, base), (401, base.replace(".", " end.")), (402, good(20) + " " + leak + " " + good(20)), (403, "A line that is in many documents of it\n" + good(30)), (404, "A line that is in many documents of it\n" + good(30)), (405, "A line that is in many documents of it\n \t\n"), (None, good(30)), (None, leak + " " + good(9)), (406, None), (407, ""), (408, good(12_000))]
+    schema = "doc_id long, text string, score double, n_lines string, gone string, hits int, n_chars int, ids string"
+    docs = spark.createDataFrame([(i, t, 0.5, "n", "g", 1, len(t or ""), "x") for i, t in rows], schema)
+    spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b1", leak)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    scored = {(r.doc_id, r.text): r.s for r in quality.score_documents(docs.drop("score"), quality.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))).withColumnRenamed("score", "s").collect()}
+    one = stages.classify(spark, docs, str(tmp_path))
+    assert one.columns == docs.columns and texts(one) == sorted((r for r in rows if scored[r] >= 0.7), key=str)
+    assert {i for i, _ in texts(one)} >= set(range(1, 300, 2)) | {400, 401, 402} and not {i for i, _ in texts(one)} & set(range(0, 300, 2))
+
+    kept = [r for r in rows if r[0] is None or r[0] > 300 or r[0] % 2]  # later stages get rows of every kind
+    given = lambda rows: spark.createDataFrame([(i, t, 0.5, "n", "g", 1, len(t or ""), "x") for i, t in rows], schema)
+    gone = brute_lines(kept)
+    want = []
+    for i, t in kept:
+        lines = [x for n, x in enumerate((t or "").split("\n")) if (i, n) not in gone]
+        if t is None or len(lines) == len(t.split("\n")) or "".join(lines).strip():
+            want.append((i, t if t is None else "\n".join(lines)))
+    two = stages.dedup(spark, given(kept), str(tmp_path))
+    assert texts(two) == sorted(want, key=str) and two.columns == docs.columns and 405 not in {i for i, _ in want}
+    assert all(r.n_chars == len(r.text or "") and r.n_lines == "n" and r.gone == "g" for r in two.collect())
+
+    three = stages.near_dedup(spark, given(kept), str(tmp_path))
+    assert texts(three) == sorted((r for r in kept if r[0] != 401), key=str) and three.columns == docs.columns
+    four = stages.decontaminate(spark, given(kept), str(tmp_path))
+    assert 402 not in {r.doc_id for r in four.collect()} and leak not in " ".join(t or "" for _, t in texts(four))
+    five = stages.tokenise(spark, given(kept), str(tmp_path)).collect()
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    assert sorted(((r.doc_id, r.token_ids) for r in five), key=str) == sorted(((i, reference.encode_ordinary(t or "")) for i, t in kept), key=str) and all(r.round_trip for r in five)
+    for _, stage in stages.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_empty_and_very_long_texts_of_operators(spark):
+    long = " ".join(f"w{i % 977}" for i in range(200_000))
+    rows = [(1, long), (2, "a " + long), (3, None), (4, "")]
+    docs = table(spark, rows)
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in sub.remove_repeats(docs).collect()} == {1: (200_000, 0), 2: (200_001, 200_000), 3: (0, 0), 4: (0, 0)}
+    assert sub.remove_repeats(docs.limit(0)).count() == 0
+    hits = contaminated_words(docs, spark.createDataFrame([(1, " ".join(long.split()[-12:]))], "item_id long, text string"))
+    assert {r.doc_id: (r.n_words, len(r.hits) > 12) for r in hits.collect()} == {1: (200_000, True), 2: (200_001, True), 3: (0, False), 4: (0, False)}
+    scores = tokens.zipf_scores(RANKS)
+    counted = {r.doc_id: r.n_pretokens for r in tokens.count_tokens(docs, scores, public_tokenizers.PATTERN).collect()}
+    assert counted[2] == counted[1] + 1 and counted[3] == counted[4] == 0
+    assert tokens.count_tokens(docs.limit(0), scores, public_tokenizers.PATTERN).count() == 0
+    model = quality.train(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.score_documents(docs, model).count() == 4 and quality.score_documents(docs.limit(0), model).count() == 0
+
+
 def test_revisits(spark):
     rows = [
         (1, "http://WWW.a.org/x/?b=2&utm_source=q&a=1#f", 10, "response", 200, "e1", "d1", {"ETag": "e1", "Content-Length": "5"}), (2, "https://a.org/x?a=1&b=2", 20, "revisit", 304, 'W/e1', None, {"Date": "new", "Content-Length": "0"}),
