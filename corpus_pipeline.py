@@ -1,77 +1,20 @@
-"""A corpus through five stages: quality, line dedup, near-dedup, decontamination, tokens.
+"""A corpus through five stages: quality, line dedup, near dedup, decontamination, tokens.
 
-Every stage takes ``(spark, docs, sf_dir)`` and all that the stage before it
-kept.  All but the last return the columns of ``documents``; texts that a stage
-changes are what the next one reads.
+The stages are in ``meridia.llm.stages``; each takes ``(spark, docs, sf_dir)``
+and all that the stage before it kept.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from meridia.llm import bpe, quality
-from meridia.llm.decontaminate import contaminated_words
-from meridia.llm.line_dedup import dedup_lines
-from meridia.llm.near_dedup import near_duplicates
-from meridia.llm.scratch import materialize
+from meridia.llm import stages
 
-#: Documents score this or more to stay.
-MIN_QUALITY = 0.7
-
-
-def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine accepts."""
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_documents(docs, model).where(F.col("score") >= MIN_QUALITY).drop("score")
-
-
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated lines; a document of which no line is left goes."""
-    kept = dedup_lines(docs)
-    kept = kept.where("n_removed = 0 or trim(text) <> ''")
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest doc_id."""
-    gone = near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of the benchmark."""
-    found = contaminated_words(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where("size(hits) > 0").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
-def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether decoding gives its text back."""
-    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    ids = bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    ids = ids.select("doc_id", "text", F.col("ids").alias("token_ids"), "ids")
-    done = bpe.decode(ids, ranks)
-    return done.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
-
-
-STAGES = [
-    ("quality classifier", classify),
-    ("line dedup", dedup),
-    ("near dedup", near_dedup),
-    ("decontamination", decontaminate),
-    ("byte-level BPE", tokenise),
-]
+STAGES = stages.STAGES
 #: Stages fit a model and follow links: SQL can't express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs)
-    return docs
+    return stages.run(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
