@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .scratch import Kept
 
 #: States, transitions and cached pieces are dropped and built anew beyond these sizes.
-MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE_CHARS = 150_000, 500_000, 600_000, 64
+MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE_CHARS = 120_000, 300_000, 400_000, 64
 _NEVER = 1 << 60
 _LONG_TEXT = 1 << 22
 
@@ -328,7 +329,16 @@ class StreamDecoder:
         return self._replaced(self.held, final=True)
 
 
-_encoders: dict[object, Encoder] = {}
+_kept = Kept()
+
+
+def _encoder(key: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """This worker's encoder; a function of the module, as what a task's own function refers to is copied for each task."""
+    return _kept.take(key, lambda: Encoder(ranks, pattern))
+
+
+def _task_over() -> None:
+    _kept.rest()
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -346,15 +356,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(key)
-        if encoder is None:
-            _encoders.clear()
-            encoder = _encoders[key] = Encoder(*shipped.value)
+        encoder = _encoder(key, *shipped.value)
         gc.disable()  # its millions of tuples hold no cycles; scanning them takes a fifth of the time
         try:
             yield from coded(encoder, batches)
         finally:
             gc.enable()
+            _task_over()
 
     def coded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,7 @@
 """Vectorised text kernels: words, shingles and lines as 64-bit hashes.
 
 All of them work on the raw UTF-8 buffer of an Arrow string column, in blocks
-of about a megabyte, so memory does not depend on the number of rows in a
+of about 256 KB, so memory does not depend on the number of rows in a
 batch.  A text longer than a block is cut at separators only.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C17 | 3  # odd, 3 mod 4
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -25,7 +25,7 @@ BINS, BANDS, WIDTH = 64, 12, 4
 #: Bytes of text worked on together; a text that is longer is a block of its own.
 BLOCK = 1 << 17
 #: Band records that a task gathers before it sends them, and those of one partition of the exchange.
-FLUSH_RECORDS, PART_RECORDS = 1 << 20, 1 << 21
+FLUSH_RECORDS, PART_RECORDS = 1 << 19, 1 << 21
 #: Pairs whose sets are compared together: the number of a pair and 54 bits of a hash make one key.
 PAIRS = 1 << 10
 #: Lists of lines are broadcast where they take so many bytes or fewer.
@@ -291,24 +291,40 @@ def _sets(rows: DataFrame) -> DataFrame:
 _DOC, _GONE = "__line_dedup_doc", "__line_dedup_gone"
 
 
+_DOC, _GONE = "__line_dedup_doc", "__line_dedup_gone"
+
+
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with ``text`` and the list of line numbers that go (line numbers or null): text without these lines, and counts."""
+    """Rows with ``text`` and the list of line numbers that go: text without these lines, and counts."""
     for batch in batches:
-        gone = batch.column(_GONE)
         data, offsets = K.string_buffers(batch.column("text"))
-        texts, removed, total = [], [], []
-        for k in range(len(batch)):
-            text = data[offsets[k] : offsets[k + 1]].tobytes()
-            drop_ = gone[k].as_py() if gone[k].is_valid else None
-            total.append(text.count(b"\n") + 1 if text else 0)
-            removed.append(len(drop_) if drop_ else 0)
-            if drop_:
-                drop_ = set(drop_)
-                text = b"\n".join(line for n, line in enumerate(text.split(b"\n")) if n not in drop_)
-            texts.append(text.decode())
+        null = np.asarray(batch.column("text").is_null())
         rest = [c for c in batch.schema.names if c not in ("text", _GONE)]
-        text = pa.array(texts, pa.string(), mask=np.asarray(batch.column("text").is_null()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), text, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*rest, "text", "n_lines", "n_removed"])
+        for i, j in K.row_blocks(offsets):
+            gone = batch.column(_GONE).slice(i, j - i).to_pylist()
+            texts, total = [], []
+            for k, lines in zip(range(i, j), gone, strict=True):
+                text = data[offsets[k] : offsets[k + 1]].tobytes()
+                total.append(text.count(b"\n") + 1 if text else 0)
+                if lines:
+                    lines = set(lines)
+                    text = b"\n".join(line for n, line in enumerate(text.split(b"\n")) if n not in lines)
+                texts.append(text)
+            text = pa.array(texts, pa.binary(), mask=null[i:j]).view(pa.string())
+            counts = [pa.array(total, pa.int64()), pa.array([len(x or ()) for x in gone], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in rest), text, *counts], [*rest, "text", "n_lines", "n_removed"])
+
+
+_DOC, _GONE = "__line_dedup_doc", "__line_dedup_gone"
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """A text without the lines of these numbers; a text of a null list is left as it is."""
+    lines = F.split(text, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    # in a struct of its own, so that the text is split once and not for each line
+    joined = F.transform(F.array(F.struct(lines.alias("lines"), kept.alias("kept"))), lambda s: F.array_join(F.transform(s["kept"], lambda i: F.get(s["lines"], i)), "\n"))
+    return F.when(gone.isNull() | text.isNull(), text).otherwise(joined[0])
 
 
 def _small(lists: DataFrame, column: str) -> DataFrame:
@@ -362,6 +378,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     for used in (lines, spots, shared, near, members, lists, bodies, parts, many, alike):
         drop(used)
     out = docs.join(_small(gone, _GONE), F.col("doc_id") == F.col(_DOC), "left").drop(_DOC)
+    text, lost = F.col("text"), F.col(_GONE)
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    n_lines = F.when(F.octet_length(text) > 0, breaks + 1).otherwise(0).cast("long")
     rest = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*rest, "text").withColumn("n_lines", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).schema
-    return out.mapInArrow(_rebuild, schema)
+    return out.select(*rest, _without(text, lost).alias("text"), n_lines.alias("n_lines"), F.when(lost.isNull(), 0).otherwise(F.size(lost)).cast("long").alias("n_removed"))

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +54,41 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+class Kept:
+    """One object that a Python worker keeps from task to task, and gives up after some idle seconds.
+
+    Workers outlive a stage, so what they keep would stay in the executor's
+    memory while other stages run.
+    """
+
+    def __init__(self, seconds: float = 3.0):
+        self.seconds, self.lock = seconds, threading.Lock()
+        self.key = self.value = self.timer = None
+
+    def take(self, key: object, build: Callable[[], object]) -> object:
+        with self.lock:
+            if self.timer:
+                self.timer.cancel()
+            self.timer = None
+            if self.key != key:
+                self.key, self.value = key, build()
+            return self.value
+
+    def rest(self) -> None:
+        """A task is over: keep the object for a while."""
+        with self.lock:
+            if self.timer:
+                self.timer.cancel()
+            self.timer = threading.Timer(self.seconds, self._forget)
+            self.timer.daemon = True
+            self.timer.start()
+
+    def _forget(self) -> None:
+        with self.lock:
+            if self.timer is threading.current_thread():
+                self.key = self.value = self.timer = None
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

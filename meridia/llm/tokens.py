@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .scratch import Kept
 
 #: The trie starts anew beyond this many nodes; long pre-tokens are scored without staying in it.
 MAX_NODES, MAX_PIECE_BYTES = 1_200_000, 256
@@ -89,7 +90,18 @@ class TrieScorer:
         return count[-1]
 
 
-_scorers: dict[object, tuple] = {}
+_kept = Kept()
+
+
+def _scorer(key: str, scores: dict[bytes, float], pattern: str) -> tuple:
+    """This worker's trie and pattern; a function of the module, as what a task's own function refers to is copied for each task."""
+    import regex
+
+    return _kept.take(key, lambda: (TrieScorer(scores), regex.compile(pattern)))
+
+
+def _task_over() -> None:
+    _kept.rest()
 
 
 def count_tokens(docs: DataFrame, scores: dict[bytes, float], pattern: str) -> DataFrame:
@@ -107,13 +119,7 @@ def count_tokens(docs: DataFrame, scores: dict[bytes, float], pattern: str) -> D
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        held = _scorers.get(key)
-        if held is None:
-            _scorers.clear()
-            held = _scorers[key] = (TrieScorer(shipped.value[0]), regex.compile(shipped.value[1]))
-        scorer, compiled = held
+        scorer, compiled = _scorer(key, *shipped.value)
         for batch in batches:
             _, offsets = K.string_buffers(batch.column("text"))
             for i, j in K.row_blocks(offsets):
@@ -133,5 +139,6 @@ def count_tokens(docs: DataFrame, scores: dict[bytes, float], pattern: str) -> D
                     tokens.append(n)
                     pieces.append(total)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tokens, pa.int64()), pa.array(pieces, pa.int64())], [*part.schema.names, "n_pretokens", "n_tokens"])
+        _task_over()
 
     return docs.mapInArrow(run, docs.withColumn("n_pretokens", F.lit(0).cast("long")).withColumn("n_tokens", F.lit(0).cast("long")).schema)
