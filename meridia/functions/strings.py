@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Needles of section kinds in order of priority, first rule set (accents folded).
+#: Needles of section kinds in order of priority, first rule set (lower case, accents folded).
 SECTION_RULES = (
     ("tani", ("tani",)),
     ("alaap", ("alap", "alapana")),
-    ("composed", ("khyal", "kriti", "bandish")),
+    ("composed", ("pallavi", "anupallavi", "caranam", "khyal", "kriti", "kirtana", "tarana", "bandish", "thumri", "bhajan", "dadra")),
+)
+#: Needles of the second rule set (lower case only, accents count).
+INSPECTION_RULES = (
+    ("alaap", ("ālāp", "alap", "alāp", "ālāpana", "alapana")),
+    ("composed", ("pallavi", "anupallavi", "caraṇam", "caranam", "khyāl", "khyal", "kriti", "kirtana", "tarānā", "bandish", "thumri", "tarana")),
 )
 
 
@@ -47,6 +52,12 @@ def classify(text: Column, rules) -> Column:
     return out
 
 
+def marks(text: Column, rules) -> dict[str, Column]:
+    """For each class whether the lower-cased text holds one of its needles; a null text holds none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return {name: F.exists(F.array(*map(F.lit, needles)), lambda n: F.contains(low, n)) for name, needles in rules}
+
+
 def seed_of(text: Column) -> Column:
     """The first four bytes of SHA-256, big-endian."""
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")
@@ -66,13 +77,21 @@ def human_bytes(size: Column) -> Column:
 
 
 def match_line(line: Column) -> dict[str, Column]:
-    """A matcher's line of 13 fields separated by ``;``: name, id, numbers; null where it is malformed."""
+    """A matcher's line: thirteen fields or more, separated by ``;``; all null where it is malformed.
+
+    The first two fields are whole numbers of digits, the match id and the count
+    are integers, the places and the three factors numbers (the factors with or
+    without a per cent sign).  One field that is not makes the line malformed.
+    """
     parts = F.transform(F.split(line, ";"), lambda p: F.trim(p))
-    number = lambda i: F.get(parts, F.lit(i)).try_cast("double")
-    percent = lambda i: F.rtrim(F.regexp_replace(F.get(parts, F.lit(i)), "%", "")).try_cast("double")
-    good = F.size(parts) == 13
-    return {
-        "query_path": F.when(good, F.get(parts, F.lit(2))), "match_id": F.when(good, F.get(parts, F.lit(6))), "query_start": F.when(good, number(3)), "query_stop": F.when(good, number(4)),
-        "ref_start": F.when(good, number(7)), "ref_stop": F.when(good, number(8)), "match_count": F.when(good, F.get(parts, F.lit(9)).try_cast("int")),
-        "time_factor_pct": F.when(good, percent(10)), "freq_factor_pct": F.when(good, percent(11)), "seconds_with_match_pct": F.when(good, percent(12)),
+    field = lambda i: F.get(parts, F.lit(i))
+    factor = lambda i: F.regexp_replace(field(i), "[ %]+$", "").try_cast("double")
+    numbers = {
+        "task": field(0).try_cast("int"), "task_total": field(1).try_cast("int"), "query_start": field(3).try_cast("double"), "query_stop": field(4).try_cast("double"),
+        "match_id": field(6).try_cast("bigint"), "ref_start": field(7).try_cast("double"), "ref_stop": field(8).try_cast("double"), "match_count": field(9).try_cast("int"),
+        "time_factor_pct": factor(10), "freq_factor_pct": factor(11), "seconds_with_match_pct": factor(12),
     }
+    good = (F.size(parts) >= 13) & field(0).rlike("^[0-9]+$") & field(1).rlike("^[0-9]+$")
+    for value in numbers.values():
+        good = good & value.isNotNull()
+    return {name: F.when(good, value) for name, value in {**numbers, "query_path": field(2), "ref_path": field(5)}.items()}

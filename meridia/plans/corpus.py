@@ -34,20 +34,51 @@ def raw_overlaps(spark, d):
     return w.join(w.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("works").alias("other")), "p_partkey").select("p_partkey", S.raw_overlap(F.col("works"), F.col("other")).alias("overlap"))
 
 
-@register("STR-5 STR-6 UDF-1", "SELECT doc_id, CASE WHEN t LIKE '%ene%' THEN 'tani' WHEN t LIKE '%uber%' THEN 'alaap' WHEN t LIKE '%cion%' THEN 'composed' END kind FROM (SELECT doc_id, strip_accents(lower(substr(text, 1, 40))) t FROM documents)")
+#: Section labels as the corpora write them; each text gets one in front.
+_LABELS = (
+    "Tani Āvartanam", "Ālāp", "Rāgam Ālāpana", "PALLAVI", "Anupallavi", "Caraṇam", "Khyāl", "Kriti", "Kīrtana", "Tarānā", "Bandish", "Thumrī", "Bhajan", "Dādrā", "Tani in Ālāp", "Interlude",
+)
+_LABELLED = f"(SELECT doc_id, [{', '.join(repr(x) for x in _LABELS)}][1 + doc_id % {len(_LABELS)}] || ' ' || text t FROM documents)"
+
+
+def _labelled(spark, d):
+    label = F.get(F.array(*map(F.lit, _LABELS)), (F.col("doc_id") % len(_LABELS)).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.concat(label, F.lit(" "), "text").alias("t"))
+
+
+def _any(column, needles):
+    return "(" + " OR ".join(f"contains({column}, '{n}')" for n in needles) + ")"
+
+
+_CHAIN = " ".join(f"WHEN {_any('f', needles)} THEN '{name}'" for name, needles in S.SECTION_RULES)
+
+
+@register("STR-6 UDF-1", f"SELECT doc_id, CASE {_CHAIN} END kind FROM (SELECT doc_id, strip_accents(lower(t)) f FROM {_LABELLED})")
 def classified(spark, d):
-    """The rule chain of section labels over whole texts, here with needles that the documents' languages have.
+    """The rule chain of section labels over labels and whole texts, without regard to case and accents."""
+    return _labelled(spark, d).select("doc_id", S.classify(F.col("t"), S.SECTION_RULES).alias("kind"))
+
 
-    The registered SQL still reads 40 characters, so its rows differ; ``tests/test_whole.py`` has the SQL of whole texts.
-    """
-    rules = (("tani", ("ene",)), ("alaap", ("uber",)), ("composed", ("cion",)))
-    return table(spark, d, "documents").select("doc_id", S.classify(F.col("text"), rules).alias("kind"))
+@register("STR-5", "SELECT doc_id, contains(strip_accents(lower(text)), 'uber') \"uber\", contains(strip_accents(lower(text)), 'cion') cion FROM documents")
+def folded(spark, d):
+    """Whole texts hold a needle, whatever its case and accents."""
+    return table(spark, d, "documents").select("doc_id", S.holds(F.col("text"), "uber").alias("uber"), S.holds(F.col("text"), "cion").alias("cion"))
 
 
-@register("STR-7 UDF-2 QRK-20", "SELECT doc_id, lower(text) LIKE '%ción%' OR lower(text) LIKE '%über%' found FROM documents")
+@register("STR-7 UDF-2", f"SELECT doc_id, {', '.join(f'{_any("f", n)} is_{k}' for k, n in S.INSPECTION_RULES)} FROM (SELECT doc_id, lower(coalesce(t, '')) f FROM {_LABELLED})")
 def needles(spark, d):
-    low = F.lower("text")
-    return table(spark, d, "documents").select("doc_id", F.exists(F.array(F.lit("ción"), F.lit("über")), lambda n: F.contains(low, n)).alias("found"))
+    """The second rule set: lower case only, so accents count."""
+    return _labelled(spark, d).select("doc_id", *(found.alias(f"is_{k}") for k, found in S.marks(F.col("t"), S.INSPECTION_RULES).items()))
+
+
+_DIFFER = f"SELECT kind, is_alaap, is_composed, count(*) n FROM (SELECT CASE {_CHAIN} END kind, {', '.join(f'{_any("g", n)} is_{k}' for k, n in S.INSPECTION_RULES)} FROM (SELECT strip_accents(lower(t)) f, lower(coalesce(t, '')) g FROM {_LABELLED})) GROUP BY ALL"
+
+
+@register("QRK-20", _DIFFER)
+def rule_sets_differ(spark, d):
+    """How both rule sets judge the same texts: they have different needles and fold differently."""
+    both = _labelled(spark, d).select(S.classify(F.col("t"), S.SECTION_RULES).alias("kind"), *(found.alias(f"is_{k}") for k, found in S.marks(F.col("t"), S.INSPECTION_RULES).items()))
+    return both.groupBy("kind", "is_alaap", "is_composed").agg(F.count("*").alias("n"))
 
 
 @register("STR-10 STR-18", "SELECT o_orderkey, format('ref_t{:04d}_q{:d}', o_custkey, o_orderkey % 5) id, (o_orderkey % 10)::INT || 's' AS label FROM orders")

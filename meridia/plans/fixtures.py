@@ -48,10 +48,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clips(spark: SparkSession, sf_dir: str, length: int, weight: float) -> DataFrame:
-    """A query of ``length`` segments for each recording, with noise from another segment: ``query_id, q_off, embedding``.
-
-    The registered SQL still has twenty queries; it agrees on tables of twenty recordings (500 vectors).
-    """
+    """A query of ``length`` segments for each recording, with noise from another segment: ``query_id, q_off, embedding``."""
     seg = segments(spark, sf_dir)
     lib = seg.select("global_idx", "embedding")
     n = lib.count()
@@ -66,7 +63,7 @@ def clips(spark: SparkSession, sf_dir: str, length: int, weight: float) -> DataF
 def with_clips(length: int, weight: float) -> str:
     """CTEs ``seg``, ``clip`` of the SQL side."""
     return f"""WITH seg AS (SELECT vec_id g, vec_id // 25 ref_id, (vec_id // 25) % 10 artist, (vec_id % 25) * 0.5::DOUBLE start_sec, embedding::DOUBLE[] e FROM embeddings),
- raw AS (SELECT i query_id, j q_off, 25 * i + 3 + j v FROM range(20) a(i), range({length}) b(j)),
+ raw AS (SELECT i query_id, j q_off, 25 * i + 3 + j v FROM (SELECT DISTINCT vec_id // 25 i FROM embeddings WHERE vec_id % 25 = 3) a, range({length}) b(j)),
  mix AS (SELECT query_id, q_off, list_transform(list_zip(x.e, y.e), lambda p: p[1] + {weight}::DOUBLE * p[2]) m FROM raw JOIN seg x ON x.g = v JOIN seg y ON y.g = (7 * v + 3) % (SELECT count(*) FROM embeddings)),
  clip AS (SELECT query_id, q_off, list_transform(m, lambda x: x / greatest(sqrt(list_inner_product(m, m)), 1e-12)) q FROM mix) """
 

@@ -8,7 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import sources
+from ..functions.strings import match_line
 from ..functions.time import micros
+from ..operators.numbering import numbered
 from .fixtures import manifest, results, with_eval
 from .registry import register, sql_on, table
 
@@ -43,7 +45,14 @@ same("JOIN-7 JOIN-8", "SELECT d.doc_id, coalesce(CAST(b.quality AS STRING), '')
 same("SET-1", "SELECT doc_id AS id, 'document' AS kind FROM {documents} UNION ALL SELECT item_id, 'item' FROM {benchmark}", "documents", "benchmark")
 same("SORT-1 SORT-3 SORT-2", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM {events}", "events")
 same("WIN-3", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM {events}", "events")
-same("LIM-2", "SELECT vec_id, score FROM (SELECT vec_id, label AS score, row_number() OVER (ORDER BY label, vec_id) AS n, count(*) OVER () AS total FROM {embeddings}) WHERE n = 11 OR n = CAST(floor(total / 2) AS INT) + 1 OR n = total - 4", "embeddings")
+@register("LIM-2", "SELECT vec_id, score FROM (SELECT vec_id, label AS score, row_number() OVER (ORDER BY label, vec_id) AS n, count(*) OVER () AS total FROM embeddings) WHERE n = 11 OR n = CAST(floor(total / 2) AS INT) + 1 OR n = total - 4")
+def picked_places(spark, d):
+    """Rows at a low, a middle and a high place of the sorted table."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("score"))
+    total = e.count()
+    return numbered(e, ["score", "vec_id"], _folder(spark)).where(F.col("n").isin(10, total // 2, total - 5)).select("vec_id", "score")
+
+
 same("AGG-12", "SELECT section_type, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS section_type FROM {orders}) GROUP BY section_type", "orders")
 same("AGG-13", "SELECT l_returnflag, count(DISTINCT l_partkey) AS n_parts, count(DISTINCT l_suppkey) AS n_suppliers FROM {lineitem} GROUP BY l_returnflag", "lineitem")
 same("AGG-14 UDF-4", "SELECT user_id, count(*) AS size, round(sum(coalesce(value, 0)) / 3600, 6) AS hours FROM {events} GROUP BY user_id", "events")
@@ -103,16 +112,37 @@ def fallback_join(spark, d):
 _LOG = "concat_ws(' ; ', cast(event_id % 7 AS {s}), '7', 'q' || user_id || '.wav', '0', '3', 'r.mp3', cast(user_id AS {s}), cast(event_id % 100 AS {s}), cast(event_id % 100 + 3 AS {s}), CASE WHEN event_id % 13 = 0 THEN 'bad' ELSE cast(event_id % 40 AS {s}) END, '1.00 %', '0.99 %', '87.5 %')"
 
 
-@register("STR-8 SRC-15 RET-7", "SELECT event_id, user_id match_id, (event_id % 100)::DOUBLE ref_start, (event_id % 100 + 3)::DOUBLE ref_stop, (event_id % 40)::INT match_count, 87.5::DOUBLE matched_pct FROM events WHERE event_id % 13 <> 0")
+@register("STR-8", "SELECT event_id, user_id match_id, (event_id % 100)::DOUBLE ref_start, (event_id % 100 + 3)::DOUBLE ref_stop, (event_id % 40)::INT match_count, 87.5::DOUBLE matched_pct FROM events WHERE event_id % 13 <> 0")
 def parsed_lines(spark, d):
-    from ..functions.strings import match_line
-
     lines = sql_on(spark, d, f"SELECT event_id, {_LOG.format(s='STRING')} AS line FROM {{events}}", "events")
     f = match_line(F.col("line"))
-    out = lines.select("event_id", f["match_id"].try_cast("bigint").alias("match_id"), f["ref_start"].alias("ref_start"), f["ref_stop"].alias("ref_stop"), f["match_count"].alias("match_count"), f["seconds_with_match_pct"].alias("matched_pct"))
+    out = lines.select("event_id", f["match_id"].alias("match_id"), f["ref_start"].alias("ref_start"), f["ref_stop"].alias("ref_stop"), f["match_count"].alias("match_count"), f["seconds_with_match_pct"].alias("matched_pct"))
     return out.dropna()
 
 
+#: A tool's output: a banner, lines with a field that is no number, lines with more fields than needed, and good ones.
+_OUTPUT = """CASE WHEN event_id % 17 = 0 THEN 'Query processed in ' || event_id || ' ms' WHEN event_id % 11 = 0 THEN replace(line, 'q', 'x;q') ELSE line || CASE WHEN event_id % 5 = 0 THEN ' ; more' ELSE '' END END"""
+
+
+@register("SRC-15 RET-7", """WITH good AS (SELECT event_id, user_id, event_id % 40 score FROM events WHERE event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 11 <> 0),
+ ranked AS (SELECT user_id, score, row_number() OVER (PARTITION BY user_id ORDER BY event_id) rank FROM good),
+ q AS (SELECT c_custkey user_id FROM customer)
+ SELECT q.user_id query_id, coalesce(rank, 0)::INT rank, score::INT match_count FROM q LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r USING (user_id)""")
+def ingested_matches(spark, d):
+    """Lines of text files, parsed, ranked by their order for each query, and every query kept (rank 0: no match)."""
+    to = _folder(spark)
+    lines = sql_on(spark, d, f"SELECT event_id, {_OUTPUT} AS line FROM (SELECT event_id, user_id, {_LOG.format(s='STRING')} AS line FROM {{events}})", "events")
+    # a tool's lines come in order; here each names its place, as files of several tasks have none
+    lines.select(F.concat_ws("\t", F.col("event_id").cast("string"), "line").alias("value")).write.text(to)
+    read = sources.read_lines(spark, to).select(F.substring_index("value", "\t", 1).cast("long").alias("place"), F.expr("substr(value, instr(value, '\t') + 1)").alias("line"))
+    f = match_line(F.col("line"))
+    found = read.select("place", F.regexp_extract(f["query_path"], "q([0-9]+)", 1).try_cast("bigint").alias("query_id"), f["match_count"].alias("match_count")).dropna()
+    order = Window.partitionBy("query_id").orderBy("place")
+    top = found.withColumn("rank", F.row_number().over(order)).where("rank <= 5").drop("place")
+    queries = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("query_id"))
+    return queries.join(top, "query_id", "left").select("query_id", F.coalesce("rank", F.lit(0)).alias("rank"), "match_count")
+
+
 @register("STR-9", "SELECT event_id, (event_id % 50)::INT n_prints, floor(value * 10)::INT ms FROM events")
 def log_numbers(spark, d):
     line = F.format_string("Query for %d prints, 3 matches in %d ms", F.col("event_id") % 50, F.floor(F.col("value") * 10).cast("int"))
@@ -162,9 +192,9 @@ def _folder(spark):
     return f"{(root or 'file://' + tempfile.gettempdir()).rstrip('/')}/meridia-{uuid.uuid4().hex}"
 
 
-@register("SRC-1 SRC-2 SNK-3 SNK-5", "SELECT n_nationkey::VARCHAR ref_id, n_name corpus FROM nation WHERE n_regionkey IN (0, 1)")
+@register("SRC-1 SRC-2 SNK-3 SNK-5", "SELECT n_nationkey::VARCHAR ref_id, n_name corpus FROM nation")
 def csv_round_trip(spark, d):
-    """A CSV file for each region and all of them read as one table; the registered SQL still has regions 0 and 1 alone."""
+    """A CSV file for each region and all of them read as one table."""
     n, to = table(spark, d, "nation"), _folder(spark)
     rows = n.select(F.col("n_nationkey").cast("string").alias("ref_id"), F.col("n_name").alias("corpus"), "n_regionkey")
     regions = [r[0] for r in n.select("n_regionkey").distinct().collect()]
@@ -214,9 +244,9 @@ def flattened(spark, d):
     return slim.select("event_id", F.col("a.b.event_type").alias("kind"), F.col("a.b.user_id").cast("long").alias("user"))
 
 
-@register("SRC-12 JSN-4", "SELECT event_id, i start, i + 2 stop, 'label' || i AS label FROM events, range(3) t(i) WHERE event_id % 10 = 0")
+@register("SRC-12 JSN-4", "SELECT event_id, i start, i + 2 stop, 'label' || i AS label FROM events, range(3) t(i)")
 def annotations(spark, d):
-    """Each event's annotation as JSON text and parsed again; the registered SQL still has a tenth of the events."""
+    """Each event's annotation as JSON text and parsed again."""
     number = lambda i: F.lit(i).cast("long")
     e = table(spark, d, "events").select(
         F.to_json(

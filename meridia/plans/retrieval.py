@@ -55,7 +55,7 @@ def within_recording(spark, d):
 
 @register("RET-4 JOIN-6 MTH-10", with_search(3, 0.8) + """SELECT q.query_id, coalesce(rank, 0) rank, ref_id predicted_ref_id, cand predicted_segment_id, score, start_sec ref_start, start_sec + 2.0::DOUBLE ref_stop,
  CASE WHEN cand IS NOT NULL THEN 0::DOUBLE END query_start, CASE WHEN cand IS NOT NULL THEN 2::DOUBLE END query_stop
- FROM range(23) q(query_id) LEFT JOIN (SELECT * FROM ranked JOIN seg ON g = cand) USING (query_id)""")
+ FROM (SELECT unnest(range((SELECT max(vec_id) // 25 + 4 FROM embeddings))) query_id) q LEFT JOIN (SELECT * FROM ranked JOIN seg ON g = cand) USING (query_id)""")
 def emitted(spark, d):
     last = segments(spark, d).agg(F.max("ref_id")).first()[0]
     manifest = spark.range(last + 4).select(F.col("id").alias("query_id"), F.lit(3).alias("n_segments"))

@@ -146,9 +146,9 @@ def test_windows_and_strings(spark):
 
 def test_lines(spark):
     good = "1 ; 2 ; q.wav ; 0 ; 3 ; r.mp3 ; 77 ; 1.5 ; 4.5 ; 12 ; 1.0 % ; 1.0 % ; 88.5 %"
-    t = spark.createDataFrame([(good,), ("1 ; 2",), (good.replace("12", "many"),), (None,)], "line string")
+    t = spark.createDataFrame([(good,), ("1 ; 2",), (good.replace("12", "many"),), (None,), (good.replace("1 ; 2", "x ; 2"),), ("q " + good,), (good.replace("1.5", "?"),), (good + " ; more",)], "line string")
     rows = [r for r in t.select(*[c.alias(k) for k, c in strings.match_line(F.col("line")).items()]).dropna().collect()]
-    assert len(rows) == 1 and rows[0].match_count == 12 and rows[0].seconds_with_match_pct == 88.5
+    assert len(rows) == 2 and rows[0].match_count == 12 and rows[0].ref_path == 'r.mp3' and rows[0].seconds_with_match_pct == 88.5
 
 
 def test_sources(spark, tmp_path):
