@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import Kept
+from .scratch import Kept, bound_batches
 
 #: States, transitions and cached pieces are dropped and built anew beyond these sizes.
 MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE_CHARS = 120_000, 300_000, 400_000, 64
@@ -352,6 +352,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     the workers once.
     """
     docs = docs.drop("ids")
+    bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
     key = uuid.uuid4().hex
 

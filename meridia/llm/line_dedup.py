@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import linked_components
-from .scratch import drop, materialize
+from .scratch import bound_batches, drop, materialize
 
 SHINGLE_CHARS = 8
 #: 12 bands of 4 bins: of lines with a similarity of 0.8 they miss 1 in 600 pairs, of 0.9 fewer than 1 in 100,000.
@@ -25,7 +25,7 @@ BINS, BANDS, WIDTH = 64, 12, 4
 #: Bytes of text worked on together; a text that is longer is a block of its own.
 BLOCK = 1 << 17
 #: Band records that a task gathers before it sends them, and those of one partition of the exchange.
-FLUSH_RECORDS, PART_RECORDS = 1 << 19, 1 << 21
+FLUSH_RECORDS, PART_RECORDS = 1 << 18, 1 << 19
 #: Pairs whose sets are compared together: the number of a pair and 54 bits of a hash make one key.
 PAIRS = 1 << 10
 #: Lists of lines are broadcast where they take so many bytes or fewer.
@@ -350,6 +350,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     to fit in memory some sixty times.  An empty table gives an empty one.
     """
     docs = docs.drop("n_lines", "n_removed")
+    bound_batches(docs.sparkSession)
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     lines = materialize(typed.mapInArrow(_scan, "doc_id long, line int, a long, b long"))
     # equal lines are one node, whose number is unique by construction and fixed once written
@@ -357,7 +358,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     spots = materialize(spots.withColumn("node", F.monotonically_increasing_id()))
 
     tasks = max(1, -(-lines.count() * BANDS // PART_RECORDS))
-    dealt = typed.select("text").mapInArrow(_bands(8 * tasks), _EXCHANGE).repartition(tasks, "to")
+    dealt = typed.select("text").mapInArrow(_bands(4 * tasks), _EXCHANGE).repartition(tasks, "to")
     shared = materialize(dealt.mapInArrow(_members, "bucket long, a long"))
     near = materialize(spots.join(shared.select("a").distinct(), "a").select("a", "node", "doc_id"))
     members = materialize(shared.join(near.select("a", "node"), "a").select("bucket", "node").distinct())

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .scratch import bound_batches
 
 #: Buckets of hashed words; structure statistics come after them.
 WORD_BUCKETS = 1 << 12
@@ -210,6 +211,7 @@ def score_documents(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     the same score each, an empty table an empty one; texts are read in blocks.
     """
     docs = docs.drop("score")
+    bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

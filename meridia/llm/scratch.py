@@ -17,6 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+#: Rows and bytes of an Arrow batch, where the session doesn't say otherwise: whole texts are long rows, and a
+#: batch is held by the JVM and by the worker, on the way in and on the way out.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the memory of Arrow batches in this session; settings that the session already has stay."""
+    for name, value in BATCH.items():
+        if spark.conf.get(name, None) in (None, "10000", "-1", "268435456", "67108864"):
+            spark.conf.set(name, value)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder: ``spark.checkpoint.dir``, or in local mode (tests) a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -30,6 +42,7 @@ def scratch_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame over the files."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)

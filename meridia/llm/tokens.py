@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import Kept
+from .scratch import Kept, bound_batches
 
 #: The trie starts anew beyond this many nodes; long pre-tokens are scored without staying in it.
 MAX_NODES, MAX_PIECE_BYTES = 1_200_000, 256
@@ -115,6 +115,7 @@ def count_tokens(docs: DataFrame, scores: dict[bytes, float], pattern: str) -> D
     if any(bytes([b]) not in scores for b in range(256)):
         raise ValueError("a byte-level vocabulary has every single byte")
     docs = docs.drop("n_pretokens", "n_tokens")
+    bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast((scores, pattern))
     key = uuid.uuid4().hex
 
