@@ -25,7 +25,7 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.exec
 def bound_batches(spark: SparkSession) -> None:
     """Bound the memory of Arrow batches in this session; settings that the session already has stay."""
     for name, value in BATCH.items():
-        if spark.conf.get(name, None) in (None, "10000", "-1", "268435456", "67108864"):
+        if spark.conf.get(name, None) is None:
             spark.conf.set(name, value)
 
 
