@@ -3,10 +3,12 @@
 The tokens that merging by rank gives for a string are the only sequence in which
 every two neighbours, merged alone, stay as they are.  So merges compile into a
 nondeterministic transducer whose states are a place in the trie of tokens and
-the token before it.  Determinising it on the fly gives states that hold all
-such pairs at once, each with the tokens not yet emitted; tokens leave as soon
-as all alternatives agree on them, after no more bytes than the longest token
-has.  Transitions are kept by (state, byte).
+the token before it.  Its places are determinised on the fly: a state is the set
+of places that the last bytes allow, with the tokens that may end there, and
+transitions are kept by (state, byte).  Of the tokens that may end at a byte,
+exactly one can follow the token before it, which is kept for each of the last
+places; tokens leave as soon as all alternatives agree on them, which open ones
+began no more bytes ago than the longest token has.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .scratch import Kept, bound_batches
 
-#: States, transitions and cached pieces are dropped and built anew beyond these sizes.
-MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE_CHARS = 120_000, 300_000, 400_000, 64
+#: Transitions, pairs and cached pieces are dropped and built anew beyond these sizes.
+MAX_MOVES, MAX_PAIRS, MAX_PIECES, MAX_PIECE_CHARS = 400_000, 300_000, 400_000, 64
+#: Bytes of a piece after which the tokens that are settled leave.
+LOOKAHEAD = 1 << 12
 _NEVER = 1 << 60
 _LONG_TEXT = 1 << 22
 
@@ -60,26 +64,68 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.child: list[dict[int, int]] = [{}]  # trie: byte -> node, by node
+        self.size = {rank: len(token) for token, rank in ranks.items()}
+        self.size[-1] = 0  # the start
+        self.trie: dict[int, int] = {}  # node << 8 | byte -> node
+        self.above, self.depth = [0], [0]  # by node: its parent << 8 | byte, its bytes
         self.ends: dict[int, int] = {}  # node -> token
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                after = self.child[node].get(byte)
-                if after is None:
-                    after = self.child[node][byte] = len(self.child)
-                    self.child.append({})
-                node = after
+                key = node << 8 | byte
+                node = self.trie.get(key, 0)
+                if not node:
+                    node = self.trie[key] = len(self.above)
+                    self.above.append(key)
+                    self.depth.append(self.depth[key >> 8] + 1)
             self.ends[node] = rank
         self.spines: dict[int, tuple | None] = {}
         self.pairs: dict[int, bool] = {}  # two tokens -> they stay apart
         self._reset()
 
     def _reset(self) -> None:
-        # a state: ((trie node, tokens pending), ...); the first pending token has been emitted
-        start = ((0, (-1,)),)
-        self.states, self.number = [start], {start: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # state << 8 | byte -> state, emitted
+        # a state is a set of trie nodes, all suffixes of the longest of them, which names it
+        self.moves: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}  # state << 8 | byte -> state, what may end there
+        self.rest: dict[int, int] = {0: 0}  # state -> the state of the same set without its longest node
+        self.final: dict[int, tuple[tuple[int, int], ...]] = {0: ()}  # state -> (token, bytes) that may end there
+
+    def _to(self, state: int, byte: int) -> int:
+        """The state after a byte: the longest node of the set that goes on, and its suffixes."""
+        while True:
+            node = self.trie.get(state << 8 | byte)
+            if node is not None or not state:
+                return node or 0
+            state = self._rest(state)
+
+    def _rest(self, state: int) -> int:
+        todo = []
+        while state not in self.rest:
+            todo.append(state)
+            state = self.above[state] >> 8
+        for node in reversed(todo):  # from the shortest prefix on
+            key = self.above[node]
+            self.rest[node] = self._to(self.rest[key >> 8], key & 255) if key >> 8 else 0
+        return self.rest[todo[0] if todo else state]
+
+    def _final(self, state: int) -> tuple[tuple[int, int], ...]:
+        todo = []
+        while state not in self.final:
+            todo.append(state)
+            state = self._rest(state)
+        found = self.final[state]
+        for node in reversed(todo):
+            token = self.ends.get(node)
+            if token is not None and self._spines(token) is not None:
+                found = ((token, self.size[token]), *found)
+            self.final[node] = found
+        return found
+
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+        to = self._to(state, byte)
+        if len(self.moves) >= MAX_MOVES:
+            self._reset()
+        self.moves[state << 8 | byte] = move = (to, self._final(to))
+        return move
 
     def _spines(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]] | None:
         """The pieces at the right and at the left edge of a token while it is merged,
@@ -131,65 +177,50 @@ class Transducer:
             self.pairs[key] = ok
         return ok
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        after, done = [], None
-        child, ends, pairs = self.child, self.ends, self.pairs
-        for node, pending in self.states[state]:
-            node = child[node].get(byte)
-            if node is None:
-                continue
-            if child[node]:
-                after.append((node, pending))
-            token = ends.get(node)
-            if token is not None and done is None:  # each string has one encoding, so one alternative ends here
-                left = pending[-1]
-                ok = pairs.get(left << 32 | token)
-                if self._follows(left, token) if ok is None else ok:
-                    done = (0, (*pending, token))
-        after.append(done)
-        # tokens that all alternatives share leave
-        first = after[0][1]
-        shared, most = 1, min([len(p) for _, p in after])
-        while shared < most:
-            token = first[shared]
-            for _, pending in after:
-                if pending[shared] != token:
-                    break
-            else:
-                shared += 1
-                continue
-            break
-        if shared > 1:
-            key = tuple([(node, pending[shared - 1 :]) for node, pending in after])
-        else:
-            key = tuple(after)
-        to = self.number.get(key)
-        if to is None:
-            to = self.number[key] = len(self.states)
-            self.states.append(key)
-        self.moves[state << 8 | byte] = move = (to, first[1:shared])
-        return move
+    def _settled(self, last: list[int], open_bytes: int) -> int:
+        """The place up to which all alternatives agree: those that are open began in the last bytes."""
+        places = set(range(max(0, len(last) - 1 - open_bytes), len(last)))
+        while len(places) > 1:
+            place = max(places)
+            places.remove(place)
+            places.add(place - self.size[last[place]])
+        return places.pop()
+
+    def _back(self, last: list[int], place: int) -> list[int]:
+        """The tokens from the start of ``last`` to a place."""
+        out, size = [], self.size
+        while place > 0:
+            token = last[place]
+            out.append(token)
+            place -= size[token]
+        out.reverse()
+        return out
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """Token ids of one piece; a piece that is a token itself is that token."""
         rank = self.ranks.get(piece)
         if rank is not None:
             return (rank,)
-        if not piece:
-            return ()
-        if len(self.states) > MAX_STATES:
-            self._reset()
-        out: list[int] = []
-        state, moves = 0, self.moves
-        for byte in piece:
-            move = moves.get(state << 8 | byte)
-            if move is None:
-                move = self._step(state, byte)
-            state, emitted = move
-            if emitted:
-                out += emitted
-        out += self.states[state][-1][1][1:]  # the alternative that ends here
-        return tuple(out)
+        moves, pairs, out, state = self.moves, self.pairs, [], 0
+        last = [-1]  # the last token of the encoding of each prefix since the tokens that left
+        for at in range(0, len(piece), LOOKAHEAD):
+            if at:  # what all alternatives share leaves
+                place = self._settled(last, self.depth[state])
+                out += self._back(last, place)
+                del last[:place]
+            for byte in piece[at : at + LOOKAHEAD]:
+                move = moves.get(state << 8 | byte)
+                if move is None:
+                    move = self._move(state, byte)
+                    moves = self.moves
+                state, tokens = move
+                for token, size in tokens:  # each prefix has one encoding, so one alternative ends here
+                    left = last[-size]
+                    ok = pairs.get(left << 32 | token)
+                    if self._follows(left, token) if ok is None else ok:
+                        last.append(token)
+                        break
+        return (*out, *self._back(last, len(last) - 1))
 
 
 class Encoder:
