@@ -17,7 +17,7 @@ import base64
 import gc
 import uuid
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, islice
 
 import numpy as np
@@ -33,6 +33,10 @@ from .scratch import Kept, bound_batches
 MAX_MOVES, MAX_PAIRS, MAX_PIECES, MAX_PIECE_CHARS = 400_000, 300_000, 400_000, 64
 #: Bytes of a piece after which the tokens that are settled leave.
 LOOKAHEAD = 1 << 12
+#: Patterns of which a space after a character that is not white space always begins a match.
+SPACE_BEGINS = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",)
+#: Bytes of texts whose new words are encoded together.
+BLOCK = 1 << 20
 _NEVER = 1 << 60
 _LONG_TEXT = 1 << 22
 
@@ -80,7 +84,8 @@ class Transducer:
                     self.depth.append(self.depth[key >> 8] + 1)
             self.ends[node] = rank
         self.spines: dict[int, tuple | None] = {}
-        self.pairs: dict[int, bool] = {}  # two tokens -> they stay apart
+        self.pairs: dict[int, dict[int, bool]] = {}  # token -> token after it -> they stay apart
+        self.known = 0  # pairs
         self._reset()
 
     def _reset(self) -> None:
@@ -88,6 +93,8 @@ class Transducer:
         self.moves: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}  # state << 8 | byte -> state, what may end there
         self.rest: dict[int, int] = {0: 0}  # state -> the state of the same set without its longest node
         self.final: dict[int, tuple[tuple[int, int], ...]] = {0: ()}  # state -> (token, bytes) that may end there
+        # the run over the piece before: bytes, the state and the last token of each prefix
+        self.seen, self.run, self.last = b"", [0], [-1]
 
     def _to(self, state: int, byte: int) -> int:
         """The state after a byte: the longest node of the set that goes on, and its suffixes."""
@@ -122,8 +129,6 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
         to = self._to(state, byte)
-        if len(self.moves) >= MAX_MOVES:
-            self._reset()
         self.moves[state << 8 | byte] = move = (to, self._final(to))
         return move
 
@@ -153,8 +158,7 @@ class Transducer:
 
     def _follows(self, left: int, right: int) -> bool:
         """Whether ``right`` can come after ``left`` (-1: the start): no merge joins them."""
-        key = left << 32 | right
-        ok = self.pairs.get(key)
+        ok = self.pairs[left].get(right) if left in self.pairs else None
         if ok is None:
             b = self._spines(right)
             if b is None or left < 0:
@@ -172,9 +176,10 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = ok
+            if self.known >= MAX_PAIRS:
+                self.pairs, self.known = {}, 0
+            self.pairs.setdefault(left, {})[right] = ok
+            self.known += 1
         return ok
 
     def _settled(self, last: list[int], open_bytes: int) -> int:
@@ -196,30 +201,56 @@ class Transducer:
         out.reverse()
         return out
 
+    def _read(self, piece: bytes, run: list[int], last: list[int]) -> None:
+        """Append the state and the last token after each byte."""
+        moves, pairs, state, none = self.moves, self.pairs, run[-1], {}
+        for byte in piece:
+            move = moves.get(state << 8 | byte)
+            if move is None:
+                move = self._move(state, byte)
+            state, tokens = move
+            for token, size in tokens:  # each prefix has one encoding, so one alternative ends here
+                left = last[-size]
+                ok = pairs.get(left, none).get(token)
+                if ok is None:
+                    ok = self._follows(left, token)
+                    pairs = self.pairs
+                if ok:
+                    last.append(token)
+                    break
+            run.append(state)
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        """Token ids of one piece; a piece that is a token itself is that token."""
+        """Token ids of one piece; a piece that is a token itself is that token.
+
+        The run over bytes that the piece before began with too is not repeated.
+        """
         rank = self.ranks.get(piece)
         if rank is not None:
             return (rank,)
-        moves, pairs, out, state = self.moves, self.pairs, [], 0
-        last = [-1]  # the last token of the encoding of each prefix since the tokens that left
+        if len(piece) <= LOOKAHEAD:
+            if len(self.moves) >= MAX_MOVES:
+                self._reset()
+            same = 0
+            for a, b in zip(self.seen, piece):  # noqa: B905 - to the end of the shorter one
+                if a != b:
+                    break
+                same += 1
+            run, last = self.run[: same + 1], self.last[: same + 1]
+            self._read(piece[same:], run, last)
+            self.seen, self.run, self.last = piece, run, last
+            return tuple(self._back(last, len(piece)))
+        out, state, last = [], 0, [-1]
         for at in range(0, len(piece), LOOKAHEAD):
             if at:  # what all alternatives share leaves
                 place = self._settled(last, self.depth[state])
                 out += self._back(last, place)
                 del last[:place]
-            for byte in piece[at : at + LOOKAHEAD]:
-                move = moves.get(state << 8 | byte)
-                if move is None:
-                    move = self._move(state, byte)
-                    moves = self.moves
-                state, tokens = move
-                for token, size in tokens:  # each prefix has one encoding, so one alternative ends here
-                    left = last[-size]
-                    ok = pairs.get(left << 32 | token)
-                    if self._follows(left, token) if ok is None else ok:
-                        last.append(token)
-                        break
+                if len(self.moves) >= MAX_MOVES:
+                    self._reset()
+            run = [state]
+            self._read(piece[at : at + LOOKAHEAD], run, last)
+            state = run[-1]
         return (*out, *self._back(last, len(last) - 1))
 
 
@@ -234,31 +265,63 @@ class Encoder:
             raise ValueError("a byte-level vocabulary has every single byte")
         self.pattern, self.transducer = regex.compile(pattern), Transducer(ranks)
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.gap = regex.compile(r"\s ") if pattern in SPACE_BEGINS else None
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
+    def _keep(self, piece: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(piece) <= MAX_PIECE_CHARS:
             if len(self.pieces) >= MAX_PIECES:
                 self.pieces.clear()
             self.pieces[piece] = ids
         return ids
 
-    def _ids(self, pieces: list[str]) -> np.ndarray:
-        found = list(map(self.pieces.get, pieces))
-        if None in found:
-            for k, ids in enumerate(found):
-                if ids is None:
-                    found[k] = self.pieces.get(pieces[k]) or self._piece(pieces[k])
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        return self._keep(piece, self.transducer.encode(piece.encode("utf-8", "surrogatepass")))
+
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
+        """A stretch of text that begins and ends with a match; of one match only, it is that piece."""
+        pieces = self.pattern.findall(chunk)
+        if len(pieces) == 1 and pieces[0] == chunk:
+            return self._piece(chunk)
+        return tuple(chain.from_iterable([self.pieces.get(p) or self._piece(p) for p in pieces]))
+
+    def _parts(self, text: str) -> tuple[list[str], bool]:
+        """What is looked up: words up to spaces if each space begins a match (True), else matches."""
+        if self.gap is None or self.gap.search(text):
+            return self.pattern.findall(text), False
+        first, *more = text.split(" ")
+        return [first, *[" " + part for part in more]], True
+
+    def _learn(self, parts: list[str], encode: Callable[[str], tuple[int, ...]]) -> None:
+        """Parts not seen before, in order, so that neighbours begin alike."""
+        new = set(parts).difference(self.pieces)
+        if len(self.pieces) + len(new) > MAX_PIECES:
+            self.pieces.clear()
+            new = set(parts)
+        for part in sorted(new):
+            self._keep(part, encode(part))
+
+    def _ids(self, parts: list[str], encode: Callable[[str], tuple[int, ...]]) -> np.ndarray:
+        found = list(map(self.pieces.get, parts))
+        if None in found:  # too long to be kept, or dropped
+            found = [encode(part) if ids is None else ids for part, ids in zip(parts, found, strict=True)]
         return np.fromiter(chain.from_iterable(found), np.int32)
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text; new words of all of them are encoded together."""
+        split = [self._parts(text) if len(text) <= _LONG_TEXT else None for text in texts]
+        for whole, encode in ((False, self._piece), (True, self._chunk)):
+            self._learn(list(chain.from_iterable([x[0] for x in split if x and x[1] == whole])), encode)
+        return [self._ids(x[0], self._chunk if x[1] else self._piece) if x else self._long(text) for x, text in zip(split, texts, strict=True)]
+
     def encode(self, text: str) -> np.ndarray:
-        if len(text) <= _LONG_TEXT:
-            return self._ids(self.pattern.findall(text))
-        found = (m[0] for m in self.pattern.finditer(text))  # a very long text: some pieces at a time
-        parts = []
-        while len(part := self._ids(list(islice(found, 100_000)))):
-            parts.append(part)
-        return np.concatenate(parts)
+        return self.encode_all([text])[0]
+
+    def _long(self, text: str) -> np.ndarray:
+        """A very long text: some matches at a time."""
+        found, ids = (m[0] for m in self.pattern.finditer(text)), []
+        while len(part := self._ids(list(islice(found, 100_000)), self._piece)):
+            ids.append(part)
+        return np.concatenate(ids)
 
 
 #: The UTF-8 automaton.  States: 0 between characters, 1-3 so many continuation bytes to come,
@@ -399,9 +462,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     def coded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = K.string_buffers(batch.column("text"))
-            for i, j in K.row_blocks(offsets):
+            for i, j in K.row_blocks(offsets, BLOCK):
                 part = batch.slice(i, j - i)
-                found = [encoder.encode(text) if text else np.zeros(0, np.int32) for text in part.column("text").to_pylist()]
+                found = encoder.encode_all([text or "" for text in part.column("text").to_pylist()])
                 at = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(x) for x in found], out=at[1:])
                 ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found)))

@@ -252,7 +252,7 @@ def test_densified_signatures_estimate_similarity():
         assert np.mean(agree) == pytest.approx(shared / (shared + 2 * own), abs=0.06)
 
 
-def test_bpe_equals_tiktoken(spark):
+def test_bpe_equals_tiktoken(spark, monkeypatch):
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
     encoder, rng = bpe.Encoder(RANKS, public_tokenizers.PATTERN), random.Random(3)
     for _ in range(600):
@@ -266,6 +266,19 @@ def test_bpe_equals_tiktoken(spark):
         x, y = encoder.transducer.token[a], encoder.transducer.token[b]
         assert encoder.transducer._follows(a, b) == (bpe.merge_by_rank(RANKS, x + y) == [x, y])
     rows = [(1, "Thé 漢字 😀"), (2, None), (3, ""), (4, " x ")]
+    # white space in all orders: words are looked up up to spaces, or split by the pattern
+    known = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    bits = ["a", "b ", " ", "\n", "\t", "'s", "9", ",", "é", "\xa0", "\u3000", "\x1c", "x y", "<|", "word"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    assert [ids.tolist() for ids in encoder.encode_all(texts)] == known.encode_ordinary_batch(texts)
+    monkeypatch.setattr(bpe, "LOOKAHEAD", 5)  # tokens leave as soon as they are settled
+    monkeypatch.setattr(bpe, "MAX_MOVES", 50)
+    monkeypatch.setattr(bpe, "MAX_PIECES", 20)
+    for text in texts[:300]:
+        piece = (text * 3).encode()
+        assert [encoder.transducer.token[t] for t in encoder.transducer.encode(piece)] == ([piece] if piece in RANKS else bpe.merge_by_rank(RANKS, piece))
+    assert [ids.tolist() for ids in encoder.encode_all(texts)] == known.encode_ordinary_batch(texts)
+    monkeypatch.undo()
     coded = bpe.encode(table(spark, rows), RANKS, public_tokenizers.PATTERN)
     assert {r.doc_id: r.ids for r in coded.collect()} == {i: reference.encode_ordinary(t or "") for i, t in rows}
     assert {r.doc_id: r.decoded for r in bpe.decode(coded.select("doc_id", "ids"), RANKS).collect()} == {i: t or "" for i, t in rows}
