@@ -367,6 +367,27 @@ class StreamDecoder:
             raise ValueError("an id is not in the vocabulary")
         return self.tokens.take(pa.array(ids))
 
+    def whole(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which of the streams that end at these places are UTF-8 as they are.
+
+        From each token that doesn't end between characters the automaton runs
+        until it is there again; these runs go on in step.
+        """
+        odd = np.flatnonzero(self.moves[0][ids])
+        row = np.searchsorted(ends, odd, side="right")
+        stop, at, state = ends[row], odd + 1, self.moves[0][ids[odd]]
+        live = np.arange(len(odd))
+        while len(live := live[(state[live] != 0) & (state[live] != 8) & (at[live] < stop[live])]):
+            state[live] = self.moves[state[live], ids[at[live]]]
+            at[live] += 1
+        after, true, k = np.searchsorted(odd, at).tolist(), [], 0
+        while k < len(odd):  # runs that begin inside another one are none
+            true.append(k)
+            k = after[k]
+        good = np.ones(len(ends), bool)
+        good[row[true][state[true] != 0]] = False
+        return good
+
     def feed(self, ids: np.ndarray) -> bytes:
         """The text that the next tokens complete, in UTF-8."""
         taken = self.bytes_of(ids)
@@ -494,15 +515,18 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 ids = values[at[i] : at[j]]
                 taken = decoder.bytes_of(ids)
                 ends = np.asarray(pa.Array.from_buffers(pa.int64(), len(taken) + 1, [None, taken.buffers()[1]], offset=taken.offset))[at[i : j + 1] - at[i]]
-                if decoder.moves[0][ids].any():  # a character is cut: go through these rows as streams
+                data, good = taken.buffers()[2] or pa.py_buffer(b""), decoder.whole(ids, at[i + 1 : j + 1] - at[i])
+                if good.all():  # all bytes are text as they are
+                    decoded = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(ends), data)
+                else:  # something is not UTF-8: go through these rows as streams
                     texts = []
                     for k in range(i, j):
+                        if good[k - i]:
+                            texts.append(data[int(ends[k - i]) : int(ends[k - i + 1])].to_pybytes())
+                            continue
                         decoder.reset()
                         texts.append(b"".join([decoder.feed(values[n : min(at[k + 1], n + 65536)]) for n in range(at[k], at[k + 1], 65536)]) + decoder.finish())
                     decoded = pa.array(texts, pa.large_binary()).view(pa.large_string())
-                else:  # each token ends between characters, so all bytes are text as they are
-                    data = taken.buffers()[2] or pa.py_buffer(b"")
-                    decoded = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(ends), data)
                 rest = [name for name in batch.schema.names if name != "ids"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(i, j - i) for n in rest), decoded.cast(pa.string())], [*rest, "decoded"])
 
