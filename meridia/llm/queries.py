@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality, stages, tokens, warc
+from . import bpe, chat, quality, stages, token_files, tokens, warc
 from .ann import nearest
 from .decontaminate import contaminated_words
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
+from .scratch import new_folder
 from .substring_dedup import remove_repeats
 
 
@@ -102,13 +103,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_perfect_hash_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, read from the files by its key; this tokenizer drops white space, so texts may be cut there."""
+    folder = new_folder(spark)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        token_files.write_ids(_table(spark, sf_dir, "documents"), folder, file.read(), end_id=1, apart=" \n")
+    found = token_files.read_all(spark, folder)
+    return found.select(F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, _table(spark, sf_dir, "documents"), sf_dir)
 
 
 _QUERIES = (
     op1_inverted_multi_index, op2_byte_level_bpe, op3_benchmark_decontamination, op4_chat_formatting, op5_minhash_near_dedup,
-    op6_fuzzy_line_dedup, op7_warc_revisits, op8_substring_dedup, op9_unigram_token_counts, op10_quality_classifier, pipeline,
+    op6_fuzzy_line_dedup, op7_warc_revisits, op8_substring_dedup, op9_unigram_token_counts, op10_quality_classifier,
+    op11_perfect_hash_token_files, pipeline,
 )
 
 

@@ -39,14 +39,19 @@ def scratch_root(spark: SparkSession) -> str:
     return "file://" + tempfile.gettempdir().rstrip("/") + "/meridia-scratch"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of the shared one that isn't there yet; it goes with the session."""
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame over the files."""
     spark = df.sparkSession
     bound_batches(spark)
-    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
-    schema = df.schema
+    path, schema = new_folder(spark), df.schema
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((spark, path))
     out = spark.read.schema(schema).parquet(path)
     out._scratch_path = path  # for drop()
     return out
