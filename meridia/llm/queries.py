@@ -14,6 +14,8 @@ from .decontaminate import contaminated_words
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .scratch import new_folder
+from .source_audit import audit_sources
+from .spelling import count_words, group_variants
 from .substring_dedup import remove_repeats
 
 
@@ -112,6 +114,14 @@ def op11_perfect_hash_token_files(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select(F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(count_words(_table(spark, sf_dir, "documents"), drop_every=31))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, _table(spark, sf_dir, "documents"), sf_dir)
 
@@ -119,7 +129,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     op1_inverted_multi_index, op2_byte_level_bpe, op3_benchmark_decontamination, op4_chat_formatting, op5_minhash_near_dedup,
     op6_fuzzy_line_dedup, op7_warc_revisits, op8_substring_dedup, op9_unigram_token_counts, op10_quality_classifier,
-    op11_perfect_hash_token_files, pipeline,
+    op11_perfect_hash_token_files, op12_source_divergence_audit,
+    op13_spelling_variant_grouping, pipeline,
 )
 
 
@@ -191,7 +202,24 @@ SELECT page_id * 2 + 1 record_id, CASE WHEN outcome = 'resolved' THEN src * 2 EN
   CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=120; content-length: ' || n || '; content-type: text/html; date: ' || (page_id * 60 + 30) END headers FROM o
 """
 
+_OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () id, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w FROM documents),
+t AS (SELECT id, lang, source, unnest(w) term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 10),
+v AS (SELECT lang, count(*) v FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) c FROM t JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT lang, source, coalesce(sum(c), 0)::BIGINT n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) c, 1 + (1000000000 * (coalesce(c, 0) + 2)) // (n + 2 * v) p
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+w AS (SELECT lang, sum(n)::BIGINT n FROM g GROUP BY 1),
+q AS (SELECT lang, term, 1 + (1000000000 * (c + 2)) // (n + 2 * v) q FROM (SELECT lang, term, sum(c)::BIGINT c FROM c GROUP BY 1, 2) JOIN w USING (lang) JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0)::BIGINT AS "value" FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY "value" DESC, item)::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op3_benchmark_decontamination": _OP3, "op4_chat_formatting": _OP4, "op5_minhash_near_dedup": _OP5, "op7_warc_revisits": _OP7, "op8_substring_dedup": _OP8}
+    sql = {"op3_benchmark_decontamination": _OP3, "op4_chat_formatting": _OP4, "op5_minhash_near_dedup": _OP5, "op7_warc_revisits": _OP7, "op8_substring_dedup": _OP8, "op12_source_divergence_audit": _OP12}
     return {k: v.replace("\\\\", "\\") for k, v in sql.items()}
