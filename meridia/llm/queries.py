@@ -106,10 +106,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_perfect_hash_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's ids, read from the files by its key; this tokenizer drops white space, so texts may be cut there."""
+    """Every document's ids, read from the files by its key; this tokenizer drops white space and case, so words may be encoded apart."""
     folder = new_folder(spark)
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
-        token_files.write_ids(_table(spark, sf_dir, "documents"), folder, file.read(), end_id=1, apart=" \n")
+        token_files.write_ids(_table(spark, sf_dir, "documents"), folder, file.read(), end_id=1, apart=True)
     found = token_files.read_all(spark, folder)
     return found.select(F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 

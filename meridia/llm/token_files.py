@@ -25,12 +25,15 @@ leaves one copy.
 from __future__ import annotations
 
 import io
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,10 +41,12 @@ from pyspark.sql import functions as F
 from .scratch import Kept, bound_batches
 
 MAGIC = b"TOKIDS01"
-#: Text bytes of a shard (about), bytes of a block and of one read, and keys of a bucket, on average.
-SHARD_BYTES, BLOCK_BYTES, BUCKET_KEYS = 16 << 20, 4 << 20, 4096
-#: Chunks whose ids a worker keeps; it starts anew beyond.
-CHUNKS = 600_000
+#: Text bytes of a shard (about), bytes of one read, and keys of a bucket, on average.
+SHARD_BYTES, READ_BYTES, BUCKET_KEYS = 16 << 20, 4 << 20, 4096
+#: Text bytes encoded at once, and words whose ids a worker keeps, of those met once and again; it drops them beyond.
+TEXT_BYTES, SEEN, KNOWN = 8 << 20, 300_000, 600_000
+#: Latin letters of one code point each, which no normal form changes.
+LETTERS = "".join(chr(c) for c in (*range(0x61, 0x7B), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7))
 _TAIL = struct.Struct("<q8s")
 _encoders = Kept()
 
@@ -52,46 +57,104 @@ _encoders = Kept()
 class Encoder:
     """Ids of whole texts with the tokenizers library, without special tokens.
 
-    ``apart``: characters between which a text may be cut without a change to its
-    ids, for tokenizers that drop white space; the library then encodes each distinct
-    chunk once, and its ids are kept.  Empty: whole texts only.
+    ``apart``: the tokenizer drops white space and takes A to Z as a to z, a word of Latin letters is one
+    piece, whose characters it treats one by one, and a ``.`` or ``,`` that ends a word after a letter is a piece of
+    its own.  Then a text may be cut at ASCII white space, and the library encodes each different word once (one of
+    letters by its model, after its normaliser and pre-tokeniser have given the form of each letter);
+    words that come again are kept.  Otherwise it gets whole texts.
     """
 
-    def __init__(self, definition: str, apart: str, width: int):
+    def __init__(self, definition: str, apart: bool, width: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.apart, self.kind = Tokenizer.from_str(definition), apart, f"<u{width}"
-        self.chunks: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        run = lambda parts: [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-        if not self.apart:
-            return run(texts)
-        cut, out = [], []
-        for text in texts:
-            for other in self.apart[1:]:
-                text = text.replace(other, self.apart[0])
-            cut.append(text.split(self.apart[0]))
-        if len(self.chunks) > CHUNKS:
-            self.chunks = {}
-        known = self.chunks
-        new = list({c for parts in cut for c in parts if c not in known})
-        for i in range(0, len(new), 4096):
-            known.update(zip(new[i : i + 4096], run(new[i : i + 4096]), strict=True))
-        for parts in cut:
-            out.append(b"".join(map(known.__getitem__, parts)))
+        self.tokenizer, self.apart, self.kind = Tokenizer.from_str(definition), apart, np.dtype(f"<u{width}")
+        self.code = next(c for c in "HIL" if array(c).itemsize == width)
+        self.model, split = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        form = lambda c: "".join(x for x, _ in split.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(c)))
+        self.forms = {ord(c): form(c) for c in LETTERS} if apart else {}
+        self.letters = re.compile(f"[{LETTERS}]+").fullmatch
+        self.seen: dict[str, bytes] = {}  # words met once since it was last emptied
+        self.known: dict[str, bytes] = {}  # words met again
+
+    def _run(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), 4096):
+            out += [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
         return out
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
+        if len(self.seen) > SEEN:
+            self.seen.clear()
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        out, new = list(map(self.known.get, words)), {}
+        open_ = [i for i, ids in enumerate(out) if ids is None]
+        for i in open_:
+            word = words[i]
+            if (ids := self.seen.pop(word, None)) is not None:
+                self.known[word] = out[i] = ids
+            elif word[-1:] in (".", ",") and len(word) > 1 and ord(word[-2]) in self.forms:
+                new[word[:-1]] = new[word[-1]] = None
+            else:
+                new[word] = None
+        new, other = [w for w in new if w not in self.known and w not in self.seen], []
+        for word in new:
+            if self.letters(word):
+                self.seen[word] = array(self.code, [t.id for t in self.model.tokenize(word.translate(self.forms))]).tobytes()
+            else:
+                other.append(word)
+        self.seen.update(zip(other, self._run(other), strict=True))
+        find = lambda w: self.seen[w] if w in self.seen else self.known[w]
+        for i in open_:
+            if out[i] is None:
+                if words[i] not in self.seen and words[i] not in self.known:
+                    self.seen[words[i]] = find(words[i][:-1]) + find(words[i][-1])
+                out[i] = find(words[i])
+        return out
 
-def _encoder(definition: str, apart: str, width: int) -> Encoder:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and the number of each text's."""
+        if not self.apart:
+            ids = self._run(texts.to_pylist())
+            return np.frombuffer(b"".join(ids), self.kind), np.array([len(x) // self.kind.itemsize for x in ids], np.int64)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = lists.flatten().dictionary_encode()
+        ids = self._words(words.dictionary.to_pylist())
+        size = np.array([len(x) // self.kind.itemsize for x in ids] + [0], np.int64)
+        start = np.cumsum(size) - size
+        store, index = np.frombuffer(b"".join(ids), self.kind), np.asarray(words.indices)
+        parts = []
+        for i in range(0, len(index), 1 << 18):
+            n = size[index[i : i + (1 << 18)]]
+            stop = np.cumsum(n)
+            parts.append(store[np.repeat(start[index[i : i + (1 << 18)]] - stop + n, n) + np.arange(stop[-1])])
+        upto = np.concatenate([[0], np.cumsum(size[index])])
+        edges = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        return np.concatenate(parts) if parts else store[:0], np.diff(upto[edges])
+
+
+def _encoder(definition: str, apart: bool, width: int) -> Encoder:
     return _encoders.take((hash(definition), apart, width), lambda: Encoder(definition, apart, width))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Keys and texts of batches together, in blocks of some MB."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= TEXT_BYTES:
+            yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+            held = []
+    if sum(map(len, held)):
+        yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+
+
 def _rest() -> None:
     _encoders.rest()
 
 
-def _footer(keys: list[pa.Array], offsets: list[int], counts: list[int]) -> bytes:
+def _footer(keys: list[pa.Array], offsets: np.ndarray, counts: np.ndarray) -> bytes:
     sink = io.BytesIO()
     table = pa.table({"key": pa.chunked_array(keys), "offset": pa.array(offsets, pa.int64()), "n": pa.array(counts, pa.int64())})
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -100,7 +163,7 @@ def _footer(keys: list[pa.Array], offsets: list[int], counts: list[int]) -> byte
     return body + _TAIL.pack(len(body), MAGIC)
 
 
-def write_ids(docs: DataFrame, folder: str, definition: str, end_id: int | None = None, apart: str = "", key: str = "doc_id", text: str = "text") -> None:
+def write_ids(docs: DataFrame, folder: str, definition: str, end_id: int | None = None, apart: bool = False, key: str = "doc_id", text: str = "text") -> None:
     """Encode ``text`` (null: empty) by the tokenizer ``definition`` (JSON), and write shards, index and manifest.
 
     ``end_id`` is added to each document.  Extra columns are not looked at; an empty table gives no shard.
@@ -116,29 +179,22 @@ def write_ids(docs: DataFrame, folder: str, definition: str, end_id: int | None
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.col("key"), F.xxhash64("text")]  # a key of very many rows spans shards
     rows = rows.repartitionByRange(max(1, -(-size // SHARD_BYTES)), *order).sortWithinPartitions(*order)
-    end = b"" if end_id is None else int(end_id).to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shipped.value, apart, width)
-        keys, offsets, counts, block, held, at = [], [], [], [], 0, 0
+        keys, offsets, counts, at = [], [], [], 0
         out = lambda data: pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["block"])
-        for batch in batches:
-            if not len(batch):
-                continue
-            keys.append(batch.column(0))
-            for ids in encoder.encode(batch.column(1).to_pylist()):
-                offsets.append(at)
-                counts.append((len(ids) + len(end)) // width)
-                block += (ids, end)
-                held += len(ids) + len(end)
-                at += len(ids) + len(end)
-                if held >= BLOCK_BYTES:
-                    yield out(b"".join(block))
-                    block, held, at = [], 0, at + 1
+        for own, texts in _gathered(batches):
+            ids, n = encoder.encode(texts)
+            if end_id is not None:
+                ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+            keys.append(own)
+            counts.append(n)
+            offsets.append(at + (np.cumsum(n) - n) * width)
+            yield out(ids.tobytes())
+            at += len(ids) * width + 1
         if keys:
-            if held:
-                yield out(b"".join(block))
-            yield out(_footer(keys, offsets, counts))
+            yield out(_footer(keys, np.concatenate(offsets), np.concatenate(counts)))
         _rest()
 
     # the text writer writes the bytes of a string as they are, and a line feed after each row
@@ -341,7 +397,7 @@ def read_ids(spark: SparkSession, folder: str, located: DataFrame) -> DataFrame:
     bound_batches(spark)
     width = manifest(spark, folder)["width"]
     rows = located.select("key", "repeat", "shard", "offset", "n", "start").join(_shards(spark, folder).select("shard", "path"), "shard")
-    rows = rows.repartition("shard", F.floor(F.col("offset") / BLOCK_BYTES)).sortWithinPartitions("shard", "offset").drop("shard")
+    rows = rows.repartition("shard", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("shard", "offset").drop("shard")
     names = ["key", "repeat", "start", "n", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +407,7 @@ def read_ids(spark: SparkSession, folder: str, located: DataFrame) -> DataFrame:
             stop, i = at + n * width, 0
             while i < len(at):
                 j = i + 1  # rows i to j - 1 are read at once
-                while j < len(at) and paths[j] == paths[i] and stop[j] - at[i] <= BLOCK_BYTES:
+                while j < len(at) and paths[j] == paths[i] and stop[j] - at[i] <= READ_BYTES:
                     j += 1
                 if paths[i] != opened:
                     if file:

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -13,7 +14,7 @@ from meridia.llm import token_files as T
 
 with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
     DEFINITION = file.read()
-ODD = ["", " ", "\n", "a  b", "it's 'twas don't", "x́ y", "a ́b", "Straße ΑΣ Σ", "tab\tand\x1cfs\x85nel em", "<|endoftext|> <|startoftext|>x", "1234 ५६", "日本 語", "a\n\n̈b", "é" * 5000, "word " * 20000, "İI", "가 ᆨ", "e\r\nf", "…—!?", "🙂 👩‍👩"]
+ODD = ["", " ", "\n", "a  b", "it's 'twas don't", "x́ y", "a ́b", "Straße ΑΣ Σ", "tab\tand\x1cfs\x85nel em", "<|endoftext|> <|startoftext|>x", "1234 ५६", "日本 語", "a\n\n̈b", "é" * 5000, "word " * 20000, "İI", "가 ᆨ", "e\r\nf", "…—!?", "end. End, .x ., a., é. é, 5. it's. don't, ≠ .̸ x.̸ A. B,C", "🙂 👩‍👩"]
 
 
 def rows_of(df):
@@ -29,21 +30,24 @@ def expected(rows, end=1):
 def test_cut_texts_have_the_ids_of_whole_ones():
     whole = Tokenizer.from_str(DEFINITION)
     texts = ODD + [a + b for a in ODD[:12] for b in ODD[:12]]
-    got = T.Encoder(DEFINITION, " \n", 2).encode(texts)
-    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
-    assert T.Encoder(DEFINITION, "", 4).encode(texts[:3]) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[:3]]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for apart, width in ((True, 2), (False, 4)):
+        encoder = T.Encoder(DEFINITION, apart, width)
+        for part in (slice(0, 30), slice(20, None), slice(7, 7)):  # words known from before
+            ids, n = encoder.encode(pa.array(texts[part], pa.string()))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])][: len(want[part])] == want[part] and ids.itemsize == width
 
 
 @pytest.mark.parametrize("small", [False, True])
 def test_round_trip_and_keys(spark, tmp_path, monkeypatch, small):
     """Null, repeated and missing keys, null and long texts, clashing columns; tiny shards, blocks and buckets too."""
     if small:
-        for name, value in (("SHARD_BYTES", 2000), ("BLOCK_BYTES", 64), ("BUCKET_KEYS", 3)):
+        for name, value in (("SHARD_BYTES", 2000), ("READ_BYTES", 64), ("TEXT_BYTES", 500), ("BUCKET_KEYS", 3), ("SEEN", 3), ("KNOWN", 2)):
             monkeypatch.setattr(T, name, value)
     rows = list(enumerate(ODD)) + [(None, "no key"), (None, "none"), (3, "again"), (3, "again"), (99, None)] + [(7, f"row {i}") for i in range(300)]
     docs = spark.createDataFrame([(k, t, 1, "x", 2) for k, t in rows], "doc_id long, text string, repeat int, key string, shard int").repartition(4)
     folder = f"{tmp_path}/t"
-    T.write_ids(docs, folder, DEFINITION, end_id=1, apart=" \n")
+    T.write_ids(docs, folder, DEFINITION, end_id=1, apart=True)
     if small:
         assert T._shards(spark, folder).count() > 3
     got = rows_of(T.read_all(spark, folder))
