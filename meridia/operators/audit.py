@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import micros
+from .quantiles import quantiles
 
 
 def twins(items: DataFrame, id: str, *keys: str) -> DataFrame:
@@ -55,10 +56,10 @@ def inverted_index(items: DataFrame, id: str, keys: str) -> DataFrame:
 
 def describe(table: DataFrame, column: str) -> DataFrame:
     """count, mean, std, min, quartiles, max."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q25, q50, q75 = (F.lit(q).cast("double") for q in quantiles(table, column, 0.25, 0.5, 0.75))
     return table.agg(
         F.count(column).alias("count"), F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_samp(column), 6).alias("std"), F.min(column).alias("min"),
-        F.get(q, F.lit(0)).alias("q25"), F.get(q, F.lit(1)).alias("q50"), F.get(q, F.lit(2)).alias("q75"), F.max(column).alias("max"),
+        q25.alias("q25"), q50.alias("q50"), q75.alias("q75"), F.max(column).alias("max"),
     )
 
 

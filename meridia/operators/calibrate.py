@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import wilson
+from .quantiles import order_statistics
 
 STEP = 1e-6
-#: Scores from -1 to 1 are counted in so many bins for each unit first, those beyond in the outer ones.
-BINS = 10_000
 
 
 def threshold(negatives: DataFrame, fpr: float = 0.05, exact: bool = False) -> DataFrame:
@@ -17,19 +16,10 @@ def threshold(negatives: DataFrame, fpr: float = 0.05, exact: bool = False) -> D
 
     ``exact`` takes the next one down, which uses up the whole budget of false accepts.
     """
-    bin_of = F.least(F.greatest(F.floor(F.col("score") * BINS), F.lit(-BINS)), F.lit(BINS))
-    counted = sorted(negatives.where("score is not null").groupBy(bin_of.alias("b")).count().collect(), reverse=True)  # 2 * BINS + 1 rows at most
-    n = sum(count for _, count in counted)
-    rest, chosen = max(1, int(fpr * n) + (1 if exact else 0)), None
-    for chosen, count in counted:
-        if count >= rest:
-            break
-        rest -= count
-    # the place is inside one bin: count its distinct scores
-    inside = negatives.where(bin_of == chosen).groupBy("score").count()
-    upto = F.sum("count").over(Window.orderBy(F.desc("score")))
-    top = inside.withColumn("upto", upto).where(F.col("upto") - F.col("count") < rest)
-    return top.agg(F.lit(n).cast("long").alias("n"), (F.min("score") + STEP).alias("threshold"))
+    scored = negatives.where("score is not null")
+    n = scored.count()
+    (chosen,) = order_statistics(scored, "score", [n - max(1, int(fpr * n) + (1 if exact else 0))])
+    return negatives.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), (F.lit(chosen).cast("double") + STEP).alias("threshold"))
 
 
 def rates(positives: DataFrame, negatives: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -31,16 +31,21 @@ def spectral_encoder() -> Encoder:
     return run
 
 
+def loaded(factory: Callable[[], Encoder]) -> Encoder:
+    """The worker's encoder of this factory, built once."""
+    name = f"{factory.__module__}.{factory.__qualname__}"
+    return _loaded.get(name) or _loaded.setdefault(name, factory())
+
+
 def encode(clips: DataFrame, factory: Callable[[], Encoder] = spectral_encoder, width: int = 16, hop: int = 8, batch: int = 256) -> DataFrame:
     """``clip_id, segment_idx, embedding`` for ``(clip_id, samples)``: windows, encoder in batches, unit length.
 
     A clip shorter than a window has no segment.
     """
-    name = f"{factory.__module__}.{factory.__qualname__}"
     parts = clips.select("clip_id", F.explode(windows(F.col("samples"), width, hop)).alias("w")).select("clip_id", F.col("w.at").alias("segment_idx"), F.transform("w.window", lambda x: x.cast("double")).alias("window"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _loaded.get(name) or _loaded.setdefault(name, factory())
+        model = loaded(factory)
         for frame in frames:
             for i in range(0, len(frame), batch):
                 part = frame.iloc[i : i + batch]

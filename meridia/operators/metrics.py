@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import wilson
+from .quantiles import quantiles
+
 
 def _correct() -> Column:
     """A missing prediction is a miss."""
@@ -47,16 +49,16 @@ def scorecard(results: DataFrame, manifest: DataFrame, *groups: str) -> DataFram
 
 def alignment(results: DataFrame, manifest: DataFrame) -> DataFrame:
     """Median, 95th percentile and maximum alignment error of correct top answers, and counts within bounds."""
-    e, n = F.col("align_error"), F.count("*")
-    q = F.percentile("align_error", F.array(F.lit(0.5), F.lit(0.95)))
+    e, n, rows = F.col("align_error"), F.count("*"), per_query(results, manifest)
+    median, p95 = (F.lit(q).cast("double") for q in quantiles(rows, "align_error", 0.5, 0.95))
     near = {f"within_{str(b).replace('.', '_')}": F.count_if(e <= b) for b in (0.05, 0.5, 1.0)}
-    return per_query(results, manifest).agg(F.count("align_error").alias("n_aligned"), F.get(q, F.lit(0)).alias("median"), F.get(q, F.lit(1)).alias("p95"), F.max(e).alias("max"), *[c.alias(k) for k, c in near.items()], *[(c / n).alias("rate_" + k) for k, c in near.items()])
+    return rows.agg(F.count("align_error").alias("n_aligned"), median.alias("median"), p95.alias("p95"), F.max(e).alias("max"), *[c.alias(k) for k, c in near.items()], *[(c / n).alias("rate_" + k) for k, c in near.items()])
 
 
 def percentiles(table: DataFrame, column: str, *shares: float) -> DataFrame:
     """Exact percentiles with linear interpolation, and the maximum."""
-    q = F.percentile(column, F.array(*[F.lit(s) for s in shares]))
-    return table.agg(*[F.get(q, F.lit(i)).alias(f"p{round(s * 100)}") for i, s in enumerate(shares)], F.max(column).alias("max"))
+    found = quantiles(table, column, *shares)
+    return table.agg(F.max(column).alias("max")).select(*[F.lit(q).cast("double").alias(f"p{round(s * 100)}") for s, q in zip(shares, found, strict=True)], "max")
 
 
 def top_predictions(results: DataFrame, k: int = 10) -> DataFrame:

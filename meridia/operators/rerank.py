@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.folders import new_folder
+from .numbering import numbered
 
 
 def vector_sums(table: DataFrame, *keys: str, column: str = "embedding") -> DataFrame:
@@ -25,59 +31,122 @@ def leave_one_out(library: DataFrame) -> DataFrame:
     return refs.join(artists, "artist").select("ref_id", "artist", mean.alias("centroid"))
 
 
-def shuffled(centroids: DataFrame, seed: int = 20260512) -> DataFrame:
-    """Control: each recording gets the centroid of one of another artist, picked by hash.
+def _bits(*parts: Column) -> Column:
+    """52 random bits, as a whole number, from the SHA-256 of the parts joined by colons."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256), 1, 13), 16, 10).cast("long")
+
+
+def shuffled(centroids: DataFrame, folder: str | None = None, seed: int = 20260512) -> DataFrame:
+    """Control: each recording gets the centroid of a recording of another artist, picked by hash (null, if there is none).
 
-    All artists' recordings in hash order form a ring; each takes the next one
-    of another artist (the first on the ring after the last), so no pairs are built.
+    Recordings stand in the order of artist and hash, so those of other artists
+    are all places outside of one interval; a hash picks one of them.  An equi-join
+    on places fetches the donor's centroid.
     """
-    donors = centroids.groupBy("artist").agg(F.min_by("centroid", F.struct(F.xxhash64(F.lit(seed), "ref_id"), F.col("ref_id"))).alias("own"))
-    ring = donors.select("artist", "own", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "artist"), "artist")).alias("n"))  # one row per artist
-    size = ring.agg(F.max("n").alias("size"))
-    after = ring.crossJoin(size).select((F.pmod(F.col("n") - 2, F.col("size")) + 1).alias("n"), F.col("artist").alias("donor"), "own")
-    return centroids.join(ring.select("artist", "n"), "artist").join(after, "n").select("ref_id", "artist", F.when(F.col("donor") != F.col("artist"), F.col("own")).alias("centroid"))
+    placed = numbered(centroids.withColumn("h", _bits(F.lit(seed), F.col("ref_id"))), ["artist", "h", "ref_id"], folder or new_folder(centroids.sparkSession), "place")
+    total = F.lit(centroids.count())
+    artists = placed.groupBy("artist").agg(F.min("place").alias("first"), F.count("*").alias("own"))
+    others = total - F.col("own")
+    pick = F.pmod(F.col("first") + F.col("own") + F.pmod(F.col("h"), F.greatest(others, F.lit(1))), total)
+    asked = placed.join(artists, "artist").select("ref_id", "artist", F.when(others > 0, pick).alias("place"))
+    donors = placed.select("place", F.col("ref_id").alias("donor"), "centroid")
+    return asked.join(donors, "place", "left").select("ref_id", "artist", "donor", "centroid")
 
 
 def isotropic(centroids: DataFrame, seed: int = 20260513) -> DataFrame:
     """Control: a random direction (Box-Muller from hashes) of the same norm as the centroid."""
     at = F.sequence(F.lit(1), F.size("centroid"))
-    unit = lambda i, s: (F.pmod(F.xxhash64(F.lit(seed), F.lit(s), F.col("ref_id"), i), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
+    unit = lambda i, s: (_bits(F.lit(seed), F.lit(s), F.col("ref_id"), i) + 1) / F.lit(float((1 << 52) + 1))
     noise = F.transform(at, lambda i: F.sqrt(-2 * F.log(unit(i, 0))) * F.cos(2 * 3.141592653589793 * unit(i, 1)))
     out = centroids.withColumn("noise", noise)
     scale = V.norm(F.col("centroid")) / F.greatest(V.norm(F.col("noise")), F.lit(1e-12))
     return out.select("ref_id", "artist", F.transform("noise", lambda x: x * scale).alias("centroid"))
 
 
-def sweep(cands: DataFrame, queries: DataFrame, library: DataFrame, centroids: DataFrame, variants: DataFrame, k: int = 10) -> DataFrame:
-    """Rescore shared candidates for every variant ``(variant, alpha)``.
+#: Shares of the centroid taken off, and the one of the controls.
+ALPHAS, CONTROL_ALPHA = (0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3), 0.1
+
+
+def variants() -> list[tuple[str, str, float]]:
+    """``(variant, kind of centroid, alpha)`` of a whole sweep."""
+    return [(f"alpha_{a:.2f}", "own", a) for a in ALPHAS] + [(f"control_{k}", k, CONTROL_ALPHA) for k in ("shuffled", "isotropic")]
+
 
-    Library vectors become ``(e - alpha * centroid)`` at unit length; queries stay.
+def sweep(cands: DataFrame, queries: DataFrame, library: DataFrame, centroids: dict[str, DataFrame], k: int = 10) -> DataFrame:
+    """Rescore shared candidates for every variant: ``query_id, variant, cand, score, rank``.
+
+    Library vectors count as ``(e - alpha * centroid)`` at unit length; queries stay.  ``centroids``: by
+    kind, ``ref_id, centroid``; a missing one takes nothing off.  Only vectors of candidates are
+    fetched, once for all variants: a product with the moved vector follows from the inner products of query,
+    vector and centroid.
     """
     from .retrieval import top_k
 
-    moved = library.join(centroids.select("ref_id", "centroid"), "ref_id").crossJoin(F.broadcast(variants))  # a handful of literal rows
-    moved = moved.select("global_idx", "variant", V.normalise(V.axpy(F.col("embedding"), -F.col("alpha"), F.col("centroid"))).alias("e"))
-    aligned = cands.join(queries.select("query_id", "q_off", F.col("embedding").alias("q")), "query_id").withColumn("global_idx", F.col("cand") + F.col("q_off"))
-    scores = aligned.join(moved, "global_idx").groupBy("query_id", "variant", "cand").agg(F.round(F.avg(V.dot(F.col("q"), F.col("e"))), 6).alias("score"))
-    return top_k(scores, k, "variant")
+    pairs = cands.join(queries.select("query_id", "q_off", F.col("embedding").alias("q")), "query_id").withColumn("global_idx", F.col("cand") + F.col("q_off"))
+    pairs = pairs.join(library.select("global_idx", "ref_id", F.col("embedding").alias("e")), "global_idx")
+    for kind, table in centroids.items():
+        pairs = pairs.join(table.select("ref_id", F.col("centroid").alias(kind)), "ref_id", "left")
+    products = {"qe": V.dot(F.col("q"), F.col("e")), "ee": V.dot(F.col("e"), F.col("e"))}
+    for kind in centroids:
+        products |= {f"{a}_{kind}": F.coalesce(V.dot(F.col(x), F.col(kind)), F.lit(0.0)) for a, x in (("q", "q"), ("e", "e"), ("m", kind))}
+    pairs = pairs.select("query_id", "cand", *[c.alias(n) for n, c in products.items()])
+
+    def moved(kind: str, alpha: float) -> Column:
+        norm = F.sqrt(F.greatest(F.lit(0.0), F.col("ee") - 2 * alpha * F.col(f"e_{kind}") + alpha * alpha * F.col(f"m_{kind}")))
+        return (F.col("qe") - alpha * F.col(f"q_{kind}")) / F.greatest(norm, F.lit(1e-12))
+
+    means = [F.struct(F.lit(name).alias("variant"), F.round(F.avg(moved(kind, alpha)), 6).alias("score")) for name, kind, alpha in variants()]
+    scores = pairs.groupBy("query_id", "cand").agg(F.array(*means).alias("v")).select("query_id", "cand", F.inline("v"))
+    return top_k(scores.select("query_id", "variant", "cand", "score"), k, "variant")
+
+
+#: Anchors of a re-ranking, at most: they are sent to every task.
+MOST_ANCHORS = 4096
+
+
+def _anchor_products(rows: DataFrame, column: str, anchors: DataFrame, out: str, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``rows`` without ``column``, and ``out``: ``of`` applied to each row's inner products with all anchors."""
+    fetched = anchors.select("anchor_id", "embedding").limit(MOST_ANCHORS + 1).toArrow()
+    if len(fetched) > MOST_ANCHORS:
+        raise ValueError(f"more than {MOST_ANCHORS} anchors")
+    matrix = np.array(fetched["embedding"].to_pylist(), float).reshape(len(fetched), -1)
+    shipped = rows.sparkSession.sparkContext.broadcast(matrix)  # MOST_ANCHORS vectors, at most
+    keys = [c for c in rows.columns if c != column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 512):
+                part = batch.slice(i, 512)
+                own = np.asarray(part.column(column).flatten(), float).reshape(len(part), -1)
+                found = of(own @ shipped.value.T) if len(part) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keys], pa.array(found, pa.float64())], [*keys, out])
+
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys]
+    return rows.mapInArrow(run, ", ".join([*kinds, f"{out} double"]))
+
+
+def _nearest_mean(k: int) -> Callable[[np.ndarray], np.ndarray]:
+    def run(products: np.ndarray) -> np.ndarray:
+        k_ = min(k, products.shape[1])
+        return np.partition(np.round(products, 6), products.shape[1] - k_, axis=1)[:, products.shape[1] - k_ :].mean(axis=1)
+
+    return run
+
+
+def _centres(queries: DataFrame) -> DataFrame:
+    return vector_sums(queries, "query_id").select("query_id", F.transform("total", lambda x: x / F.col("n")).alias("c"))
 
 
 def inverted_softmax(scores: DataFrame, anchors: DataFrame, queries: DataFrame, tau: float = 0.05) -> DataFrame:
     """Divide ``exp(score / tau)`` by the query's sum over anchors; rankings stay as they are."""
-    centre = vector_sums(queries, "query_id").select("query_id", F.transform("total", lambda x: x / F.col("n")).alias("c"))
-    sums = centre.crossJoin(anchors.select("embedding")).groupBy("query_id").agg(F.sum(F.exp(V.dot(F.col("c"), F.col("embedding")) / tau)).alias("z"))
+    sums = _anchor_products(_centres(queries), "c", anchors, "z", lambda p: np.exp(p / tau).sum(axis=1))
     return scores.join(sums, "query_id").withColumn("score", F.exp(F.col("score") / tau) / F.col("z")).drop("z")
 
 
 def csls(scores: DataFrame, anchors: DataFrame, queries: DataFrame, library: DataFrame, k: int = 10) -> DataFrame:
     """``score - (q + r) / 2``: q and r are mean products of the query and of the candidate's first segment with their k nearest anchors."""
-    centre = vector_sums(queries, "query_id").select("query_id", F.transform("total", lambda x: x / F.col("n")).alias("c"))
-
-    def hood(table: DataFrame, key: str, column: str, name: str) -> DataFrame:
-        pairs = table.crossJoin(anchors.select("anchor_id", F.col("embedding").alias("a"))).select(key, "anchor_id", F.round(V.dot(F.col(column), F.col("a")), 6).alias("ip"))
-        order = Window.partitionBy(key).orderBy(F.desc("ip"), "anchor_id")
-        return pairs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).groupBy(key).agg(F.avg("ip").alias(name))
-
     first = library.select(F.col("global_idx").alias("cand"), "embedding").join(scores.select("cand").distinct(), "cand")
-    out = scores.join(hood(centre, "query_id", "c", "q_mean"), "query_id").join(hood(first, "cand", "embedding", "r_mean"), "cand")
+    q_mean = _anchor_products(_centres(queries), "c", anchors, "q_mean", _nearest_mean(k))
+    r_mean = _anchor_products(first, "embedding", anchors, "r_mean", _nearest_mean(k))
+    out = scores.join(q_mean, "query_id").join(r_mean, "cand")
     return out.withColumn("score", F.round(F.col("score") - (F.col("q_mean") + F.col("r_mean")) / 2, 6)).drop("q_mean", "r_mean")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
-#: Queries are sent to the library's partitions in blocks of so many rows.
-QUERY_BLOCK = 20_000
-#: Products held at once by a task, at most (or one row of the library's).
-PRODUCTS = 4_000_000
+#: Rows of a tile of queries and of the library, about, and products held at once in a task.
+QUERY_TILE, LIBRARY_TILE, PRODUCTS = 8192, 32_768, 4_000_000
+#: A library is cut into this many tiles at least, if they keep some rows.
+TILES, LEAST_TILE = 8, 256
 
 
 def knn(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
@@ -22,46 +20,55 @@ def knn(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
 
     ``queries``: ``query_id, q_off, embedding``; ``library``: ``global_idx,
     embedding``, both unit vectors of one length.  Products are rounded to six
-    places, ties go to the smaller ``global_idx``.  Every partition of the library keeps
-    its own k best per query row, so only those are shuffled; the library
-    itself never moves.  Queries go out in blocks of bounded size.
+    places, ties go to the smaller ``global_idx``.  Both sides are dealt into tiles by hash, and each
+    pair of tiles is one group of bounded size, which gives the k best of its rows to each of its
+    queries; the best of these are merged, with a first step before the shuffle.  So the
+    library moves once for every ``QUERY_TILE`` queries, and nothing goes through the driver.
     """
-    total = queries.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id", "q_off"), F.lit(blocks)) == b) if blocks > 1 else queries
-        found = _knn_block(part.select("query_id", "q_off", "embedding").toArrow(), library, k, queries.schema["query_id"].dataType.simpleString())
-        out = found if out is None else out.union(found)
+    n_library = library.count()
+    q_tiles = max(1, -(-queries.count() // QUERY_TILE))
+    l_tiles = max(1, -(-n_library // LIBRARY_TILE), min(TILES, n_library // LEAST_TILE))
+    deal = lambda t, own, n, other, m, *keys: t.withColumn(own, F.pmod(F.xxhash64(*keys), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    left = deal(queries.select("query_id", "q_off", "embedding"), "qt", q_tiles, "lt", l_tiles, "query_id", "q_off")
+    right = deal(library.select(F.col("global_idx").cast("long").alias("global_idx"), "embedding"), "lt", l_tiles, "qt", q_tiles, "global_idx")
+    kinds = {c: queries.schema[c].dataType.simpleString() for c in ("query_id", "q_off")}
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        who, at, ip = _tile_best(_matrix(left), np.asarray(right["global_idx"].combine_chunks()), _matrix(right), k)
+        found = left.select(["query_id", "q_off"]).take(pa.array(who))
+        return found.append_column("global_idx", pa.array(at, pa.int64())).append_column("ip", pa.array(ip, pa.float64()))
+
+    schema = f"query_id {kinds['query_id']}, q_off {kinds['q_off']}, global_idx long, ip double"
+    found = left.groupBy("qt", "lt").cogroup(right.groupBy("qt", "lt")).applyInArrow(run, schema)
     best = Window.partitionBy("query_id", "q_off").orderBy(F.desc("ip"), "global_idx")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-def _knn_block(table: pa.Table, library: DataFrame, k: int, kind: str) -> DataFrame:
-    ids, offs = np.asarray(table.column("query_id")), np.asarray(table.column("q_off"))
-    matrix = np.array(table.column("embedding").to_pylist(), float).reshape(len(ids), -1)
-    shipped = library.sparkSession.sparkContext.broadcast((ids, offs, matrix))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, offs, matrix = shipped.value
-        best_ip = np.full((len(ids), 0), 0.0)
-        best_at = np.zeros((len(ids), 0), np.int64)
-        step = min(4096, max(1, PRODUCTS // max(1, len(ids))))
-        for batch in batches:
-            for i in range(0, len(batch), step):
-                part = batch.slice(i, step)
-                at = np.asarray(part.column("global_idx"))
-                base = np.asarray(part.column("embedding").flatten(), float).reshape(len(part), -1)
-                if not len(ids) or not len(base):
-                    continue
-                ip = np.concatenate([best_ip, np.round(matrix @ base.T, 6)], axis=1)
-                who = np.concatenate([best_at, np.broadcast_to(at, (len(ids), len(at)))], axis=1)
-                order = np.lexsort((who, -ip), axis=1)[:, :k]
-                best_ip, best_at = np.take_along_axis(ip, order, 1), np.take_along_axis(who, order, 1)
-        n = best_ip.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(offs, n)), pa.array(best_at.ravel()), pa.array(best_ip.ravel())], ["query_id", "q_off", "global_idx", "ip"])
-
-    return library.select(F.col("global_idx").cast("long").alias("global_idx"), "embedding").mapInArrow(run, f"query_id {kind}, q_off {'long' if offs.dtype == np.int64 else 'int'}, global_idx long, ip double")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    flat = table["embedding"].combine_chunks().flatten()
+    return np.asarray(flat, float).reshape(len(table), -1 if len(table) else 0)
+
+
+def _tile_best(queries: np.ndarray, ids: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of ``base`` for each row of ``queries``: row of the query, id, product."""
+    out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    if not len(queries) or not len(base):
+        return out
+    bar = np.full(len(queries), -np.inf)  # the k-th best so far
+    step = max(1, min(4096, PRODUCTS // len(queries)))
+    for i in range(0, len(base), step):
+        ip = np.round(queries @ base[i : i + step].T, 6)
+        if ip.shape[1] > k:
+            bar = np.maximum(bar, np.partition(ip, -k, axis=1)[:, -k])
+        row, col = np.nonzero(ip >= bar[:, None])
+        out = tuple(np.concatenate(x) for x in zip(out, (row, ids[i : i + step][col], ip[row, col]), strict=True))
+        order = np.lexsort((out[1], -out[2], out[0]))
+        out = tuple(x[order] for x in out)
+        first = np.searchsorted(out[0], np.arange(len(queries)))
+        place = np.arange(len(out[0])) - first[out[0]]
+        bar[out[0][place == k - 1]] = out[2][place == k - 1]
+        out = tuple(x[place < k] for x in out)
+    return out
 
 
 def candidates(hits: DataFrame, lengths: DataFrame, n_total: int) -> DataFrame:
@@ -70,14 +77,18 @@ def candidates(hits: DataFrame, lengths: DataFrame, n_total: int) -> DataFrame:
     return cand.join(lengths, "query_id").where((F.col("cand") >= 0) & (F.col("cand") + F.col("length") <= n_total)).select("query_id", "cand")
 
 
-def rescore(cands: DataFrame, queries: DataFrame, library: DataFrame, *group: str) -> DataFrame:
+def rescore(cands: DataFrame, queries: DataFrame, library: DataFrame, whole: bool = False) -> DataFrame:
     """Mean inner product along the diagonal of each candidate: ``query_id, cand, score``.
 
-    The positional range becomes an equi-join on ``cand + q_off``.
+    The positional range becomes an equi-join on ``cand + q_off``.  ``whole`` leaves out candidates
+    of which the library lacks a segment.
     """
     aligned = cands.join(queries.select("query_id", "q_off", F.col("embedding").alias("q")), "query_id").withColumn("global_idx", F.col("cand") + F.col("q_off"))
-    pairs = aligned.join(library.select("global_idx", F.col("embedding").alias("e"), *group), "global_idx")
-    return pairs.groupBy("query_id", "cand").agg(F.round(F.avg(V.dot(F.col("q"), F.col("e"))), 6).alias("score"))
+    pairs = aligned.join(library.select("global_idx", F.col("embedding").alias("e")), "global_idx")
+    out = pairs.groupBy("query_id", "cand").agg(F.round(F.avg(V.dot(F.col("q"), F.col("e"))), 6).alias("score"), F.count("*").alias("met"))
+    if whole:
+        out = out.join(queries.groupBy("query_id").agg(F.count("*").alias("of")), "query_id").where("met = of")
+    return out.select("query_id", "cand", "score")
 
 
 def top_k(scores: DataFrame, k: int, *by: str) -> DataFrame:
@@ -142,4 +153,4 @@ def word_hashes(table: DataFrame, key: str, text: str = "text", n: int = 3) -> D
     words = table.select(key, F.split(text, " ").alias("w"))
     count = F.size("w") - (n - 1)
     at = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return words.select(key, "w", F.explode(at).alias("t")).select(key, F.md5(F.array_join(F.slice("w", F.col("t") + 1, n), " ")).alias("hash"), F.col("t").cast("long").alias("t"))
+    return words.select(key, "w", F.explode(at).alias("t")).select(key, F.xxhash64(F.array_join(F.slice("w", F.col("t") + 1, n), " ")).alias("hash"), F.col("t").cast("long").alias("t"))

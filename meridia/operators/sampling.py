@@ -18,9 +18,12 @@ def uniform_sample(table: DataFrame, key: str, n: int, seed: int = 20260511) ->
 
 
 def stratified_sample(table: DataFrame, key: str, stratum: str, n: int, seed: int = 20260511) -> DataFrame:
-    """Round robin over strata: one row of each in every round, until n rows are taken."""
+    """Round robin over strata: one row of each in every round, until n rows are taken.
+
+    No stratum gives more than n rows, so each task sends its n first ones of a stratum only.
+    """
     inner = Window.partitionBy(stratum).orderBy(_random(seed, F.col(key)), key)
-    rounds = table.withColumn("round", F.row_number().over(inner))
+    rounds = table.withColumn("round", F.row_number().over(inner)).where(F.col("round") <= n)
     return rounds.orderBy("round", _random(seed, F.col(stratum)), stratum).limit(n)
 
 

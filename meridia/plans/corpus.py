@@ -189,12 +189,12 @@ def inverted(spark, d):
     return A.inverted_index(table(spark, d, "part").withColumn("k", F.split("p_name", " ")), "p_partkey", "k")
 
 
-@register("AGG-18 AUD-8", "SELECT count(value) AS \"count\", round(avg(value), 6) mean, round(stddev_samp(value), 6) std, min(value) AS \"min\", round(quantile_cont(value, 0.25), 9) q25, round(quantile_cont(value, 0.5), 9) q50, round(quantile_cont(value, 0.75), 9) q75, max(value) AS \"max\" FROM events")
+@register("AGG-18", "SELECT count(value) AS \"count\", round(avg(value), 6) mean, round(stddev_samp(value), 6) std, min(value) AS \"min\", round(quantile_cont(value, 0.25), 9) q25, round(quantile_cont(value, 0.5), 9) q50, round(quantile_cont(value, 0.75), 9) q75, max(value) AS \"max\" FROM events")
 def described(spark, d):
     return A.describe(table(spark, d, "events"), "value")
 
 
-@register("AUD-5", "SELECT user_id, count(*) n_islands, sum(n)::BIGINT n_events FROM (SELECT user_id, island, count(*) n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) island FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 21600000000 OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END new FROM events)) GROUP BY 1, 2) GROUP BY 1")
+@register("AUD-5.islands", "SELECT user_id, count(*) n_islands, sum(n)::BIGINT n_events FROM (SELECT user_id, island, count(*) n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) island FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 21600000000 OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END new FROM events)) GROUP BY 1, 2) GROUP BY 1")
 def profiled(spark, d):
     return A.islands(table(spark, d, "events"), "user_id", "ts", 21600, "event_id").groupBy("user_id").agg(F.count("*").alias("n_islands"), F.sum("n").alias("n_events"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import calibrate as C
 from ..operators import compare as P
 from ..operators import metrics as M
+from ..operators import resample as B
 from .fixtures import manifest, results, with_eval
 from .registry import register
 
@@ -94,20 +95,44 @@ def _hits(spark, d, system):
     return P.hits_at_1(results(spark, d, system), manifest(spark, d))
 
 
-@register("EVAL-3 JOIN-15 AGG-26 MTH-2 MTH-3", _PAIR + f"SELECT split, length_s, n, base_hits, hits, b, c, c - b delta, round({_wilson('hits', 'n')[0]}, 9) ci_low, round({_wilson('hits', 'n')[1]}, 9) ci_high, {_MC} p, {_MC} < 0.05 / 8 significant FROM t1")
+@register("EVAL-3 JOIN-15 AGG-26 MTH-2 MTH-3", _PAIR + f""", k AS (SELECT split, length_s, count_if(NOT hit) n_miss, count_if(NOT hit AND coalesce(predicted_ref_id % 10 = ref_id % 10, false)) n_miss_same
+  FROM (SELECT m.*, r.predicted_ref_id, coalesce(r.predicted_ref_id = m.ref_id, false) hit FROM manifest m LEFT JOIN (SELECT * FROM r1 WHERE rank = 1) r USING (query_id)) GROUP BY 1, 2)
+ SELECT split, length_s, n, base_hits, hits, hits / n hr_1, n_miss, n_miss_same, b, c, c - b delta, round({_wilson('hits', 'n')[0]}, 9) ci_low, round({_wilson('hits', 'n')[1]}, 9) ci_high, {_MC} p, {_MC} < 0.05 / 8 significant FROM t1 JOIN k USING (split, length_s)""")
 def cells(spark, d):
-    out = P.discordant(_hits(spark, d, 0), _hits(spark, d, 1), "split", "length_s")
-    return out.withColumns({"ci_low": F.round("ci_low", 9), "ci_high": F.round("ci_high", 9), "p": F.round("p", 8)})
+    """One row for each cell; artists are the last digit of a recording."""
+    answers = results(spark, d, 1).where("rank = 1").select("query_id", F.col("predicted_ref_id").alias("answer"))
+    out = P.miss_table(_hits(spark, d, 0), _hits(spark, d, 1), answers, F.col("answer") % 10 == F.col("ref_id") % 10, "split", "length_s")
+    return out.withColumns({"hr_1": F.col("hits") / F.col("n"), "ci_low": F.round("ci_low", 9), "ci_high": F.round("ci_high", 9), "p": F.round("p", 8)})
 
 
-@register("EVAL-8 AGG-27", _PAIR + f", p AS (SELECT split, length_s, sum(n)::BIGINT n, sum(b)::BIGINT b, sum(c)::BIGINT c FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) GROUP BY 1, 2) SELECT *, {_MC} p, {_MC} < 0.05 / 8 significant FROM p")
+@register("AGG-27", _PAIR + f", p AS (SELECT split, length_s, sum(n)::BIGINT n, sum(b)::BIGINT b, sum(c)::BIGINT c FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) GROUP BY 1, 2) SELECT *, {_MC} p, {_MC} < 0.05 / 8 significant FROM p")
 def pooled(spark, d):
     base = _hits(spark, d, 0)
     one, two = (P.discordant(base, _hits(spark, d, s), "split", "length_s") for s in (1, 2))
     return P.pool(one.union(two), "split", "length_s").withColumn("p", F.round("p", 8))
 
 
-@register("EVAL-7 AGG-29 SET-4 SET-5", _PAIR + """, s AS (SELECT query_id, bool_and(hit) every, bool_or(hit) any_hit FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1)
+def _seeds(spark, d):
+    return _hits(spark, d, 1).withColumn("seed", F.lit(1)).unionByName(_hits(spark, d, 2).withColumn("seed", F.lit(2)))
+
+
+@register("EVAL-8", _PAIR + f""", u AS (SELECT *, 1 seed FROM t1 UNION ALL SELECT *, 2 FROM t2),
+ p AS (SELECT split, length_s, max(n) n, count(*) seeds, max(base_hits) base_hits, avg(hits) mean_hits, sum(b)::BIGINT b, sum(c)::BIGINT c, string_agg(seed || ':' || hits || ':' || b || ':' || c, ' ' ORDER BY seed) per_seed FROM u GROUP BY 1, 2)
+ SELECT split, length_s, n, seeds, base_hits, mean_hits, b, c, per_seed, base_hits / n base_hr, mean_hits / n mean_hr, round((mean_hits / n - base_hits / n) * 100, 9) delta_pp, {_MC} p, {_MC} < 0.05 significant, {_MC} < 0.05 / 8 bonferroni FROM p""")
+def pooled_table(spark, d):
+    out = P.pooled_table(_hits(spark, d, 0), _seeds(spark, d), "split", "length_s")
+    each = F.array_join(F.transform("per_seed", lambda s: F.concat_ws(":", s["seed"], s["hits"], s["b"], s["c"])), " ")
+    return out.withColumns({"per_seed": each, "p": F.round("p", 8), "delta_pp": F.round("delta_pp", 9)})
+
+
+@register("EVAL-7", _PAIR + """, s AS (SELECT query_id, bool_and(hit) every, bool_or(hit) some_hit FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1)
+ SELECT h0.split, h0.length_s, count(*) n, count_if(hit) base_hits, count_if(NOT hit) base_misses, count_if(NOT hit AND has_twin) base_twin_misses, count_if(NOT some_hit) persistent_misses, count_if(NOT every) any_miss, count_if(every) unanimous_hits,
+ count_if(NOT hit AND every) fixed, count_if(hit AND NOT every) broken, count_if(hit AND NOT some_hit) broken_by_all FROM s JOIN h0 USING (query_id) JOIN manifest USING (query_id) GROUP BY 1, 2""")
+def post_mortem(spark, d):
+    return P.post_mortem(_hits(spark, d, 0), _seeds(spark, d), "split", "length_s")
+
+
+@register("AGG-29 SET-4 SET-5", _PAIR + """, s AS (SELECT query_id, bool_and(hit) every, bool_or(hit) any_hit FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1)
  SELECT count_if(NOT any_hit) persistent_misses, count_if(every) unanimous_hits, count_if(every AND NOT hit) fixed, count_if(NOT any_hit AND hit) broken, count_if(NOT every) any_miss FROM s JOIN h0 USING (query_id)""")
 def seeds(spark, d):
     return P.across_seeds(_hits(spark, d, 1).union(_hits(spark, d, 2)), _hits(spark, d, 0))
@@ -149,14 +174,22 @@ def error_reduction(spark, d):
     return t.groupBy("split").agg(F.round(1 - miss("hits") / miss("base_hits"), 9).alias("error_reduction"))
 
 
-@register("AGG-28", with_eval() + """, x AS (SELECT m.query_id, m.corpus, m.ref_id t, r.predicted_ref_id p FROM manifest m JOIN (SELECT * FROM r0 WHERE rank = 1) r USING (query_id) WHERE r.predicted_ref_id <> m.ref_id)
- SELECT corpus, count(*) n_miss, count_if(t % 10 = p % 10) same_artist, count_if(t % 3 = p % 3) same_raaga, array_to_string(list_sort(list(query_id))[1:5], ',') examples FROM x GROUP BY 1""")
+@register("AGG-28", with_eval() + """, x AS (SELECT m.query_id, m.corpus, m.section_type, m.ref_id t, r.predicted_ref_id p, n.corpus other FROM manifest m JOIN (SELECT * FROM r0 WHERE rank = 1) r USING (query_id)
+  LEFT JOIN (SELECT ref_id, min(corpus) corpus FROM manifest GROUP BY 1) n ON n.ref_id = r.predicted_ref_id WHERE r.predicted_ref_id <> m.ref_id)
+ SELECT corpus, count(*) n_miss, count_if(t % 10 = p % 10) same_artist, count_if(t % 3 = p % 3) same_raaga, count_if(coalesce(corpus = other, false)) same_corpus, count_if(coalesce(corpus <> other, true)) cross_corpus,
+ count_if(section_type = 'alaap') alaap, count_if(section_type = 'composed') composed, count_if(section_type IS NULL) no_section, array_to_string(list_sort(list(query_id))[1:5], ',') examples FROM x GROUP BY 1""")
 def misses(spark, d):
     top = results(spark, d).where("rank = 1").select("query_id", F.col("predicted_ref_id").alias("p"))
-    x = manifest(spark, d).join(top, "query_id").where("p <> ref_id")
+    known = manifest(spark, d).groupBy(F.col("ref_id").alias("p")).agg(F.min("corpus").alias("other"))
+    x = manifest(spark, d).join(top, "query_id").where("p <> ref_id").join(known, "p", "left")
     # five examples: the smallest ids, ranked before they are gathered
     few = x.withColumn("n", F.row_number().over(Window.partitionBy("corpus").orderBy("query_id"))).where("n <= 5").groupBy("corpus").agg(F.array_join(F.array_sort(F.collect_list("query_id")).cast("array<string>"), ",").alias("examples"))
-    out = x.groupBy("corpus").agg(F.count("*").alias("n_miss"), F.count_if(F.col("ref_id") % 10 == F.col("p") % 10).alias("same_artist"), F.count_if(F.col("ref_id") % 3 == F.col("p") % 3).alias("same_raaga"))
+    same = F.coalesce(F.col("corpus") == F.col("other"), F.lit(False))
+    out = x.groupBy("corpus").agg(
+        F.count("*").alias("n_miss"), F.count_if(F.col("ref_id") % 10 == F.col("p") % 10).alias("same_artist"), F.count_if(F.col("ref_id") % 3 == F.col("p") % 3).alias("same_raaga"),
+        F.count_if(same).alias("same_corpus"), F.count_if(~same).alias("cross_corpus"),
+        F.count_if(F.col("section_type") == "alaap").alias("alaap"), F.count_if(F.col("section_type") == "composed").alias("composed"), F.count_if(F.col("section_type").isNull()).alias("no_section"),
+    )
     return out.join(few, "corpus")
 
 
@@ -197,7 +230,7 @@ def score_histogram(spark, d):
     return C.histogram(rounded, "score", 0.0, 1.0, 60).withColumn("density", F.round("density", 9))
 
 
-@register("CAL-5 STR-14", "SELECT event_id, CASE WHEN lower(event_type) LIKE '%click%' THEN 'HIGH' WHEN lower(event_type) LIKE '%view%' THEN 'NO_MATCH' WHEN lower(event_type) LIKE '%error%' THEN 'REJECTED' ELSE 'OTHER' END kind FROM events")
+@register("STR-14", "SELECT event_id, CASE WHEN lower(event_type) LIKE '%click%' THEN 'HIGH' WHEN lower(event_type) LIKE '%view%' THEN 'NO_MATCH' WHEN lower(event_type) LIKE '%error%' THEN 'REJECTED' ELSE 'OTHER' END kind FROM events")
 def verdict_text(spark, d):
     from .registry import table
 
@@ -227,3 +260,26 @@ def uniqueness(spark, d):
     return manifest(spark, d).agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("n_distinct"), F.count_if(F.col("query_id").isNull()).alias("n_null"))
 
 
+
+
+@register("QRK-18", _PAIR + """, r AS (SELECT h0.query_id, h0.hit base_hit, score, h1.hit FROM h0 JOIN h1 USING (query_id) LEFT JOIN (SELECT query_id, score FROM r1 WHERE rank = 1) USING (query_id)),
+ g AS (SELECT i, i / 100 threshold FROM range(101) t(i)),
+ c AS (SELECT threshold, (SELECT count(*) FROM r WHERE score >= threshold - 1e-9) answered, (SELECT count(*) FROM r WHERE score >= threshold - 1e-9 AND NOT hit) wrong FROM g)
+ SELECT threshold, answered, answered / (SELECT count(*) FROM r) coverage, CASE WHEN answered > 0 THEN wrong / answered END risk FROM c""")
+def risk_and_coverage(spark, d):
+    """Share of queries answered, and of wrong ones among them, at each threshold of the first answer's score."""
+    top = results(spark, d, 1).where("rank = 1").select("query_id", "score")
+    return B.risk_coverage(_hits(spark, d, 1).join(top, "query_id", "left").select("score", "hit"))
+
+
+_DRAWS = f"""{_PAIR}, w AS (SELECT ('0x' || substr(sha256('20260511:' || query_id), 1, 13))::BIGINT % {B.PRIME} h, h0.hit::INT x, h1.hit::INT y FROM h0 JOIN h1 USING (query_id)),
+ m AS (SELECT i, (('0x' || substr(s, 1, 16))::UBIGINT % {B.PRIME - 1})::BIGINT + 1 a, (('0x' || substr(s, 17, 16))::UBIGINT % {B.PRIME})::BIGINT b FROM (SELECT i, sha256('20260511:' || i) s FROM range({B.REPLICATES}) t(i))),
+ k AS (SELECT i, x, y, {' + '.join(f'(u >= {s})::INT' for s in B.poisson_steps())} n FROM (SELECT i, x, y, (h * a + b) % {B.PRIME} u FROM w, m)),
+ r AS (SELECT i, (sum(n * y) - sum(n * x)) / sum(n) d FROM k GROUP BY 1 HAVING sum(n) > 0)"""
+
+
+@register("QRK-18.bootstrap", _DRAWS + " SELECT (SELECT count(*) FROM w) n, (SELECT round(avg(y) - avg(x), 9) FROM w) delta, round(quantile_cont(d, 0.025), 9) low, round(quantile_cont(d, 0.975), 9) high, count(*) replicates FROM r")
+def bootstrapped(spark, d):
+    """The difference of two systems' hit rates, with a paired bootstrap interval of 5,000 replicates."""
+    pairs = _hits(spark, d, 0).select("query_id", F.col("hit").alias("base_hit")).join(_hits(spark, d, 1).select("query_id", "hit"), "query_id")
+    return B.paired_bootstrap(pairs).withColumns({c: F.round(c, 9) for c in ("delta", "low", "high")})

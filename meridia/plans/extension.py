@@ -34,7 +34,7 @@ def wav_round_trip(spark, d):
     return own.join(back, "path").select("path", "samplerate", F.size("back").alias("n"), (far < 1e-4).alias("close"))
 
 
-@register("VEC-15", """WITH p AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 t, event_id % 512 f FROM events),
+@register("VEC-15.events", """WITH p AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 t, event_id % 512 f FROM events),
  o AS (SELECT *, lead(t, 1) OVER w t2, lead(f, 1) OVER w f2, lead(t, 2) OVER w t3, lead(f, 2) OVER w f3 FROM p WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
  SELECT event_id, f2 - f d1, f3 - f2 d2, floor(16 * (t2 - t) / greatest(t3 - t, 1))::BIGINT ratio FROM o WHERE t3 IS NOT NULL""")
 def triplets(spark, d):

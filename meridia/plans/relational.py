@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,9 @@ from .. import sources
 from ..functions.strings import match_line
 from ..functions.time import micros
 from ..operators.numbering import numbered
-from .fixtures import manifest, results, with_eval
+from ..operators.quantiles import quantiles
+from ..sources.folders import new_folder
+from .fixtures import manifest, results, with_eval, with_search
 from .registry import register, sql_on, table
 
 
@@ -25,9 +25,20 @@ def same(ids: str, text: str, *names: str, duck: str | None = None):
 
 same("PRJ-1 PRJ-2", "SELECT c_custkey AS ref_id, c_name AS label, c_acctbal * 2 AS doubled FROM {customer}", "customer")
 same("PRJ-5 SRC-22", "SELECT r_regionkey AS id, r_name AS name, 'region' AS corpus FROM {region} UNION ALL SELECT n_nationkey, n_name, 'nation' FROM {nation}", "region", "nation")
-same("PRJ-6 WIN-5", "SELECT n_nationkey, sum(1) OVER (ORDER BY n_regionkey, n_nationkey ROWS UNBOUNDED PRECEDING) - 1 AS global_idx, sum(n_nationkey) OVER (ORDER BY n_regionkey, n_nationkey ROWS UNBOUNDED PRECEDING) - n_nationkey AS base FROM {nation}", "nation",
-     duck="SELECT n_nationkey, (sum(1) OVER (ORDER BY n_regionkey, n_nationkey ROWS UNBOUNDED PRECEDING) - 1)::BIGINT AS global_idx, (sum(n_nationkey) OVER (ORDER BY n_regionkey, n_nationkey ROWS UNBOUNDED PRECEDING) - n_nationkey)::BIGINT AS base FROM nation")
-same("PRJ-7", "SELECT p_brand, dense_rank() OVER (ORDER BY first) - 1 AS id FROM (SELECT p_brand, min(p_partkey) AS first FROM {part} GROUP BY p_brand)", "part")
+@register("PRJ-6 WIN-5", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::BIGINT quantity, (row_number() OVER o - 1)::BIGINT global_idx, (sum(l_quantity::BIGINT) OVER o - l_quantity::BIGINT)::BIGINT base FROM lineitem WINDOW o AS (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity ROWS UNBOUNDED PRECEDING)")
+def positions(spark, d):
+    """The number of each row, and the sum of all quantities before it: first positions of recordings in one index."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("quantity"))
+    return numbered(rows, ["l_orderkey", "l_linenumber", "l_partkey", "quantity"], new_folder(spark), "global_idx", base="quantity")
+
+
+@register("PRJ-7", "SELECT user_id, (row_number() OVER (ORDER BY first) - 1)::BIGINT AS id FROM (SELECT user_id, min(event_id) AS first FROM events GROUP BY user_id)")
+def dense_ids(spark, d):
+    """Numbers of users in the order of their first event."""
+    first = table(spark, d, "events").groupBy("user_id").agg(F.min("event_id").alias("first"))
+    return numbered(first, ["first", "user_id"], new_folder(spark), "id").select("user_id", "id")
+
+
 same("FLT-3 FLT-5 FLT-7", "SELECT o_orderkey FROM {orders} WHERE o_orderpriority IS NOT NULL AND o_totalprice >= 90000 AND NOT (o_orderstatus = 'O')", "orders")
 same("FLT-12", "SELECT p_partkey, p_name FROM {part} WHERE p_name LIKE '%red%' OR p_name LIKE '%lime%'", "part")
 same("FLT-14", "SELECT ref_id, length_s, query_id FROM (SELECT o_custkey % 50 AS ref_id, o_orderkey % 4 AS length_s, o_orderkey AS query_id, row_number() OVER (PARTITION BY o_custkey % 50, o_orderkey % 4 ORDER BY md5(CAST(o_orderkey AS STRING)), o_orderkey) AS n FROM {orders}) WHERE n = 1", "orders",
@@ -50,7 +61,7 @@ def picked_places(spark, d):
     """Rows at a low, a middle and a high place of the sorted table."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("score"))
     total = e.count()
-    return numbered(e, ["score", "vec_id"], _folder(spark)).where(F.col("n").isin(10, total // 2, total - 5)).select("vec_id", "score")
+    return numbered(e, ["score", "vec_id"], new_folder(spark)).where(F.col("n").isin(10, total // 2, total - 5)).select("vec_id", "score")
 
 
 same("AGG-12", "SELECT section_type, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS section_type FROM {orders}) GROUP BY section_type", "orders")
@@ -94,8 +105,8 @@ def fill_hashes(spark, d):
 @register("FLT-13", "SELECT event_id, value FROM events WHERE value < (SELECT quantile_cont(value, 0.05) FROM events)")
 def low_outliers(spark, d):
     e = table(spark, d, "events")
-    cut = e.agg(F.percentile("value", F.lit(0.05)).alias("cut"))
-    return e.crossJoin(F.broadcast(cut)).where("value < cut").select("event_id", "value")  # one row
+    (cut,) = quantiles(e, "value", 0.05)
+    return e.where(F.col("value") < F.lit(cut).cast("double")).select("event_id", "value")
 
 
 @register("JOIN-18 SRC-18", """WITH k AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Supplier#' || user_id ELSE 'supplier/' || user_id END raw FROM events),
@@ -130,7 +141,7 @@ _OUTPUT = """CASE WHEN event_id % 17 = 0 THEN 'Query processed in ' || event_id
  SELECT q.user_id query_id, coalesce(rank, 0)::INT rank, score::INT match_count FROM q LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r USING (user_id)""")
 def ingested_matches(spark, d):
     """Lines of text files, parsed, ranked by their order for each query, and every query kept (rank 0: no match)."""
-    to = _folder(spark)
+    to = new_folder(spark)
     lines = sql_on(spark, d, f"SELECT event_id, {_OUTPUT} AS line FROM (SELECT event_id, user_id, {_LOG.format(s='STRING')} AS line FROM {{events}})", "events")
     # a tool's lines come in order; here each names its place, as files of several tasks have none
     lines.select(F.concat_ws("\t", F.col("event_id").cast("string"), "line").alias("value")).write.text(to)
@@ -155,13 +166,13 @@ def emission_rank(spark, d):
     return table(spark, d, "events").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("rank"))
 
 
-@register("WIN-4 STM-1", "SELECT user_id, event_id, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) carried FROM events")
+@register("WIN-4", "SELECT user_id, event_id, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) carried FROM events")
 def carried(spark, d):
     order = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, d, "events").select("user_id", "event_id", F.last_value(F.when(F.col("event_type") == "click", F.col("value")), F.lit(True)).over(order).alias("carried"))
 
 
-@register("WIN-8", """WITH c AS (SELECT user_id % 16 f, epoch_us(ts) // 3600000000 t, max(value) v FROM events GROUP BY 1, 2)
+@register("WIN-8.events", """WITH c AS (SELECT user_id % 16 f, epoch_us(ts) // 3600000000 t, max(value) v FROM events GROUP BY 1, 2)
  SELECT a.f, a.t, a.v FROM c a WHERE a.v >= (SELECT max(v) FROM c b WHERE b.f BETWEEN a.f - 3 AND a.f + 3 AND b.t BETWEEN a.t - 15 AND a.t + 15)""")
 def peaks(spark, d):
     c = table(spark, d, "events").groupBy((F.col("user_id") % 16).alias("f"), F.floor(micros(F.col("ts")) / 3_600_000_000).alias("t")).agg(F.max("value").alias("v"))
@@ -177,25 +188,15 @@ def intersections(spark, d):
     return p.join(q, "p_partkey").select("p_partkey", F.size(F.array_intersect("a", "b")).cast("long").alias("common"))
 
 
-@register("AGG-39 STM-3 STM-4", "SELECT count(*) n, round(sum(value), 4) total, max(value) most, count_if(value < 1) failed FROM events")
+@register("AGG-39", "SELECT count(*) n, round(sum(value), 4) total, max(value) most, count_if(value < 1) failed FROM events")
 def accumulators(spark, d):
     return table(spark, d, "events").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("most"), F.count_if(F.col("value") < 1).alias("failed"))
 
 
-def _folder(spark):
-    """A folder for a query's files: the shared one of the session, or in local mode a temporary one."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(root or 'file://' + tempfile.gettempdir()).rstrip('/')}/meridia-{uuid.uuid4().hex}"
-
-
 @register("SRC-1 SRC-2 SNK-3 SNK-5", "SELECT n_nationkey::VARCHAR ref_id, n_name corpus FROM nation")
 def csv_round_trip(spark, d):
     """A CSV file for each region and all of them read as one table."""
-    n, to = table(spark, d, "nation"), _folder(spark)
+    n, to = table(spark, d, "nation"), new_folder(spark)
     rows = n.select(F.col("n_nationkey").cast("string").alias("ref_id"), F.col("n_name").alias("corpus"), "n_regionkey")
     regions = [r[0] for r in n.select("n_regionkey").distinct().collect()]
     for r in regions:
@@ -204,9 +205,9 @@ def csv_round_trip(spark, d):
     return sources.read_csv(spark, [f"{to}/{r}" for r in regions], schema)
 
 
-@register("SNK-1 SRC-5 SNK-14", with_eval() + "SELECT query_id, rank FROM r0 JOIN manifest USING (query_id) WHERE split = 'main' AND length_s = 3")
+@register("SNK-1 SRC-5", with_eval() + "SELECT query_id, rank FROM r0 JOIN manifest USING (query_id) WHERE split = 'main' AND length_s = 3")
 def partitioned(spark, d):
-    to = _folder(spark)
+    to = new_folder(spark)
     rows = results(spark, d).join(manifest(spark, d).select("query_id", "split", "length_s"), "query_id").withColumn("system", F.lit("base"))
     sources.write_results(rows, to)
     return sources.read_results(spark, to, system="base", split="main", length_s=3).select("query_id", "rank")
@@ -214,21 +215,21 @@ def partitioned(spark, d):
 
 @register("SNK-6", "SELECT vec_id, label FROM embeddings WHERE label = 3")
 def variant_sink(spark, d):
-    to = _folder(spark)
+    to = new_folder(spark)
     sources.write_results(table(spark, d, "embeddings").select("vec_id", "label"), to, "label")
     return sources.read_results(spark, to, label=3)
 
 
 @register("SNK-8 SNK-10", "SELECT c_custkey, c_acctbal, c_acctbal > 0 positive FROM customer")
 def staged_export(spark, d):
-    to = _folder(spark)
+    to = new_folder(spark)
     table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_name").drop("c_name").orderBy("c_custkey").write.parquet(to)
     return spark.read.parquet(to).withColumn("positive", F.col("c_acctbal") > 0)
 
 
-@register("SNK-9 SRC-11")
+@register("SNK-9")
 def checksums(spark, d):
-    """All files of the folder; the header scan of SRC-11 is not done."""
+    """All files of the folder."""
     return sources.artefacts(spark, d)
 
 
@@ -244,7 +245,7 @@ def flattened(spark, d):
     return slim.select("event_id", F.col("a.b.event_type").alias("kind"), F.col("a.b.user_id").cast("long").alias("user"))
 
 
-@register("SRC-12 JSN-4", "SELECT event_id, i start, i + 2 stop, 'label' || i AS label FROM events, range(3) t(i)")
+@register("SRC-12", "SELECT event_id, i start, i + 2 stop, 'label' || i AS label FROM events, range(3) t(i)")
 def annotations(spark, d):
     """Each event's annotation as JSON text and parsed again."""
     number = lambda i: F.lit(i).cast("long")
@@ -262,7 +263,7 @@ def annotations(spark, d):
     return e.select("event_id", F.get("interval", F.lit(0)).alias("start"), F.get("interval", F.lit(1)).alias("stop"), "label")
 
 
-@register("JSN-2 JSN-3 STR-16", "SELECT conv_id, string_agg(coalesce(CASE WHEN turn % 3 = 0 THEN role END, 'turn' || turn), '; ' ORDER BY turn) \"names\" FROM conversations GROUP BY 1")
+@register("JSN-2.struct", "SELECT conv_id, string_agg(coalesce(CASE WHEN turn % 3 = 0 THEN role END, 'turn' || turn), '; ' ORDER BY turn) \"names\" FROM conversations GROUP BY 1")
 def joined_names(spark, d):
     one = F.struct("turn", F.struct(F.when(F.col("turn") % 3 == 0, F.col("role")).alias("name"), F.concat(F.lit("turn"), "turn").alias("title")).alias("a"))
     g = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("l"))
@@ -277,13 +278,13 @@ def sliding_windows(spark, d):
     return sliding_counts(table(spark, d, "events")).select(F.floor(micros(F.col("w.start")) / 1_000_000).alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
-@register("STM-2 STM-7")
+@register("STM-2 STM-7", with_search(3, 0.8, k=5) + "SELECT query_id, cand, score, rank FROM ranked")
 def streamed_identification(spark, d):
     """Clips as a stream of files, answered batch by batch; the same rows as RET-3."""
     from .. import streaming
     from .fixtures import clips, segments
 
-    to = _folder(spark)
+    to = new_folder(spark)
     clips(spark, d, 3, 0.8).repartition(2, "query_id").write.parquet(f"{to}/in")
     q = spark.read.parquet(f"{to}/in")
     stream = streaming.read_parquet_stream(spark, f"{to}/in", q.schema)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.time import micros
 from ..operators import calibrate, rerank, retrieval as R
+from ..operators.sampling import uniform_sample
+from ..sources.folders import new_folder
 from .fixtures import clips, segments, with_clips, with_search
 from .registry import register, table
 
@@ -104,33 +106,48 @@ def leave_one_out(spark, d):
     return rerank.leave_one_out(segments(spark, d)).select("ref_id", "artist", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
 
 
-@register("RET-8 RET-9 VEC-4 JOIN-19 JOIN-20", with_search(3, 0.8) + ", " + _LOO + """,
- v AS (SELECT unnest(['alpha_0.00', 'alpha_0.10', 'alpha_0.50']) variant, unnest([0.0, 0.1, 0.5])::DOUBLE alpha),
- moved AS (SELECT g, variant, list_transform(list_zip(e, mu), lambda p: p[1] - alpha * p[2]) m FROM seg JOIN loo USING (ref_id), v),
+_BITS = "('0x' || substr(sha256({}), 1, 13))::BIGINT"
+_CONTROLS = f""", place AS (SELECT *, row_number() OVER (ORDER BY artist, h, ref_id) - 1 n FROM (SELECT *, {_BITS.format("'20260512:' || ref_id")} h FROM loo)),
+ span AS (SELECT artist, min(n) lo, count(*) own FROM place GROUP BY 1),
+ donor AS (SELECT p.ref_id, p.artist, o.ref_id donor, o.mu FROM place p JOIN span USING (artist) LEFT JOIN place o ON o.n = (lo + own + p.h % greatest((SELECT count(*) FROM loo) - own, 1)) % (SELECT count(*) FROM loo) AND own < (SELECT count(*) FROM loo)),
+ noise AS (SELECT ref_id, artist, mu, list_transform(range(1, len(mu) + 1), lambda d: sqrt(-2 * ln(({_BITS.format("'20260513:0:' || ref_id || ':' || d")} + 1) / 4503599627370497::DOUBLE)) * cos(2 * 3.141592653589793::DOUBLE * (({_BITS.format("'20260513:1:' || ref_id || ':' || d")} + 1) / 4503599627370497::DOUBLE))) z FROM loo),
+ iso AS (SELECT ref_id, artist, list_transform(z, lambda x: x * sqrt(list_inner_product(mu, mu)) / greatest(sqrt(list_inner_product(z, z)), 1e-12)) mu FROM noise)"""
+
+
+def _centroids(spark, d):
+    own = rerank.leave_one_out(segments(spark, d))
+    return {"own": own, "shuffled": rerank.shuffled(own, new_folder(spark)), "isotropic": rerank.isotropic(own)}
+
+
+@register("RET-8 RET-9 VEC-4 JOIN-19 JOIN-20", with_search(3, 0.8, probe=100) + ", " + _LOO + _CONTROLS + """,
+ v AS (SELECT 'alpha_' || printf('%.2f', a) variant, a::DOUBLE alpha, 'own' kind FROM (SELECT unnest([0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3]) a) UNION ALL SELECT 'control_shuffled', 0.1, 'shuffled' UNION ALL SELECT 'control_isotropic', 0.1, 'isotropic'),
+ mus AS (SELECT ref_id, 'own' kind, mu FROM loo UNION ALL SELECT ref_id, 'shuffled', mu FROM donor UNION ALL SELECT ref_id, 'isotropic', mu FROM iso),
+ moved AS (SELECT g, variant, list_transform(list_zip(e, mu), lambda p: p[1] - alpha * p[2]) m FROM seg JOIN mus USING (ref_id) JOIN v USING (kind)),
  unit AS (SELECT g, variant, list_transform(m, lambda x: x / greatest(sqrt(list_inner_product(m, m)), 1e-12)) u FROM moved),
  s AS (SELECT query_id, variant, cand, round(avg(list_inner_product(q, u)), 6) score FROM cand JOIN clip USING (query_id) JOIN unit ON g = cand + q_off GROUP BY 1, 2, 3)
  SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, cand) rank FROM s QUALIFY rank <= 10""")
 def sweep(spark, d):
-    q, lib, cands = _scores(spark, d)
-    variants = spark.createDataFrame([("alpha_0.00", 0.0), ("alpha_0.10", 0.1), ("alpha_0.50", 0.5)], "variant string, alpha double")
-    return rerank.sweep(cands, q, lib, rerank.leave_one_out(lib), variants)
+    """Candidates are probed once (100 for each segment) and rescored for all nine variants."""
+    q, lib, cands = _scores(spark, d, probe=100)
+    return rerank.sweep(cands, q, lib, _centroids(spark, d))
 
 
-@register("RET-10 JOIN-16")
+@register("RET-10 JOIN-16", with_clips(1, 0.8) + ", " + _LOO + _CONTROLS + " SELECT ref_id, artist, donor, list_transform(mu, lambda x: round(x, 6)) centroid FROM donor")
 def shuffled_control(spark, d):
-    return rerank.shuffled(rerank.leave_one_out(segments(spark, d)))
+    return _centroids(spark, d)["shuffled"].withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
 
 
-@register("VEC-6")
+@register("VEC-6", with_clips(1, 0.8) + ", " + _LOO + _CONTROLS + " SELECT ref_id, artist, list_transform(mu, lambda x: round(x, 6)) centroid FROM iso")
 def isotropic_control(spark, d):
-    return rerank.isotropic(rerank.leave_one_out(segments(spark, d))).select("ref_id", "artist", F.round(V.norm(F.col("centroid")), 6).alias("norm"))
+    return _centroids(spark, d)["isotropic"].withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
 
 
-_ANCHORS = ", anchor AS (SELECT g id, e a FROM seg WHERE g % 5 = 0), centre AS (SELECT query_id, list(m ORDER BY d) c FROM (SELECT query_id, d, avg(q[d]) m FROM clip, range(1, 65) t(d) GROUP BY 1, 2) GROUP BY 1)"
+_ANCHORS = ", anchor AS (SELECT g id, e a FROM seg ORDER BY sha256('20260513:' || g), g LIMIT 4096), centre AS (SELECT query_id, list(m ORDER BY d) c FROM (SELECT query_id, d, avg(q[d]) m FROM clip, range(1, 65) t(d) GROUP BY 1, 2) GROUP BY 1)"
 
 
 def _anchors(spark, d):
-    return segments(spark, d).where("global_idx % 5 = 0").select(F.col("global_idx").alias("anchor_id"), "embedding")
+    """The sample of RET-13."""
+    return uniform_sample(segments(spark, d), "global_idx", rerank.MOST_ANCHORS, 20260513).select(F.col("global_idx").alias("anchor_id"), "embedding")
 
 
 @register("RET-11 WIN-7 QRK-4", with_search(3, 0.8) + _ANCHORS + """, z AS (SELECT query_id, sum(exp(list_inner_product(c, a) / 0.05)) z FROM centre, anchor GROUP BY 1)
@@ -152,51 +169,7 @@ def csls(spark, d):
     return rerank.csls(R.rescore(cands, q, lib), _anchors(spark, d), q, lib).select("query_id", "cand", F.round("score", 3).alias("score"))
 
 
-_GRAMS = """h AS (SELECT doc_id, list_transform(range(1, len(w) - 1), lambda i: struct_pack(h := md5(array_to_string(w[i:i+2], ' ')), t := i - 1)) l FROM (SELECT doc_id, string_split(text, ' ') w FROM documents)),
- lib AS (SELECT DISTINCT doc_id ref_id, x.h hash, x.t t FROM (SELECT doc_id, unnest(l) x FROM h)),
- k AS (SELECT item_id, list_transform(range(1, len(w) - 1), lambda i: struct_pack(h := md5(array_to_string(w[i:i+2], ' ')), t := i - 1)) l FROM (SELECT item_id, string_split(text, ' ') w FROM benchmark)),
- qry AS (SELECT DISTINCT item_id query_id, x.h hash, x.t t FROM (SELECT item_id, unnest(l) x FROM k)),
- vote AS (SELECT query_id, ref_id, lib.t - qry.t shift, count(*) votes FROM qry JOIN lib USING (hash) GROUP BY 1, 2, 3),
- best AS (SELECT *, row_number() OVER (PARTITION BY query_id, ref_id ORDER BY votes DESC, shift) n FROM vote QUALIFY n = 1),
- top AS (SELECT query_id, ref_id, shift, votes, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, ref_id) rank FROM best QUALIFY rank <= 10)"""
-
-
-def _hashes(spark, d):
-    q = R.word_hashes(table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id")
-    return q, R.word_hashes(table(spark, d, "documents").withColumnRenamed("doc_id", "ref_id"), "ref_id")
-
-
-@register("JOIN-9 AGG-24", "WITH " + _GRAMS + " SELECT query_id, ref_id, shift, votes FROM vote")
-def votes(spark, d):
-    return R.hash_votes(*_hashes(spark, d))
-
-
-@register("RET-6 AGG-23 TOPK-4", "WITH " + _GRAMS + " SELECT query_id, ref_id, shift, votes, rank FROM top")
-def collapsed(spark, d):
-    return R.best_per_ref(R.hash_votes(*_hashes(spark, d)))
-
-
-@register("RET-5 AGG-25", "WITH " + _GRAMS + """ SELECT query_id, ref_id, shift, votes, rank, nq query_hashes, nr ref_hashes, votes / nq input_confidence, votes / nr fingerprinted_confidence
- FROM top JOIN (SELECT query_id, count(*) nq FROM qry GROUP BY 1) USING (query_id) JOIN (SELECT ref_id, count(*) nr FROM lib GROUP BY 1) USING (ref_id)""")
-def matched(spark, d):
-    q, r = _hashes(spark, d)
-    return R.confidences(R.best_per_ref(R.hash_votes(q, r)), q, r)
-
-
-@register("EVAL-11", "WITH " + _GRAMS + " SELECT query_id, CASE WHEN max(votes) >= 10 AND max(CASE WHEN rank = 1 THEN votes END) >= 3 * coalesce(max(CASE WHEN rank = 2 THEN votes END), 1) THEN 'pass' ELSE 'fail' END verdict FROM top GROUP BY 1")
-def smoke(spark, d):
-    best = lambda r: F.max(F.when(F.col("rank") == r, F.col("votes")))
-    ok = (F.max("votes") >= 10) & (best(1) >= 3 * F.coalesce(best(2), F.lit(1)))
-    return R.best_per_ref(R.hash_votes(*_hashes(spark, d))).groupBy("query_id").agg(F.when(ok, "pass").otherwise("fail").alias("verdict"))
-
-
-@register("SNK-4 RET-16", "WITH " + _GRAMS + " SELECT ref_id, count(*) n_hashes, count(DISTINCT hash) n_distinct FROM lib GROUP BY 1")
-def hash_index(spark, d):
-    index = _hashes(spark, d)[1].dropDuplicates(["ref_id", "hash", "t"])
-    return index.groupBy("ref_id").agg(F.count("*").alias("n_hashes"), F.countDistinct("hash").alias("n_distinct"))
-
-
-@register("RET-1 RET-2 RET-15 AGG-37", "SELECT count(*) n, max(vec_id) = count(*) - 1 contiguous, max(abs(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1)) < 1e-5 unit, min(len(embedding)) dim FROM embeddings")
+@register("AGG-37", "SELECT count(*) n, max(vec_id) = count(*) - 1 contiguous, max(abs(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1)) < 1e-5 unit, min(len(embedding)) dim FROM embeddings")
 def index_checks(spark, d):
     return segments(spark, d).agg(F.count("*").alias("n"), (F.max("global_idx") == F.count("*") - 1).alias("contiguous"), (F.max(F.abs(V.norm(F.col("embedding")) - 1)) < 1e-5).alias("unit"), F.min(F.size("embedding")).alias("dim"))
 
@@ -207,14 +180,12 @@ def identify(spark, d):
     return found.join(segments(spark, d).select(F.col("global_idx").alias("cand"), "ref_id"), "cand").select("query_id", "rank", "ref_id", "score", calibrate.ladder(F.col("score"), 0.9, 0.8).alias("verdict"))
 
 
-@register("RET-13 SMP-5", "SELECT vec_id FROM embeddings ORDER BY sha256('20260513:' || vec_id), vec_id LIMIT 64")
+@register("RET-13 SMP-5", "SELECT vec_id FROM embeddings ORDER BY sha256('20260513:' || vec_id), vec_id LIMIT 4096")
 def anchor_pool(spark, d):
-    from ..operators.sampling import uniform_sample
-
-    return uniform_sample(table(spark, d, "embeddings"), "vec_id", 64, 20260513).select("vec_id")
+    return uniform_sample(table(spark, d, "embeddings"), "vec_id", rerank.MOST_ANCHORS, 20260513).select("vec_id")
 
 
-@register("JOIN-21 VEC-14", """WITH p AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 t, event_id % 512 f FROM events),
+@register("JOIN-21.events", """WITH p AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 t, event_id % 512 f FROM events),
  o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) n FROM p)
  SELECT a.user_id, a.event_id anchor, b.event_id target, (a.f << 23) | (b.f << 14) | least(b.t - a.t, 16383) hash FROM o a JOIN o b ON a.user_id = b.user_id AND b.n BETWEEN a.n + 1 AND a.n + 3""")
 def peak_pairs(spark, d):
@@ -228,6 +199,6 @@ def peak_pairs(spark, d):
     return pairs.select("user_id", F.col("event_id").alias("anchor"), F.col("b.event_id").alias("target"), code.alias("hash"))
 
 
-@register("VEC-16", "SELECT event_id, round(2595 * log10(1 + value / 700), 6) mel FROM events WHERE value >= 0")
+@register("VEC-16.mel", "SELECT event_id, round(2595 * log10(1 + value / 700), 6) mel FROM events WHERE value >= 0")
 def mel(spark, d):
     return table(spark, d, "events").where("value >= 0").select("event_id", F.round(2595 * F.log10(1 + F.col("value") / 700), 6).alias("mel"))

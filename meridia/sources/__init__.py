@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 import re
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,21 +73,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, **options) -> DataFrame:
-    """A query's rows over JDBC; the driver must be on the class path."""
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
-
-
-def first_existing(*paths: str) -> str | None:
-    """The first path that exists (driver side)."""
-    return next((p for p in paths if Path(p).exists()), None)
-
-
-def read_config(path: str) -> dict:
-    """A small JSON configuration (driver side)."""
-    return json.loads(Path(path).read_text())
-
-
 def split_valid(table: DataFrame, **reasons) -> tuple[DataFrame, DataFrame]:
     """Rows without a fault, and the others with ``reasons``, the names of the conditions they meet."""
     found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in reasons.items()]), lambda x: x.isNotNull())

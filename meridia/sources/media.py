@@ -34,18 +34,17 @@ def decode_wav(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, _SCHEMA)
 
 
-def zip_members(files: DataFrame, suffix: str) -> DataFrame:
-    """``path, member, content`` of the members of zip files ``(path, content)`` with this suffix."""
+def zip_files(members: DataFrame, key: str) -> DataFrame:
+    """``key, content``: a zip archive of the rows ``member, content`` of each key, which is a group of bounded size."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in z.namelist():
-                        if member.endswith(suffix):
-                            yield pd.DataFrame([{"path": path, "member": member, "content": z.read(member)}])
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for member, content in sorted(zip(frame["member"], frame["content"], strict=True)):
+                archive.writestr(member, bytes(content))
+        return pd.DataFrame({key: [frame[key].iloc[0]], "content": [out.getvalue()]})
 
-    return files.select("path", "content").mapInPandas(run, "path string, member string, content binary")
+    return members.groupBy(key).applyInPandas(run, f"{key} {members.schema[key].dataType.simpleString()}, content binary")
 
 
 def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
