@@ -84,8 +84,9 @@ def linked_components(members: DataFrame, bodies: DataFrame, percent: int, measu
       ``(core - max(e)) / (core - min(e) + n_x + n_y)``.  The classes of equal
       sizes, e and n are held against each other, and nodes of classes that reach
       the threshold by this bound are compared on full sets, unless they are in
-      the same part already: so all but the nodes of a group's largest part meet
-      the nodes of such classes.
+      the same part already: so all but the nodes of a group's largest part, its
+      strays, meet the nodes of such classes.  Where these are many, stars among the strays of each class,
+      and between the classes, come first, as long as they find links.
     * otherwise they have as many novel shingles in common as the threshold
       leaves open, and so one among the first few by hash.  Those shingles are
       the next buckets.  Where these hold few pairs for their members, the pairs
@@ -132,6 +133,15 @@ def linked_components(members: DataFrame, bodies: DataFrame, percent: int, measu
         rest = rest.select("*", *(_mask("novel", k).alias(f"mask{k}") for k in range(MASKS)))
         # novel shingles that share their bit with another one
         rest = materialize(rest.withColumn("loose", F.col("n") - sum((F.bit_count(f"mask{k}") for k in range(MASKS)), F.lit(0))))
+        while _many_core_pairs(rest, percent):  # strays that are alike meet as stars first
+            alike = materialize(confirmed(_class_stars(rest, percent).distinct()).where(link).select("a", "b"))
+            if alike.isEmpty():
+                break
+            parts = _joined(alike, parts)
+            after = materialize(_in_parts(rest.drop("part"), parts))
+            drop(alike)
+            drop(rest)
+            rest = after
         more = materialize(confirmed(few.union(_core_pairs(rest, percent)).distinct()).where(link).select("a", "b"))
         if not more.isEmpty():
             parts = _joined(more, parts)
@@ -204,24 +214,60 @@ def _pairs(rows: DataFrame, percent: int, bound: Column | None = None, *more: st
     return (pairs if bound is None else pairs.where(bound)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
 
-def _core_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` in different parts that may be links without a common novel shingle.
+_CLASS = ("nx", "n", "e")
 
-    Classes ``(nx, n, e)`` are few however large a group is, and only those that
-    reach the threshold are expanded.  Of two nodes in different parts, one at
-    least is not in the group's largest part.
+
+def _side(s: str, *more: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{s}") for c in (*_CLASS, *more)]
+
+
+def _met_classes(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes ``(nx, n, e)`` of a group, with nodes in different parts, that may be linked without a common novel shingle.
+
+    Classes are few however large a group is.
     """
-    kind = ("nx", "n", "e")
-    side = lambda s, *more: [F.col(c).alias(f"{c}_{s}") for c in (*kind, *more)]
-    classes = rows.groupBy("g", "nh", *kind).agg(F.min("part").alias("p"), F.max("part").alias("q"))
-    met = classes.select("g", "nh", *side("x", "p", "q")).join(classes.select("g", *side("y", "p", "q")), "g")
+    classes = rows.groupBy("g", "nh", *_CLASS).agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("of"))
+    met = classes.select("g", "nh", *_side("x", "p", "q")).join(classes.select("g", *_side("y", "p", "q", "of")), "g")
     common = F.col("nh") - F.greatest("e_x", "e_y")
     union = F.col("nh") - F.least("e_x", "e_y") + F.col("n_x") + F.col("n_y")
     met = met.where((common * 100 >= union * percent) & (F.least("p_x", "p_y") != F.greatest("q_x", "q_y")))
-    met = met.where(F.least("nx_x", "nx_y") * 100 >= F.greatest("nx_x", "nx_y") * percent).select("g", *[f"{c}_{s}" for s in "xy" for c in kind])
+    met = met.where(F.least("nx_x", "nx_y") * 100 >= F.greatest("nx_x", "nx_y") * percent)
+    return met.select("g", *[f"{c}_{s}" for s in "xy" for c in _CLASS], "of_y")
+
+
+def _strays(rows: DataFrame) -> DataFrame:
+    """Nodes that aren't in their group's largest part."""
     main = rows.groupBy("g", "part").count().groupBy("g").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-    stray = rows.join(main, "g").where("part <> main").select("g", *side("x", "node", "part"))
-    pairs = stray.join(met, ["g", *[f"{c}_x" for c in kind]]).join(rows.select("g", *side("y", "node", "part")), ["g", *[f"{c}_y" for c in kind]])
+    return rows.join(main, "g").where("part <> main")
+
+
+def _many_core_pairs(rows: DataFrame, percent: int) -> bool:
+    """Whether strays would meet more nodes than ``PAIRS_PER_MEMBER`` each, on the whole."""
+    stray = _strays(rows).groupBy("g", *_CLASS).agg(F.count("*").alias("strays"))
+    met = stray.select("g", *_side("x", "strays")).join(_met_classes(rows, percent), ["g", *[f"{c}_x" for c in _CLASS]])
+    pairs = met.agg(F.sum(F.col("strays_x") * F.col("of_y"))).first()[0]
+    return (pairs or 0) > PAIRS_PER_MEMBER * (stray.agg(F.sum("strays")).first()[0] or 0)
+
+
+def _class_stars(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` in different parts: each stray with a node of its class's largest part of strays, and such nodes of classes that meet."""
+    stray = _strays(rows)
+    hubs = stray.groupBy("g", *_CLASS, "part").agg(F.count("*").alias("of"), F.min("node").alias("hub"))
+    hubs = hubs.groupBy("g", *_CLASS).agg(F.max(F.struct("of", "part", "hub")).alias("h")).select("g", *_CLASS, F.col("h.part").alias("at"), F.col("h.hub").alias("hub"))
+    spokes = stray.join(hubs, ["g", *_CLASS]).where("part <> at").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    met = _met_classes(rows, percent).join(hubs.select("g", *_side("x", "at", "hub")), ["g", *[f"{c}_x" for c in _CLASS]]).join(hubs.select("g", *_side("y", "at", "hub")), ["g", *[f"{c}_y" for c in _CLASS]])
+    return spokes.union(met.where("at_x <> at_y").select(F.least("hub_x", "hub_y").alias("a"), F.greatest("hub_x", "hub_y").alias("b")))
+
+
+def _core_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` in different parts that may be links without a common novel shingle.
+
+    Only classes that reach the threshold are expanded.  Of two nodes in different parts, one at
+    least is not in the group's largest part.
+    """
+    stray = _strays(rows).select("g", *_side("x", "node", "part"))
+    met = _met_classes(rows, percent).drop("of_y")
+    pairs = stray.join(met, ["g", *[f"{c}_x" for c in _CLASS]]).join(rows.select("g", *_side("y", "node", "part")), ["g", *[f"{c}_y" for c in _CLASS]])
     return pairs.where("part_x <> part_y").select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
 
 

@@ -58,10 +58,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of the benchmark; one of a null doc_id is judged like others."""
-    found = contaminated_words(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where("size(hits) > 0").select(F.col("doc_id").alias("__gone"), F.lit(True).alias("__found"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """Documents without a window of the benchmark.
+
+    What a text holds is what counts, so texts are judged, each different one once: rows that share
+    a doc_id, or have none, are judged each by its own text.
+    """
+    texts = docs.where("text is not null").select(F.md5("text").alias("doc_id"), "text")
+    found = contaminated_words(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.where("size(hits) > 0").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, F.md5("text") == F.col("__gone"), "left_anti")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

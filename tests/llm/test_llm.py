@@ -217,6 +217,25 @@ def test_stray_nodes_of_a_hub_are_linear(spark):
     assert spent[2] < 8 * spent[1]  # eight times the nodes
 
 
+def test_a_share_of_strays_of_a_hub_is_linear(spark):
+    """One bucket: a quarter of the nodes don't link with the hub, but with each other."""
+    from meridia.llm.graph import linked_components
+    from meridia.llm.near_dedup import _measure
+
+    core = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: i.cast("long"))
+    spent = []
+    for n in (2_000, 2_000, 16_000):
+        stray = F.transform(core, lambda i: F.when(i > 20, i + 10**6).otherwise(i))
+        body = F.when(F.col("id") % 4 == 1, F.array_append(stray, F.col("id") % 3 + 10**9)).otherwise(F.array_append(core, F.col("id") + 10**10))
+        nodes = spark.range(n).withColumn("body", body).withColumnRenamed("id", "node").cache()
+        began = time.time()
+        parts = linked_components(nodes.select(F.lit(5).cast("long").alias("bucket"), "node"), nodes, 80, _measure, lambda rows: rows.withColumnRenamed("body", "x"))
+        sizes = sorted(r[0] for r in parts.groupBy("component").count().select("count").collect())
+        spent.append(time.time() - began)
+        assert sizes == [n // 4, n - n // 4]
+    assert spent[2] < 4 * spent[1]  # eight times the nodes
+
+
 def test_line_spans_of_blocks():
     texts = ["a\nb\n", "", "\n", "c", "d\n\ne"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
@@ -437,6 +456,8 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert texts(three) == sorted((r for r in kept if r[0] != 401), key=str) and three.columns == docs.columns
     four = stages.decontaminate(spark, given(kept), str(tmp_path))
     assert 402 not in {r.doc_id for r in four.collect()} and leak not in " ".join(t or "" for _, t in texts(four))
+    shared = spark.createDataFrame([(None, "clean words only here"), (None, leak), (7, leak), (7, "other clean words"), (7, None)], "doc_id long, text string")
+    assert texts(stages.decontaminate(spark, shared, str(tmp_path))) == sorted([(None, "clean words only here"), (7, "other clean words"), (7, None)], key=str)
     five = stages.tokenise(spark, given(kept), str(tmp_path)).collect()
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
     assert sorted(((r.doc_id, r.token_ids) for r in five), key=str) == sorted(((i, reference.encode_ordinary(t or "")) for i, t in kept), key=str) and all(r.round_trip for r in five)
