@@ -63,3 +63,14 @@ def text_of(value: Column) -> Column:
     """Any value as one string: a scalar trimmed, an object by its name or title (else its JSON), a list item by item; null if empty."""
     one = lambda x: F.when(_kind(x) == "OBJECT", F.coalesce(_first(x, ("$.name", "$.title")), F.to_json(x))).otherwise(_trimmed(scalar(x)))
     return F.nullif(F.array_join(_present(value, one), "; "), F.lit(""))
+
+
+def sections(value: Column) -> Column:
+    """``start, stop, label`` of an annotation: ``intervals`` with ``labels``, or a list of objects ``time, duration, value``."""
+    kind = "struct<start:double,stop:double,label:string>"
+    intervals = F.try_variant_get(value, "$.intervals", "array<array<double>>")
+    labels = F.try_variant_get(value, "$.labels", "array<string>")
+    pairs = F.transform(intervals, lambda x, i: F.struct(F.get(x, F.lit(0)).alias("start"), F.get(x, F.lit(1)).alias("stop"), F.get(labels, i).alias("label")).cast(kind))
+    number = lambda x, p: F.coalesce(F.try_variant_get(x, p, "double"), F.lit(0.0))
+    items = F.transform(_items(value), lambda x: F.struct(number(x, "$.time").alias("start"), (number(x, "$.time") + number(x, "$.duration")).alias("stop"), F.try_variant_get(x, "$.value", "string").alias("label")).cast(kind))
+    return F.when(_kind(value) == "ARRAY", items).otherwise(F.coalesce(pairs, F.array().cast(f"array<{kind}>")))

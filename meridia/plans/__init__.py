@@ -3,4 +3,4 @@
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import corpus, evaluation, extension, inspection, landmarks, relational, retrieval  # noqa: E402, F401
+from . import corpus, evaluation, exports, extension, inspection, landmarks, relational, retrieval  # noqa: E402, F401

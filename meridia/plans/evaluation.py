@@ -239,7 +239,7 @@ def verdict_text(spark, d):
     return table(spark, d, "events").select("event_id", kind.alias("kind"))
 
 
-@register("JSN-6 SNK-2", _E + """SELECT corpus, '{"n":' || count(*) || ',"hits":' || count_if(first_rank = 1) || '}' doc FROM pq GROUP BY 1""")
+@register("JSN-6", _E + """SELECT corpus, '{"n":' || count(*) || ',"hits":' || count_if(first_rank = 1) || '}' doc FROM pq GROUP BY 1""")
 def as_json(spark, d):
     return _pq(spark, d).groupBy("corpus").agg(F.count("*").alias("n"), F.count_if(M.hit(1)).alias("hits")).select("corpus", F.to_json(F.struct("n", "hits")).alias("doc"))
 
@@ -249,7 +249,7 @@ def rounded(spark, d):
     return _pq(spark, d).groupBy("corpus").agg(F.round(F.count_if(M.hit(1)) / F.count("*"), 4).alias("hr"))
 
 
-@register("SRC-3 SRC-4 SRC-21 FLT-4", with_eval() + "SELECT query_id, rank, score FROM r0 WHERE query_id IN (SELECT query_id FROM manifest WHERE split = 'main' AND length_s = 10)")
+@register("SRC-3 FLT-4", with_eval() + "SELECT query_id, rank, score FROM r0 WHERE query_id IN (SELECT query_id FROM manifest WHERE split = 'main' AND length_s = 10)")
 def one_cell(spark, d):
     cell = manifest(spark, d).where("split = 'main' and length_s = 10").select("query_id")
     return results(spark, d).join(cell, "query_id", "left_semi").select("query_id", "rank", "score")

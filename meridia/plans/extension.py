@@ -20,12 +20,12 @@ def _samples(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("clip_id"), F.col("embedding").alias("samples"))
 
 
-@register("VEC-13 VEC-17 VEC-18 UDF-3", "SELECT vec_id clip_id, count(*) n, 1.0::DOUBLE norm FROM embeddings, range(7) GROUP BY 1")
+@register("VEC-13.windows", "SELECT vec_id clip_id, count(*) n, 1.0::DOUBLE norm FROM embeddings, range(7) GROUP BY 1")
 def encoded(spark, d):
     return encode(_samples(spark, d)).groupBy("clip_id").agg(F.count("*").alias("n"), F.round(F.max(V.norm(F.col("embedding"))), 6).alias("norm"))
 
 
-@register("SRC-8 SNK-12", "SELECT 'clip' || vec_id AS path, 8000 samplerate, 64 n, true close FROM embeddings")
+@register("SNK-12", "SELECT 'clip' || vec_id AS path, 8000 samplerate, 64 n, true close FROM embeddings")
 def wav_round_trip(spark, d):
     """Written as WAV, decoded again, within one step of 16 bits."""
     own = _samples(spark, d).select(F.concat(F.lit("clip"), "clip_id").alias("path"), "samples")
@@ -46,7 +46,7 @@ def triplets(spark, d):
     return p.where("t2 is not null").select("event_id", (F.col("f1") - F.col("f")).alias("d1"), (F.col("f2") - F.col("f1")).alias("d2"), ratio.alias("ratio"))
 
 
-@register("EVAL-9 SNK-7", with_eval() + ", h AS (SELECT split, length_s, count(*) n, count_if(coalesce(r.predicted_ref_id = ref_id, false)) hits FROM manifest LEFT JOIN (SELECT * FROM r0 WHERE rank = 1) r USING (query_id) GROUP BY 1, 2) SELECT '| ' || split || ' | ' || length_s || ' s | ' || hits || '/' || n || ' |' line FROM h")
+@register("EVAL-9.lines", with_eval() + ", h AS (SELECT split, length_s, count(*) n, count_if(coalesce(r.predicted_ref_id = ref_id, false)) hits FROM manifest LEFT JOIN (SELECT * FROM r0 WHERE rank = 1) r USING (query_id) GROUP BY 1, 2) SELECT '| ' || split || ' | ' || length_s || ' s | ' || hits || '/' || n || ' |' line FROM h")
 def report(spark, d):
     """Lines of a Markdown table, one for each cell."""
     cells = M.per_query(results(spark, d), manifest(spark, d)).groupBy("split", "length_s").agg(F.count("*").alias("n"), F.count_if(M.hit(1)).alias("hits"))
@@ -69,7 +69,7 @@ def small_library(spark, d):
     return R.knn(clips(spark, d, 2, 0.8), segments(spark, d).where("global_idx < 7"), 20)
 
 
-@register("QRK-17", "SELECT NULL::DOUBLE AS median, 0::BIGINT n_aligned")
+@register("QRK-17", with_eval() + "SELECT quantile_cont(CASE WHEN ref_start IS NULL THEN ref_start END, 0.5)::DOUBLE median, count(CASE WHEN ref_start IS NULL THEN ref_start END) n_aligned FROM manifest LEFT JOIN r0 USING (query_id)")
 def no_alignment(spark, d):
     return M.alignment(results(spark, d).withColumn("ref_start", F.lit(None).cast("double")), manifest(spark, d)).select("median", "n_aligned")
 
@@ -79,7 +79,7 @@ def repeated_refs(spark, d):
     return results(spark, d).agg(F.count("*").alias("n"), F.countDistinct("query_id", "predicted_ref_id").alias("n_refs"))
 
 
-@register("UDF-6", with_eval(0, 1) + "SELECT system, count(*) n, count(DISTINCT query_id) n_queries FROM (SELECT 'base' system, query_id FROM r0 UNION ALL SELECT 'other', query_id FROM r1) GROUP BY 1")
+@register("UDF-6.rows", with_eval(0, 1) + "SELECT system, count(*) n, count(DISTINCT query_id) n_queries FROM (SELECT 'base' system, query_id FROM r0 UNION ALL SELECT 'other', query_id FROM r1) GROUP BY 1")
 def any_matcher(spark, d):
     rows = [results(spark, d, i).withColumn("system", F.lit(s)) for i, s in enumerate(("base", "other"))]
     return rows[0].unionByName(rows[1], allowMissingColumns=True).groupBy("system").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("n_queries"))

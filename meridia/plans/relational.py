@@ -70,7 +70,7 @@ same("AGG-14 UDF-4", "SELECT user_id, count(*) AS size, round(sum(coalesce(value
 same("AGG-15", "SELECT lang, source, count(*) AS n FROM {documents} GROUP BY lang, source ORDER BY n DESC", "documents")
 same("AGG-31", "SELECT event_type, sum(CASE WHEN coalesce(value > 50, false) THEN 1 ELSE 0 END) AS passed, round(avg(value), 6) AS mean FROM {events} GROUP BY event_type", "events",
      duck="SELECT event_type, sum(CASE WHEN coalesce(value > 50, false) THEN 1 ELSE 0 END)::BIGINT AS passed, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
-same("AGG-34 SRC-23", "SELECT sum(length(html)) AS total, count(*) AS n FROM {pages}", "pages", duck="SELECT sum(length(html))::BIGINT AS total, count(*) AS n FROM pages")
+same("AGG-34", "SELECT sum(length(html)) AS total, count(*) AS n FROM {pages}", "pages", duck="SELECT sum(length(html))::BIGINT AS total, count(*) AS n FROM pages")
 same("AGG-36", "SELECT p_name AS key, count(*) AS n FROM {part} GROUP BY p_name ORDER BY n DESC, key LIMIT 8", "part")
 same("AGG-38", "SELECT count(*) AS collisions FROM (SELECT substr(md5(text), 1, 3) AS id FROM {documents} GROUP BY 1 HAVING count(DISTINCT text) > 1)", "documents")
 same("MTH-13", "SELECT doc_id, md5(text) AS md5, sha2(text, 256) AS sha256 FROM {documents}", "documents", duck="SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
@@ -89,7 +89,7 @@ def optional_columns(spark, d):
     return c.select(*wanted).drop("audio_path", "taalas")
 
 
-@register("FLT-8 SNK-15", "SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_totalprice < 20000 THEN 'cheap' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END], lambda x: x IS NOT NULL), ',') reasons FROM orders WHERE o_totalprice < 20000 OR o_orderstatus = 'P'")
+@register("FLT-8", "SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_totalprice < 20000 THEN 'cheap' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END], lambda x: x IS NOT NULL), ',') reasons FROM orders WHERE o_totalprice < 20000 OR o_orderstatus = 'P'")
 def quarantine(spark, d):
     _, bad = sources.split_valid(table(spark, d, "orders"), cheap=F.col("o_totalprice") < 20000, pending=F.col("o_orderstatus") == "P")
     return bad.select("o_orderkey", F.array_join("reasons", ",").alias("reasons"))
@@ -205,7 +205,7 @@ def csv_round_trip(spark, d):
     return sources.read_csv(spark, [f"{to}/{r}" for r in regions], schema)
 
 
-@register("SNK-1 SRC-5", with_eval() + "SELECT query_id, rank FROM r0 JOIN manifest USING (query_id) WHERE split = 'main' AND length_s = 3")
+@register("SNK-1", with_eval() + "SELECT query_id, rank FROM r0 JOIN manifest USING (query_id) WHERE split = 'main' AND length_s = 3")
 def partitioned(spark, d):
     to = new_folder(spark)
     rows = results(spark, d).join(manifest(spark, d).select("query_id", "split", "length_s"), "query_id").withColumn("system", F.lit("base"))
@@ -245,7 +245,7 @@ def flattened(spark, d):
     return slim.select("event_id", F.col("a.b.event_type").alias("kind"), F.col("a.b.user_id").cast("long").alias("user"))
 
 
-@register("SRC-12", "SELECT event_id, i start, i + 2 stop, 'label' || i AS label FROM events, range(3) t(i)")
+@register("SRC-12.events", "SELECT event_id, i start, i + 2 stop, 'label' || i AS label FROM events, range(3) t(i)")
 def annotations(spark, d):
     """Each event's annotation as JSON text and parsed again."""
     number = lambda i: F.lit(i).cast("long")

@@ -84,7 +84,7 @@ def downmix(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.transform(mono, lambda x: F.greatest(F.least(x * 32767, F.lit(32767.0)), F.lit(-32768.0)).cast("int")).alias("pcm"))
 
 
-@register("WIN-6 SRC-9 STM-5", "SELECT vec_id, i \"at\", len(embedding[i*8+1:i*8+16]) width, embedding[i*8+1]::DOUBLE AS first FROM embeddings, range(7) t(i)")
+@register("WIN-6 STM-5", "SELECT vec_id, i \"at\", len(embedding[i*8+1:i*8+16]) width, embedding[i*8+1]::DOUBLE AS first FROM embeddings, range(7) t(i)")
 def sliding(spark, d):
     w = table(spark, d, "embeddings").select("vec_id", F.explode(V.windows(F.col("embedding"), 16, 8)).alias("w"))
     return w.select("vec_id", F.col("w.at").alias("at"), F.size("w.window").alias("width"), F.get("w.window", F.lit(0)).cast("double").alias("first"))

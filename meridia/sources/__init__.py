@@ -52,11 +52,6 @@ def read_results(spark: SparkSession, path: str, **cell) -> DataFrame:
     return table
 
 
-def write_hash_index(hashes: DataFrame, table: str, buckets: int = 64) -> None:
-    """Distinct ``(ref_id, hash, t)`` in buckets of the hash, so joins on it leave the index in place."""
-    hashes.dropDuplicates(["ref_id", "hash", "t"]).write.mode("overwrite").bucketBy(buckets, "hash").saveAsTable(table)
-
-
 def artefacts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``name`` (path below the folder), ``length, sha256`` of all files below a folder."""
     below = re.sub(r"^\w+:(//[^/]*)?", "", path).rstrip("/") + "/"
