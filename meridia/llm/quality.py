@@ -116,6 +116,21 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(first + 0.5 * (sums * sums - squares).sum(axis=1), -30, 30)))
 
 
+def _gradients(fm: FactorisationMachine, dense, row, bucket, value, label, decay: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the mean logistic loss, and ``decay / 2`` times all squared weights, by bias, linear weights and factors."""
+    x, first, sums, squares = fm._sums(dense, row, bucket, value)
+    p = 1 / (1 + np.exp(-np.clip(first + 0.5 * (sums * sums - squares).sum(axis=1), -30, 30)))
+    g = (p - label) / len(label)
+    linear, factors = decay * fm.linear, decay * fm.factors
+    np.add.at(linear, bucket, g[row] * value)
+    linear[WORD_BUCKETS:] += x.T @ g
+    # d/dv_if = x_i (sum_j v_jf x_j) - v_if x_i^2
+    np.add.at(factors, bucket, (g[row] * value)[:, None] * (sums[row] - fm.factors[bucket] * value[:, None]))
+    own = fm.factors[WORD_BUCKETS:]
+    factors[WORD_BUCKETS:] += x.T @ (g[:, None] * sums) - own * ((x * x).T @ g)[:, None]
+    return np.array([g.sum()]), linear, factors
+
+
 def fit(dense, row, bucket, value, label, rank: int = 6, epochs: int = 25, batch: int = 256, rate: float = 0.02, decay: float = 1e-5, seed: int = 5) -> FactorisationMachine:
     """Logistic loss, mini-batches, Adam.  Without rows of both labels the model is a constant."""
     rng = np.random.default_rng(seed)
@@ -136,18 +151,9 @@ def fit(dense, row, bucket, value, label, rank: int = 6, epochs: int = 25, batch
             take = np.concatenate([np.arange(begin[r], begin[r + 1]) for r in rows])
             local = np.repeat(np.arange(len(rows)), begin[rows + 1] - begin[rows])
             b, v = bucket[take], value[take]
-            x, first, sums, squares = fm._sums(dense[rows], local, b, v)
-            p = 1 / (1 + np.exp(-np.clip(first + 0.5 * (sums * sums - squares).sum(axis=1), -30, 30)))
-            g = (p - label[rows]) / len(rows)
-            linear, factors = decay * fm.linear, decay * fm.factors
-            np.add.at(linear, b, g[local] * v)
-            linear[WORD_BUCKETS:] += x.T @ g
-            # d/dv_if = x_i (sum_j v_jf x_j) - v_if x_i^2
-            np.add.at(factors, b, (g[local] * v)[:, None] * (sums[local] - fm.factors[b] * v[:, None]))
-            own = fm.factors[WORD_BUCKETS:]
-            factors[WORD_BUCKETS:] += x.T @ (g[:, None] * sums) - own * ((x * x).T @ g)[:, None]
+            gradients = _gradients(fm, dense[rows], local, b, v, label[rows], decay)
             step += 1
-            for k, (grad, (m, s)) in enumerate(zip((np.array([g.sum()]), linear, factors), moments, strict=True)):
+            for k, (grad, (m, s)) in enumerate(zip(gradients, moments, strict=True)):
                 m += 0.1 * (grad - m)
                 s += 0.001 * (grad * grad - s)
                 move = rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)

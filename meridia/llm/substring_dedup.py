@@ -1,4 +1,4 @@
-"""Substring dedup: suffixes grouped by variable-length prefixes, a subtree per group.
+"""Substring dedup: window starts grouped by the smallest k-gram of their window, sorted to the window's depth.
 
 A passage of ``window`` words that occurs twice holds the same anchor in both
 places: the k-gram with the smallest hash in it.  So suffixes are partitioned by

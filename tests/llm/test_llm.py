@@ -542,6 +542,36 @@ def test_pairwise_terms_equal_the_double_sum():
     assert fm.score(dense, row, bucket, value)[0] == pytest.approx(1 / (1 + np.exp(-total)))
 
 
+def test_gradients_of_the_classifier():
+    """Against finite differences of the loss, for the bias, words, structure and all factors."""
+    rng = np.random.default_rng(3)
+    texts = [b"some words and some more", b"OTHER words, words | here", b"", b"some\nlines of text"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    dense, row, bucket, value = quality.features(data, offsets)
+    label = np.array([1.0, 0.0, 1.0, 0.0])
+    make = lambda: quality.FactorisationMachine(0.3, linear.copy(), factors.copy(), dense.mean(axis=0), np.maximum(dense.std(axis=0), 0.1))
+    linear, factors = rng.normal(size=quality.FEATURES) * 0.3, rng.normal(size=(quality.FEATURES, 2)) * 0.2
+
+    def loss(fm):
+        p = fm.score(dense, row, bucket, value)
+        return -np.mean(label * np.log(p) + (1 - label) * np.log(1 - p)) + 0.01 / 2 * (np.sum(fm.linear**2) + np.sum(fm.factors**2))
+
+    bias, by_linear, by_factors = quality._gradients(make(), dense, row, bucket, value, label, 0.01)
+
+    def moved(change):
+        up, down = make(), make()
+        change(up, 1e-5)
+        change(down, -1e-5)
+        return (loss(up) - loss(down)) / 2e-5
+
+    assert moved(lambda fm, d: setattr(fm, "bias", fm.bias + d)) == pytest.approx(bias[0], abs=1e-8)
+    at = [*np.unique(bucket)[:6], *range(quality.WORD_BUCKETS, quality.FEATURES), 7]
+    for i in at:
+        assert moved(lambda fm, d, i=i: fm.linear.__setitem__(i, fm.linear[i] + d)) == pytest.approx(by_linear[i], abs=1e-7)
+        for f in range(2):
+            assert moved(lambda fm, d, i=i, f=f: fm.factors.__setitem__((i, f), fm.factors[i, f] + d)) == pytest.approx(by_factors[i, f], abs=1e-7)
+
+
 def test_query_names():
     assert set(Q.oracle_sql()) <= set(Q.queries())
-    assert Counter(re.match(r"op\d+", n)[0] for n in Q.queries() if n != "pipeline") == {f"op{i}": 1 for i in range(1, 11)}
+    assert Counter(re.match(r"op\d+", n)[0] for n in Q.queries() if n != "pipeline") == {f"op{i}": 1 for i in range(1, 14)}
