@@ -191,7 +191,7 @@ def _event_files(spark, d, parts=4):
     e.withColumn("part", part).write.partitionBy("part").parquet(f"{folder}/cut")
     for i in range(parts + 1):
         spark.read.schema(e.schema).parquet(f"{folder}/cut/part={i}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    end = e.select("user_id").distinct().select("user_id", F.lit(None).cast("bigint").alias("event_id"), F.timestamp_micros(F.lit(last + 100 * 86_400_000_000)).alias("ts"), F.lit("end").alias("event_type"), F.lit(None).cast("double").alias("value"))
+    end = e.select("user_id").distinct().select("user_id", F.lit(-1).cast("bigint").alias("event_id"), F.timestamp_micros(F.lit(last + 100 * 86_400_000_000)).alias("ts"), F.lit("end").alias("event_type"), F.lit(None).cast("double").alias("value"))
     return folder, e, end
 
 
@@ -200,7 +200,7 @@ def _event_files(spark, d, parts=4):
 def carried_stream(spark, d):
     """A stateful stream over files that come out of order: the last click's value, forgotten at an error."""
     folder, e, end = _event_files(spark, d)
-    end.select(*[F.coalesce(c, F.lit(-1).cast("bigint")).alias(c) if c == "event_id" else F.col(c) for c in end.columns]).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = streaming.read_parquet_stream(spark, f"{folder}/in", e.schema)
     with state.state_store(spark):
         rows = state.carried(stream, "user_id", "click", "error", "end", "20 days")

@@ -49,6 +49,16 @@ def sequence(spark, d):
     return R.sequence_search(clips(spark, d, 9, 1.0), segments(spark, d))
 
 
+def _of_length(length):
+    @register(f"RET-3.L{length}", with_search(length, 1.0) + "SELECT query_id, cand, score, rank FROM ranked")
+    def run(spark, d):
+        return R.sequence_search(clips(spark, d, length, 1.0), segments(spark, d))
+
+
+for _length in (1, 5, 19):
+    _of_length(_length)
+
+
 @register("QRK-7", with_search(5, 1.0) + """, fit AS (SELECT * FROM scored WHERE cand // 25 = (cand + 4) // 25)
  SELECT query_id, cand, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand) rank FROM fit QUALIFY rank <= 10""")
 def within_recording(spark, d):
