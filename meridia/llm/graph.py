@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, materialize
+from .scratch import drop, materialize, tidy
 
 Measure = Callable[[DataFrame], DataFrame]
 
@@ -124,7 +124,7 @@ def linked_components(members: DataFrame, bodies: DataFrame, percent: int, measu
         # a large group's core: what most of its nodes have
         large = mixed.where(F.col("of") > SMALL_GROUP)
         held = shingles(large.join(bodies, "node").select("g", "node", "nx", "part", "of", "body"))
-        votes = held.select("g", "of", "x").mapInArrow(_votes, "g long, of long, s long, votes long")
+        votes = held.select("g", "of", "x").mapInArrow(tidy(_votes), "g long, of long, s long, votes long")
         votes = votes.groupBy("g", "s").agg(F.sum("votes").alias("votes"), F.max("of").alias("of")).where("2 * votes > of")
         core = votes.groupBy("g").agg(F.collect_list("s").alias("core"))
         rest = held.join(core, "g", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))

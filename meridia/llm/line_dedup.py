@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import linked_components
-from .scratch import bound_batches, drop, materialize
+from .scratch import bound_batches, drop, materialize, tidy
 
 SHINGLE_CHARS = 8
 #: 12 bands of 4 bins: of lines with a similarity of 0.8 they miss 1 in 600 pairs, of 0.9 fewer than 1 in 100,000.
@@ -270,7 +270,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _measure(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a", "b", "x", "y").mapInArrow(_measured, "a long, b long, na int, nb int, common int")
+    return pairs.select("a", "b", "x", "y").mapInArrow(tidy(_measured), "a long, b long, na int, nb int, common int")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -285,34 +285,7 @@ def _sets(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in rest), lists], [*rest, "x"])
 
     rest = [c for c in rows.columns if c != "body"]
-    return rows.mapInArrow(run, rows.select(*rest, F.array().cast("array<long>").alias("x")).schema)
-
-
-_DOC, _GONE = "__line_dedup_doc", "__line_dedup_gone"
-
-
-_DOC, _GONE = "__line_dedup_doc", "__line_dedup_gone"
-
-
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with ``text`` and the list of line numbers that go: text without these lines, and counts."""
-    for batch in batches:
-        data, offsets = K.string_buffers(batch.column("text"))
-        null = np.asarray(batch.column("text").is_null())
-        rest = [c for c in batch.schema.names if c not in ("text", _GONE)]
-        for i, j in K.row_blocks(offsets):
-            gone = batch.column(_GONE).slice(i, j - i).to_pylist()
-            texts, total = [], []
-            for k, lines in zip(range(i, j), gone, strict=True):
-                text = data[offsets[k] : offsets[k + 1]].tobytes()
-                total.append(text.count(b"\n") + 1 if text else 0)
-                if lines:
-                    lines = set(lines)
-                    text = b"\n".join(line for n, line in enumerate(text.split(b"\n")) if n not in lines)
-                texts.append(text)
-            text = pa.array(texts, pa.binary(), mask=null[i:j]).view(pa.string())
-            counts = [pa.array(total, pa.int64()), pa.array([len(x or ()) for x in gone], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in rest), text, *counts], [*rest, "text", "n_lines", "n_removed"])
+    return rows.mapInArrow(tidy(run), rows.select(*rest, F.array().cast("array<long>").alias("x")).schema)
 
 
 _DOC, _GONE = "__line_dedup_doc", "__line_dedup_gone"
@@ -352,20 +325,20 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     docs = docs.drop("n_lines", "n_removed")
     bound_batches(docs.sparkSession)
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    lines = materialize(typed.mapInArrow(_scan, "doc_id long, line int, a long, b long"))
+    lines = materialize(typed.mapInArrow(tidy(_scan), "doc_id long, line int, a long, b long"))
     # equal lines are one node, whose number is unique by construction and fixed once written
     spots = lines.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     spots = materialize(spots.withColumn("node", F.monotonically_increasing_id()))
 
     tasks = max(1, -(-lines.count() * BANDS // PART_RECORDS))
-    dealt = typed.select("text").mapInArrow(_bands(4 * tasks), _EXCHANGE).repartition(tasks, "to")
-    shared = materialize(dealt.mapInArrow(_members, "bucket long, a long"))
+    dealt = typed.select("text").mapInArrow(tidy(_bands(4 * tasks)), _EXCHANGE).repartition(tasks, "to")
+    shared = materialize(dealt.mapInArrow(tidy(_members), "bucket long, a long"))
     near = materialize(spots.join(shared.select("a").distinct(), "a").select("a", "node", "doc_id"))
     members = materialize(shared.join(near.select("a", "node"), "a").select("bucket", "node").distinct())
     lists = near.groupBy("doc_id").agg(F.collect_list(F.struct("a", "node")).alias("l"))
     lists = materialize(lists.select(F.col("doc_id").alias(_DOC), F.col("l.a").alias("hashes"), F.col("l.node").alias("nodes")))
     texts = typed.join(_small(lists, "hashes"), F.col("doc_id") == F.col(_DOC)).select("text", "hashes", "nodes")
-    bodies = materialize(texts.mapInArrow(_picked, "node long, body binary").dropDuplicates(["node"]))
+    bodies = materialize(texts.mapInArrow(tidy(_picked), "node long, body binary").dropDuplicates(["node"]))
     parts = linked_components(members, bodies, percent, _measure, _sets)
 
     # a component keeps the first of its lines, by doc_id and place

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import broadcast_if_small, linked_components
-from .scratch import drop, materialize
+from .scratch import drop, materialize, tidy
 
 SHINGLE_WORDS = 5
 #: Signature bins; 25 bands of 5 miss a pair of similarity 0.8 once in 20,000 times, of 0.85 once in 2 million.
@@ -78,7 +78,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Repeated rows give the same row each.  An empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = materialize(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
+    table = materialize(docs.mapInArrow(tidy(_signatures), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
     same = ["set_a", "set_b", "n_shingles"]
     usable = table.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(usable.groupBy(*same).agg(F.min("doc_id").alias("node")))
@@ -89,7 +89,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     members = materialize(members.join(broadcast_if_small(shared), "bucket", "left_semi"))
 
     needed = materialize(members.select(F.col("node").alias("doc_id")).distinct())
-    sets = docs.join(broadcast_if_small(needed), "doc_id", "left_semi").mapInArrow(_sets, "node long, body array<long>")
+    sets = docs.join(broadcast_if_small(needed), "doc_id", "left_semi").mapInArrow(tidy(_sets), "node long, body array<long>")
     sets = materialize(sets.dropDuplicates(["node"]))
 
     parts = linked_components(members, sets, percent, _measure, lambda rows: rows.withColumnRenamed("body", "x"))

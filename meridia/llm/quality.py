@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import bound_batches
+from .scratch import bound_batches, tidy
 
 #: Buckets of hashed words; structure statistics come after them.
 WORD_BUCKETS = 1 << 12
@@ -228,4 +228,4 @@ def score_documents(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(tidy(run), docs.withColumn("score", F.lit(0.0)).schema)

@@ -7,11 +7,13 @@ and reading it again, so a lost executor costs a re-read and not a recompute.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -72,6 +74,25 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def release_memory() -> None:
+    """Give a worker's freed memory back to the system: workers outlive a task, and other stages need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and freed memory goes back when a task is over."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return whole
+
+
 class Kept:
     """One object that a Python worker keeps from task to task, and gives up after some idle seconds.
 

@@ -17,7 +17,7 @@ from . import bpe, quality
 from .decontaminate import contaminated_words
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
-from .scratch import materialize
+from .scratch import materialize, release_memory
 
 #: Documents score this or more to stay.
 MIN_QUALITY = 0.7
@@ -36,6 +36,7 @@ def _back(out: DataFrame, like: DataFrame) -> DataFrame:
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine accepts; null and empty texts are scored like others."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    release_memory()  # of the sample
     return _back(quality.score_documents(_aside(docs, "score"), model).where(F.col("score") >= MIN_QUALITY), docs)
 
 
@@ -45,6 +46,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that lost lines and has only white space left goes; others, null
     and empty texts too, stay as they are.  ``n_chars`` follows the text.
     """
+    release_memory()
     kept = dedup_lines(_aside(docs, "n_lines", "n_removed")).where(F.col("n_removed").eqNullSafe(0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -53,6 +55,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of the smallest doc_id; texts without words all stay."""
+    release_memory()
     gone = near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
@@ -63,6 +66,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     What a text holds is what counts, so texts are judged, each different one once: rows that share
     a doc_id, or have none, are judged each by its own text.
     """
+    release_memory()
     texts = docs.where("text is not null").select(F.md5("text").alias("doc_id"), "text")
     found = contaminated_words(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = found.where("size(hits) > 0").select(F.col("doc_id").alias("__gone"))
@@ -74,6 +78,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text has no tokens and comes back as the empty one.
     """
+    release_memory()
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     ids = bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
     ids = ids.select("doc_id", "text", F.col("ids").alias("token_ids"), "ids")
