@@ -362,6 +362,16 @@ def test_nearest(spark):
     assert ann.nearest(t.limit(0), t).count() == 0 and ann.nearest(t, t.limit(0)).count() == 0
 
 
+def test_nearest_fits_in_tasks(spark, monkeypatch):
+    """Centroids are fitted by a task, and eight bytes of each cell go through the driver."""
+    t = spark.createDataFrame([(i, [float(np.cos(i)), float(np.sin(i * i)), i % 7 + 1.0, i % 5 + 1.0]) for i in range(600)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "kmeans", None)  # the driver's only: workers import their own
+    assert ann.nearest(t, t.where("vec_id % 100 = 0"), k=3).count() == 18
+    index = spark.createDataFrame([(2, 5), (2, 5), (2, 70_000), (3, 0)], "dim int, cell int")
+    assert {d: (c.tolist(), n.tolist(), c.nbytes + n.nbytes) for d, (c, n) in ann._counted(index).value.items() if d == 3} == {3: ([0], [1], 8)}
+    assert sum(c.nbytes + n.nbytes for c, n in ann._counted(index).value.values()) == 24
+
+
 def test_walk_is_ordered():
     rng = np.random.default_rng(5)
     x, y, counts = rng.random(9), rng.random(7), rng.integers(0, 4, 63)
