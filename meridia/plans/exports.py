@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import variants as J
+from ..functions.stats import rounded
 from ..operators import hash_store, matcher, signals, vector_index
 from ..operators import landmarks as L
 from ..operators import metrics as M
@@ -130,7 +131,7 @@ def recut(spark, d):
     asked = chunks(spark, d).select("clip_id").distinct().select(F.col("clip_id").alias("query_id"), "clip_id", F.lit(_FROM).alias("start"), F.lit(_CUT).alias("length"))
     out = signals.resample(signals.cut(chunks(spark, d), asked, 64), 8000, 6000)
     energy = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v * v)
-    return out.select("query_id", F.size("samples").cast("long").alias("n"), F.round(energy, 6).alias("energy"), F.transform("samples", lambda v: F.round(v, 6)).alias("samples"))
+    return out.select("query_id", F.size("samples").cast("long").alias("n"), rounded(energy, 6).alias("energy"), F.transform("samples", lambda v: rounded(v, 6)).alias("samples"))
 
 
 @register("SRC-8", f"""WITH {_SAMPLES}, src AS (SELECT clip_id q, pos j, (trunc(greatest(least(x * 32767, 32767), -32768)) + trunc(greatest(least(x / 2 * 32767, 32767), -32768))) / 2 / 32768 x FROM smp), n AS (SELECT q, unnest(range(count(*) // 2)) i FROM src GROUP BY 1),
@@ -142,7 +143,7 @@ def decoded(spark, d):
     both = F.flatten(F.transform("samples", lambda x: F.array(x, x / 2)))
     files = media.encode_wav(clip.select(F.concat(F.lit("clip"), "clip_id").alias("path"), both.alias("samples")), 8000, 2)
     out = signals.resample(media.decode_wav(files).where("error is null").drop("error"), 8000, 4000)
-    return out.select("path", "channels", "samplerate", F.size("samples").cast("long").alias("n"), F.transform("samples", lambda v: F.round(v, 6)).alias("samples"))
+    return out.select("path", "channels", "samplerate", F.size("samples").cast("long").alias("n"), F.transform("samples", lambda v: rounded(v, 6)).alias("samples"))
 
 
 @register("SRC-12", "SELECT conv_id, turn * 10 AS start, turn * 10 + length(text) % 10 AS stop, role AS label FROM conversations")
@@ -175,7 +176,7 @@ def checksums_of_written_files(spark, d):
 @register("VEC-13 VEC-17 VEC-18 UDF-3", f"""WITH {_SAMPLES}, {_spectra()}, {_BANDS} SELECT clip_id, frame segment_idx, list_transform(e, lambda x: round((x / sqrt(list_inner_product(e, e)))::FLOAT::DOUBLE, 4)) embedding FROM code""")
 def encoded_segments(spark, d):
     """Windows, batches through an encoder that each worker loads once, and unit length."""
-    return vector_index.encode_segments(chunks(spark, d)).withColumn("embedding", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)))
+    return vector_index.encode_segments(chunks(spark, d)).withColumn("embedding", F.transform("embedding", lambda x: rounded(x.cast("double"), 4)))
 
 
 @register("QRK-16", "WITH c AS (SELECT vec_id // 25 i, count(*) * 64 n FROM embeddings GROUP BY 1) SELECT i clip_id, (ceil(n / 100)::BIGINT * 100 - 64) // 32 + 1 predicted, (n - 64) // 32 + 1 AS segments, (ceil(n / 100)::BIGINT * 100 - 64) // 32 >= (n - 64) // 32 bounded FROM c")

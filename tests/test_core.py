@@ -159,3 +159,12 @@ def test_sources(spark, tmp_path):
     assert sources.read_results(spark, str(tmp_path / "nothing"), split="main").count() == 0
     good, bad = sources.split_valid(t, odd=F.isnan("duration_sec"))
     assert good.count() == 1 and bad.first().reasons == ["odd"]
+
+
+def test_rounded_keeps_the_sign_of_zero(spark):
+    import duckdb
+
+    values = [-2e-7, 2e-7, -0.0, 0.0, -5e-7, 5e-7, 1.0000005, -0.0123455, 0.49999999999999994e-6, 2.0**60, -1e300, float("inf"), None]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").select("i", stats.rounded(F.col("x"), 6).alias("r")).orderBy("i").select("r").collect()]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+    assert list(map(repr, got)) == list(map(repr, want)) and repr(got[0]) == "-0.0"
