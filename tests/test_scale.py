@@ -266,3 +266,17 @@ def test_index_versions(spark, tmp_path):
         vector_index.open_index(spark, folder, dim=99)
     # other samples are another index
     assert not vector_index.reuse_or_build(signals.withColumn("samples", F.transform("samples", lambda x: x * 3)), folder)[1]
+
+
+def test_csls_takes_any_number_of_anchors(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(rerank.MOST_ANCHORS + 500, 3))
+    lib = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "global_idx long, embedding array<double>")
+    queries = spark.createDataFrame([(0, 0, [1.0, 0.0, 0.0]), (1, 0, [0.0, 0.5, 0.5])], "query_id long, q_off long, embedding array<double>")
+    scores = spark.createDataFrame([(0, 5, 0.5), (0, 4300, 0.25), (1, 5, 0.75)], "query_id long, cand long, score double")
+    got = {(r.query_id, r.cand): r.score for r in rerank.csls(scores, lib.withColumnRenamed("global_idx", "anchor_id"), queries, lib).collect()}
+    hood = lambda v: np.sort(np.round(base @ np.array(v), 6))[-10:].mean()
+    q = {0: hood([1.0, 0.0, 0.0]), 1: hood([0.0, 0.5, 0.5])}
+    assert set(got) == {(0, 5), (0, 4300), (1, 5)}
+    for i, c, s in ((0, 5, 0.5), (0, 4300, 0.25), (1, 5, 0.75)):
+        assert abs(got[i, c] - (s - (q[i] + hood(base[c])) / 2)) < 2e-6
