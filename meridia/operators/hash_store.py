@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.folders import new_folder
@@ -27,6 +27,10 @@ from .numbering import numbered
 
 #: Groups of the recordings of a hash, and buckets of the table (a parameter of ``create``; more for larger tables).
 PARTS, BUCKETS = 8, 32
+#: Hashes of a bucket, about, where buckets are chosen by size: a task sorts them in memory.
+BUCKET_ROWS = 1_500_000
+#: Recordings of an insert whose ids are sent to all tasks; more are joined by a shuffle of their hashes.
+BROADCAST_IDS = 4_000_000
 MISSING_MD5, NO_HASHES = "missing source_md5", "no hashes"
 
 
@@ -72,6 +76,11 @@ def create(spark: SparkSession, refs: DataFrame, buckets: int = BUCKETS) -> Hash
     return store
 
 
+def buckets_for(hashes: int) -> int:
+    """Buckets for about so many hashes."""
+    return max(BUCKETS, -(-hashes // BUCKET_ROWS))
+
+
 def drop(store: HashStore) -> None:
     """Remove the tables; the files go with the session's folders."""
     for kind in ("songs", "hashes", "failures"):
@@ -93,11 +102,9 @@ def insert(store: HashStore, refs: DataFrame, hashes: DataFrame) -> None:
     one = Window.partitionBy("ref_id").orderBy(F.desc("duration_sec"), "source_md5")
     refs = refs.select("ref_id", F.trim("source_md5").alias("source_md5"), "duration_sec").where("ref_id is not null")
     refs = refs.withColumn("n", F.row_number().over(one)).where("n = 1").drop("n")
-    rows = hashes.where("hash is not null and t is not null").select("ref_id", F.col("hash").cast("long").alias("hash"), F.col("t").cast("long").alias("t")).dropDuplicates()
-    rows.write.parquet(f"{fresh}/hashes")
-    rows = spark.read.parquet(f"{fresh}/hashes")
-    counted = refs.join(rows.groupBy("ref_id").agg(F.count("*").alias("n_hashes")), "ref_id", "left")
-    bad = F.when(F.coalesce(F.length("source_md5"), F.lit(0)) != 32, MISSING_MD5).when(F.col("n_hashes").isNull(), NO_HASHES)
+    rows = hashes.where("hash is not null and t is not null").select("ref_id", F.col("hash").cast("long").alias("hash"), F.col("t").cast("long").alias("t"))
+    counted = refs.join(rows.groupBy("ref_id").agg(F.count("*").alias("given")), "ref_id", "left")  # repeated ones count here
+    bad = F.when(F.coalesce(F.length("source_md5"), F.lit(0)) != 32, MISSING_MD5).when(F.col("given").isNull(), NO_HASHES)
     counted.withColumn("reason", bad).write.parquet(f"{fresh}/refs")
     counted = spark.read.parquet(f"{fresh}/refs")
     good = counted.where("reason is null")
@@ -109,19 +116,27 @@ def insert(store: HashStore, refs: DataFrame, hashes: DataFrame) -> None:
     order.select((F.col("n") + 1 + last).alias("song_id"), "ref_id", "source_md5", F.lit(0).cast("long").alias("n_hashes")).write.parquet(f"{fresh}/songs")
     store._append("songs", spark.read.parquet(f"{fresh}/songs"))
 
-    store.ids().join(good.select("ref_id", F.col("n_hashes").alias("given")), "ref_id").write.parquet(f"{fresh}/ids")
+    store.ids().join(good.select("ref_id", "given"), "ref_id").write.parquet(f"{fresh}/ids")
     ids = spark.read.parquet(f"{fresh}/ids")
+    of = ids.select("ref_id", "song_id")
     part = F.pmod(F.xxhash64("song_id"), F.lit(PARTS)).cast("int")
-    rows = rows.join(ids.select("ref_id", "song_id"), "ref_id").select("hash", part.alias("part"), "song_id", "t")
+    rows = rows.join(F.broadcast(of) if ids.count() <= BROADCAST_IDS else of, "ref_id").select("hash", part.alias("part"), "song_id", "t")
+    # hashes move once, to their buckets, where repeated ones and those that are there fall away
+    seen = Observation()
     with _some_keys_suffice(spark):
-        _absent(store, rows).write.parquet(f"{fresh}/rows")
-    store._append("hashes", spark.read.parquet(f"{fresh}/rows").repartition(store.buckets, "hash", "part"))
+        absent = _absent(store, rows, last > 0).observe(seen, F.count_if(F.col("song_id") > last).alias("new"))
+        store._append("hashes", absent)
     store._append("failures", counted.where("reason is not null").select("ref_id", "reason"))
-    # a new recording has the hashes it came with; one that had an id before is counted
-    before = ids.where(F.col("song_id") <= last)
-    held = store.table("hashes").join(before.select("song_id"), "song_id", "left_semi").groupBy("song_id").agg(F.count("*").alias("n_hashes")) if not before.isEmpty() else None
-    done = ids.where(F.col("song_id") > last).select("song_id", "ref_id", "source_md5", F.col("given").alias("n_hashes"))
-    store._append("songs", done if held is None else done.unionByName(before.drop("n_hashes", "given").join(held, "song_id")))
+    # a new recording has the hashes it came with, if none was repeated or there from an insert cut short; else it is counted
+    fresh_ids, before = ids.where(F.col("song_id") > last), ids.where(F.col("song_id") <= last)
+    whole = seen.get["new"] == fresh_ids.agg(F.coalesce(F.sum("given"), F.lit(0))).first()[0]
+    done = fresh_ids.select("song_id", "ref_id", "source_md5", F.col("given").alias("n_hashes"))
+    again = before if whole else ids
+    if not again.isEmpty():
+        held = store.table("hashes").groupBy("song_id").agg(F.count("*").alias("n_hashes"))
+        held = again.drop("n_hashes", "given").join(held, "song_id")
+        done = done.unionByName(held) if whole else held
+    store._append("songs", done.select("song_id", "ref_id", "source_md5", "n_hashes"))
 
 
 @contextmanager
@@ -136,9 +151,10 @@ def _some_keys_suffice(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def _absent(store: HashStore, rows: DataFrame) -> DataFrame:
-    """Rows that the table doesn't have, bucket by bucket: they are dealt as the table is, which stays in place."""
-    return rows.repartition(store.buckets, "hash", "part").join(store.table("hashes"), ["hash", "part", "song_id", "t"], "left_anti")
+def _absent(store: HashStore, rows: DataFrame, some: bool = True) -> DataFrame:
+    """Distinct rows that the table (if it has ``some``) lacks, bucket by bucket: they are dealt as the table is, which stays in place."""
+    dealt = rows.repartition(store.buckets, "hash", "part").dropDuplicates()
+    return dealt.join(store.table("hashes"), ["hash", "part", "song_id", "t"], "left_anti") if some else dealt
 
 
 def votes(store: HashStore, queries: DataFrame) -> DataFrame:

@@ -162,7 +162,7 @@ def inspected(spark, d):
 def anomalies(spark, d):
     """What is odd about stored recordings: none or few hashes for their length, counts far from the mean; and the distribution."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("ref_id"), "text", "lang", "n_chars", F.md5("text").alias("source_md5"), F.col("n_chars").cast("double").alias("duration_sec"))
-    store = hash_store.create(spark, docs)
+    store = L.text_store(spark, docs)
     hash_store.insert(store, docs, R.word_hashes(docs, "ref_id"))
     rows = store.songs().join(docs.select("ref_id", "lang", (F.col("n_chars") / 60).alias("minutes")), "ref_id").select("ref_id", F.col("lang").alias("corpus"), F.col("n_hashes").alias("n"), (F.col("n_hashes") / F.col("minutes")).alias("rate"))
     (cutoff,), (median,) = quantiles.quantiles(rows, "rate", 0.05), quantiles.quantiles(rows, "n", 0.5)

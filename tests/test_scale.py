@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -143,6 +144,18 @@ def test_hash_store(spark):
     hash_store.drop(store)
 
 
+def test_an_insert_writes_hashes_once(spark):
+    refs = spark.createDataFrame([("a", "m" * 32, 1.0)], "ref_id string, source_md5 string, duration_sec double")
+    rows = spark.range(50).select(F.lit("a").alias("ref_id"), (F.col("id") % 40).alias("hash"), (F.col("id") % 40).alias("t"))  # ten are repeated
+    store = hash_store.create(spark, refs, buckets=2)
+    hash_store.insert(store, refs, rows)
+    assert [(r.song_id, r.n_hashes) for r in store.songs().collect()] == [(1, 40)] and store.hashes().count() == 40
+    (fresh,) = Path(store.folder.removeprefix("file://")).glob("insert-*")
+    assert not {"hashes", "rows"} & {p.name for p in fresh.iterdir()}
+    assert hash_store.buckets_for(10) == hash_store.BUCKETS and hash_store.buckets_for(10**9) == 667
+    hash_store.drop(store)
+
+
 def test_an_insert_cut_short(spark):
     """Ids are there, hashes are not or in part: no votes until it is sent again, and others get other ids."""
     refs = spark.createDataFrame([("a", "m" * 32, 9.0)], "ref_id string, source_md5 string, duration_sec double")
