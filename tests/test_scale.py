@@ -293,3 +293,19 @@ def test_csls_takes_any_number_of_anchors(spark):
     assert set(got) == {(0, 5), (0, 4300), (1, 5)}
     for i, c, s in ((0, 5, 0.5), (0, 4300, 0.25), (1, 5, 0.75)):
         assert abs(got[i, c] - (s - (q[i] + hood(base[c])) / 2)) < 2e-6
+
+
+def test_diagonals_send_a_clip_once_to_a_stretch(spark, monkeypatch):
+    monkeypatch.setattr(R, "STRETCH", 7)
+    monkeypatch.setattr(R, "CLIPS", 2)
+    rng = np.random.default_rng(6)
+    base, clips = rng.normal(size=(40, 4)), rng.normal(size=(5, 9, 4))
+    lib = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base) if i != 20], "global_idx long, embedding array<double>")
+    q = spark.createDataFrame([(f"q{i}", j, v.tolist()) for i, c in enumerate(clips) for j, v in enumerate(c)], "query_id string, q_off long, embedding array<double>")
+    cands = spark.createDataFrame([(f"q{i}", c) for i in range(5) for c in range(-2, 36, 3)], "query_id string, cand long")
+    rows = lambda i, c: [(clips[i][j] @ base[c + j]) for j in range(9) if 0 <= c + j < 40 and c + j != 20]
+    for whole in (False, True):
+        got = R.rescore(cands, q, lib, whole)
+        want = {(f"q{i}", c): np.mean(rows(i, c)) for i in range(5) for c in range(-2, 36, 3) if len(rows(i, c)) == 9 or not whole}
+        found = {(r.query_id, r.cand): r.score for r in got.collect()}
+        assert set(found) == set(want) and all(abs(found[k] - want[k]) < 1e-6 for k in want)
