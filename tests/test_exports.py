@@ -1,5 +1,7 @@
 """Cells and exports, reports, cuts and rates, sections, and the contract of systems."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,8 +9,11 @@ from pyspark.sql import functions as F
 from meridia import sources
 from meridia.functions import variants
 from meridia.operators import matcher, signals
+from meridia.plans import exports, fixtures, registry
 from meridia.sources import cells, media
 
+D = "/root/testdata/sf0.001"
+
 
 def test_names_of_cells():
     assert cells.cell_of("main_3s") == ("main", 3) and cells.cell_of("ablation_10s") == ("ablation", 10)
@@ -112,3 +117,12 @@ def test_contract(spark):
             matcher.run({"bad": lambda rows=rows: frame(rows)}, queries)
     with pytest.raises(matcher.BrokenContract, match="lacks score"):
         matcher.run({"bad": lambda: frame(good).drop("score")}, queries)
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="needs the generated tables")
+def test_results_are_dealt_by_size(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "LINES", 700)
+    lines = registry.table(spark, D, "lineitem").count()
+    runs = exports._runs(spark, D)
+    most = runs.groupBy("system", "seed", F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert lines > 3000 and most < 1000  # whatever spark.sql.shuffle.partitions says
