@@ -195,6 +195,10 @@ def _event_files(spark, d, parts=4):
     return folder, e, end
 
 
+#: Events of the users that share a state, about.
+_GROUP_EVENTS = 20_000
+
+
 @register("STM-1", """SELECT user_id, event_id, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) carried
  FROM (SELECT *, count_if(event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) g FROM events)""")
 def carried_stream(spark, d):
@@ -202,8 +206,9 @@ def carried_stream(spark, d):
     folder, e, end = _event_files(spark, d)
     end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = streaming.read_parquet_stream(spark, f"{folder}/in", e.schema)
+    groups = max(32, -(-e.count() // _GROUP_EVENTS))  # the count is read from the files' footers
     with state.state_store(spark):
-        rows = state.carried(stream, "user_id", "click", "error", "end", "20 days")
+        rows = state.carried(stream, "user_id", "click", "error", "end", "20 days", groups)
         streaming.run_available(rows, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").select(F.col("key").alias("user_id"), "event_id", "carried")
 

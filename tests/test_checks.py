@@ -144,6 +144,20 @@ def test_carried_state_over_a_restart(spark, tmp_path):
     assert run() == expected_carry(rows) | {(0, 1000): 6.0}
 
 
+def test_keys_share_a_state(spark, tmp_path):
+    """Many users, one of them null: a batch fetches and stores a state for each group, not for each user."""
+    rows = [(None if u == 7 else u, u * 100 + i, START + timedelta(hours=i), ("click", "error", "view", None)[(u + i) % 4], None if i % 5 == 2 else float(u + i)) for u in range(60) for i in range(12)]
+    write(spark, rows, f"{tmp_path}/in")
+    write(spark, [(u, -1, START + timedelta(days=60), "end", None) for u in range(60)], f"{tmp_path}/in")
+    stream = streaming.read_parquet_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+    with state.state_store(spark):
+        out = state.carried(stream, "user_id", "click", "error", "end", groups=2)
+        progress = streaming.run_available(out, lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}"), f"{tmp_path}/checkpoint")
+    got = {(r.key, r.event_id): r.carried for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == expected_carry(rows)
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]) < 30
+
+
 def test_observed_batches_and_an_abort(spark, tmp_path):
     rows = event_rows(5)
     for i in range(4):
