@@ -309,3 +309,27 @@ def test_diagonals_send_a_clip_once_to_a_stretch(spark, monkeypatch):
         want = {(f"q{i}", c): np.mean(rows(i, c)) for i in range(5) for c in range(-2, 36, 3) if len(rows(i, c)) == 9 or not whole}
         found = {(r.query_id, r.cand): r.score for r in got.collect()}
         assert set(found) == set(want) and all(abs(found[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_tiles_sort_each_query_once(monkeypatch):
+    """The best of a tile, with ties and rows that are no numbers; blocks of any size give the same, in little memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    q, base, ids = rng.normal(size=(300, 8)), rng.integers(-1, 2, (5000, 8)).astype(float), rng.permutation(5000)
+    q[:200] = np.round(q[:200])
+    q[7] = np.nan
+    want = []
+    for i in range(len(q)):
+        ip = np.round(base @ q[i], 6)
+        want += [(i, ids[j], ip[j]) for j in np.lexsort((ids, -ip))[:40] if ip[j] == ip[j]]
+    for products in (1, 50_000, 4_000_000):
+        monkeypatch.setattr(R, "PRODUCTS", products)
+        assert list(zip(*R._tile_best(q, ids, base, 40), strict=True)) == want
+    monkeypatch.undo()
+    q, base = rng.normal(size=(4096, 8)), rng.normal(size=(32_768, 8))
+    tracemalloc.start()
+    R._tile_best(q, np.arange(len(base)), base, 100)
+    assert tracemalloc.get_traced_memory()[1] < 80_000_000
+    tracemalloc.stop()
+    assert [len(x) for x in R._tile_best(np.full((1, 8), np.nan), np.arange(len(base)), base, 40)] == [0, 0, 0]
