@@ -61,3 +61,25 @@ def test_checksums_of_all_files(spark, tmp_path):
     for d in (D, str(tmp_path)):
         want = sorted((str(p.relative_to(d)), p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in Path(d).rglob("*") if p.is_file())
         assert len(want) > 1 and sorted(map(tuple, entry.queries()["SNK-9"](spark, d).collect())) == want
+
+
+def test_zeros_keep_their_sign(spark, tmp_path):
+    """Small vectors, of which many components round to -0.0, digit for digit as in the SQL."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = np.random.default_rng(5).normal(size=(500, 64)).astype(np.float32) * np.float32(3e-5)
+    path = f"{tmp_path}/embeddings.parquet"
+    pq.write_table(pa.table({"vec_id": np.arange(500), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array(np.arange(500) % 7, pa.int32())}), path)
+    wrong = []
+    for name in ("AGG-22", "SMP-7", "RET-10", "VEC-6", "SRC-8"):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
+        cur = con.execute(entry.oracle_sql()[name])
+        names = [c[0] for c in cur.description]
+        want = sorted(repr(r) for r in cur.fetchall())
+        assert any("-0.0," in r for r in want)
+        if sorted(repr(tuple(r)) for r in entry.queries()[name](spark, str(tmp_path)).select(*names).collect()) != want:
+            wrong.append(name)
+    assert not wrong
