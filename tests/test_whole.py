@@ -83,3 +83,18 @@ def test_zeros_keep_their_sign(spark, tmp_path):
         if sorted(repr(tuple(r)) for r in entry.queries()[name](spark, str(tmp_path)).select(*names).collect()) != want:
             wrong.append(name)
     assert not wrong
+
+
+@pytest.mark.parametrize("name", ["AGG-22"])
+def test_large_numbers_are_rounded_as_in_the_sql(spark, tmp_path, name):
+    """Whole components from 1e9 to 1e15, whose sums are exact: times a million they pass 2 to the 52nd, and the way back costs a digit."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(11)
+    x = np.round(rng.choice([-1, 1], (500, 64)) * 10 ** rng.uniform(9, 15, (500, 64))).astype(np.float32)
+    path = f"{tmp_path}/embeddings.parquet"
+    pq.write_table(pa.table({"vec_id": np.arange(500), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array(np.arange(500) % 7, pa.int32())}), path)
+    got, want = pairs(entry.queries()[name](spark, str(tmp_path)), entry.oracle_sql()[name].replace("FROM embeddings", f"FROM '{path}'"))
+    assert want and got == want
