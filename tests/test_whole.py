@@ -98,3 +98,21 @@ def test_large_numbers_are_rounded_as_in_the_sql(spark, tmp_path, name):
     pq.write_table(pa.table({"vec_id": np.arange(500), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array(np.arange(500) % 7, pa.int32())}), path)
     got, want = pairs(entry.queries()[name](spark, str(tmp_path)), entry.oracle_sql()[name].replace("FROM embeddings", f"FROM '{path}'"))
     assert want and got == want
+
+
+def test_mel_bands_keep_the_sign_of_zero(spark, tmp_path):
+    """A single sample in each recording, so strong that one of its bands is just below 0 dB and rounds to -0.0."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    edges = 700 * (10 ** (np.arange(18) * (2595 * np.log10(1 + 4000 / 700)) / 17 / 2595) - 1)
+    hz = np.arange(33)[:, None] * 125.0
+    weights = np.clip(np.minimum((hz - edges[:-2]) / np.diff(edges)[:-1], (edges[2:] - hz) / np.diff(edges)[1:]), 0, None).sum(axis=0)
+    bands = np.flatnonzero(weights > 0)
+    x = np.zeros((25 * len(bands), 64), np.float32)
+    x[25 * np.arange(len(bands)) + 8, 9] = np.sqrt((1 - 5e-6) / weights[bands])
+    path = f"{tmp_path}/embeddings.parquet"
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), path)
+    got, want = pairs(entry.queries()["VEC-16"](spark, str(tmp_path)), entry.oracle_sql()["VEC-16"].replace("FROM embeddings", f"FROM '{path}'"))
+    assert sum("-0.0," in r or "-0.0]" in r for r in want) >= len(bands) and got == want
