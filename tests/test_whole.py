@@ -85,7 +85,7 @@ def test_zeros_keep_their_sign(spark, tmp_path):
     assert not wrong
 
 
-@pytest.mark.parametrize("name", ["AGG-22", "JOIN-16"])
+@pytest.mark.parametrize("name", ["AGG-22", "JOIN-16", "RET-10"])
 def test_large_numbers_are_rounded_as_in_the_sql(spark, tmp_path, name):
     """Whole components from 1e9 to 1e15, whose sums are exact: times a million they pass 2 to the 52nd, and the way back costs a digit."""
     import numpy as np
