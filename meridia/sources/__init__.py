@@ -52,11 +52,21 @@ def read_results(spark: SparkSession, path: str, **cell) -> DataFrame:
     return table
 
 
-def artefacts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``name`` (path below the folder), ``length, sha256`` of all files below a folder."""
+def artefacts(spark: SparkSession, path: str, pattern: str = "*", most: int | None = None) -> DataFrame:
+    """``name`` (path below the folder), ``length, sha256`` of all files below a folder; files of more than ``most`` bytes are read in ranges."""
+    from . import checksums, ranged
+
+    most = most or checksums.RANGE
     below = re.sub(r"^\w+:(//[^/]*)?", "", path).rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select(F.substring_index("path", below, -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > most).select("path", "length")
+    first = large.first()
+    by_ranges = first is not None and ranged.opens(first["path"])
+    whole = files.where(F.col("length") <= most) if by_ranges else files
+    found = whole.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    if by_ranges:
+        found = found.unionByName(checksums.sha256(large, most))
+    return found.select(F.substring_index("path", below, -1).alias("name"), "length", "sha256")
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:

@@ -29,6 +29,15 @@ def open_file(path: str) -> pa.NativeFile:
     return system.open_input_file(inner)
 
 
+def opens(path: str) -> bool:
+    """Whether ``open_file`` knows the store that holds a path; others are read by Spark only, whole."""
+    try:
+        open_file(path).close()
+    except (OSError, ValueError):  # ValueError: an unknown scheme
+        return False
+    return True
+
+
 def _wav_header(path: str) -> dict:
     row = dict.fromkeys((c.split()[0] for c in _HEADER.split(", "))) | {"path": path, "state": "error", "bytes_read": 0}
 

@@ -63,6 +63,25 @@ def test_checksums_of_all_files(spark, tmp_path):
         assert len(want) > 1 and sorted(map(tuple, entry.queries()["SNK-9"](spark, d).collect())) == want
 
 
+def test_checksums_by_ranges(spark, tmp_path):
+    """Lengths around the ranges' ends; no turn reads more of a file than a range, and a file is read once."""
+    from meridia import sources
+    from meridia.sources import checksums
+
+    rng = __import__("random").Random(3)
+    for n in (1, 999, 1000, 1001, 2000, 2001, 4567, 10_000):
+        (tmp_path / f"t{n % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"t{n % 3}" / f"{n} %.bin").write_bytes(rng.randbytes(n))
+    want = sorted((str(p.relative_to(tmp_path)), p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.rglob("*.bin"))
+    assert sorted(map(tuple, sources.artefacts(spark, str(tmp_path), most=1000).collect())) == want
+    path, at, state, read = str(tmp_path / "t1" / "10000 %.bin"), 0, None, []
+    while at < 10_000:
+        before = at
+        at, state, found = checksums._further(path, 10_000, at, state, 1000)
+        read.append(at - before)
+    assert read == [1000] * 10 and (path.rsplit("/", 1)[1], found) in [(n.rsplit("/", 1)[1], h) for n, _, h in want]
+
+
 def test_zeros_keep_their_sign(spark, tmp_path):
     """Small vectors, of which many components round to -0.0, digit for digit as in the SQL."""
     import numpy as np
