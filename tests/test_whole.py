@@ -135,3 +135,11 @@ def test_mel_bands_keep_the_sign_of_zero(spark, tmp_path):
     pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), path)
     got, want = pairs(entry.queries()["VEC-16"](spark, str(tmp_path)), entry.oracle_sql()["VEC-16"].replace("FROM embeddings", f"FROM '{path}'"))
     assert sum("-0.0," in r or "-0.0]" in r for r in want) >= len(bands) and got == want
+
+
+def test_a_direction_has_the_norm_of_its_centroid(spark):
+    """One dimension and a power of two: multiplied before it is divided, as in the SQL, no digit is lost."""
+    from meridia.operators.rerank import isotropic
+
+    found = {abs(r.centroid[0]) for r in isotropic(spark.range(300).selectExpr("id ref_id", "1L artist", "array(1024D) centroid")).collect()}
+    assert found == {1024.0}
