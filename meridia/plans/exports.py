@@ -14,7 +14,7 @@ from ..operators import hash_store, matcher, signals, vector_index
 from ..operators import landmarks as L
 from ..operators import metrics as M
 from ..operators import retrieval as R
-from ..sources import cells, media, ranged
+from ..sources import cells, checksums, media, ranged
 from ..sources.folders import new_folder
 from .fixtures import clips, line_parts, manifest, results, segments, with_eval, with_search
 from .landmarks import _BANDS, _SAMPLES, _pairs, _peaks, _spectra, chunks
@@ -159,20 +159,25 @@ def annotated(spark, d):
     return parsed.select("conv_id", F.inline(J.sections(F.col("v")))).select("conv_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "label")
 
 
+def _page_files(spark, d, folder) -> DataFrame:
+    """The listing of a file for each page, which are written first."""
+    pages = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("name"), F.encode("html", "UTF-8").alias("content"))
+    return ranged.write_files(pages, folder)
+
+
 @register("SRC-23", "SELECT count(*) n_files, sum(strlen(html) + 1)::BIGINT bytes, max(strlen(html) + 1)::BIGINT largest FROM pages")
 def store_size(spark, d):
     """Bytes of a store of files, from its listing: contents aren't read."""
-    folder = new_folder(spark)
-    ranged.write_files(table(spark, d, "pages").select(F.col("page_id").cast("string").alias("name"), F.encode("html", "UTF-8").alias("content")), folder)
-    return sources.listing(spark, folder).agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"), F.max("length").alias("largest"))
+    return _page_files(spark, d, new_folder(spark)).agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"), F.max("length").alias("largest"))
 
 
 @register("SNK-9.files SRC-16.files", "SELECT page_id::VARCHAR AS name, strlen(html) + 1 AS length, sha256(html || chr(10)) sha256 FROM pages")
 def checksums_of_written_files(spark, d):
     """The listing of files that were written, with the checksum of each."""
     folder = new_folder(spark)
-    ranged.write_files(table(spark, d, "pages").select(F.col("page_id").cast("string").alias("name"), F.encode("html", "UTF-8").alias("content")), folder)
-    return sources.artefacts(spark, folder, "part-*").select(F.regexp_extract("name", "name=([^/]+)/", 1).alias("name"), "length", "sha256")
+    files = _page_files(spark, d, folder)
+    found = checksums.of_files(files) if ranged.writes(folder) else sources.artefacts(spark, folder, "part-*").withColumnRenamed("name", "path")
+    return found.select(ranged.name_of("path").alias("name"), "length", "sha256")
 
 
 @register("VEC-13 VEC-17 VEC-18 UDF-3", f"""WITH {_SAMPLES}, {_spectra()}, {_BANDS} SELECT clip_id, frame segment_idx, list_transform(e, lambda x: round((x / sqrt(list_inner_product(e, e)))::FLOAT::DOUBLE, 4)) embedding FROM code""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import sources, streaming
+from .. import streaming
 from ..functions import variants as J
 from ..operators import calibrate as C
 from ..operators import components, gates, hash_store, quantiles, vector_index
@@ -16,8 +16,6 @@ from . import landmarks as L
 from .fixtures import clips, segments, with_search
 from .registry import register, table
 
-_NAME = r"name=([^/]+)/"
-
 
 def _recordings(spark, d):
     """``clip_id, samples`` of whole recordings."""
@@ -34,21 +32,20 @@ def headers(spark, d):
     sound = media.encode_wav(_recordings(spark, d).select(F.concat(F.lit("clip"), "clip_id").alias("path"), "samples"), 8000)
     cut = F.when(F.substring("path", 5, 20).cast("long") % 4 == 1, F.substring("content", 1, 1000)).otherwise(F.col("content"))
     notes = table(spark, d, "nation").select(F.concat(F.lit("note"), "n_nationkey").alias("name"), F.encode("n_name", "UTF-8").alias("content"))
-    ranged.write_files(sound.select(F.col("path").alias("name"), cut.alias("content")).unionByName(notes), folder)
+    files = ranged.write_files(sound.select(F.col("path").alias("name"), cut.alias("content")).unionByName(notes), folder)
     gone = table(spark, d, "region").select(F.concat(F.lit(f"{folder}/name=gone"), "r_regionkey", F.lit("/none.wav")).alias("path"))
-    found = ranged.wav_headers(sources.listing(spark, folder).select("path").unionByName(gone))
-    return found.select(F.regexp_extract("path", _NAME, 1).alias("name"), "state", "error", "samplerate", "channels", "bits", "frames", "duration_sec", (F.col("bytes_read") <= 64).alias("bounded"))
+    found = ranged.wav_headers(files.select("path").unionByName(gone))
+    return found.select(ranged.name_of("path").alias("name"), "state", "error", "samplerate", "channels", "bits", "frames", "duration_sec", (F.col("bytes_read") <= 64).alias("bounded"))
 
 
 @register("SRC-10", "SELECT page_id // 20 archive, page_id || '.html' AS member, strlen(html)::BIGINT AS size, md5(html) md5 FROM pages")
 def archives(spark, d):
     """Twenty pages to an archive: the directories, and each member read on its own."""
-    folder = new_folder(spark)
     pages = table(spark, d, "pages").select(F.floor(F.col("page_id") / 20).alias("archive"), F.concat(F.col("page_id"), F.lit(".html")).alias("member"), F.encode("html", "UTF-8").alias("content"))
-    ranged.write_files(media.zip_files(pages, "archive").select(F.col("archive").cast("string").alias("name"), "content"), folder)
-    listed = ranged.zip_listing(sources.listing(spark, folder))
+    files = ranged.write_files(media.zip_files(pages, "archive").select(F.col("archive").cast("string").alias("name"), "content"), new_folder(spark))
+    listed = ranged.zip_listing(files)
     read = ranged.zip_members(listed.where(F.col("member").endswith(".html"))).select("path", "member", F.md5("content").alias("md5"))
-    return listed.join(read, ["path", "member"]).select(F.regexp_extract("path", _NAME, 1).cast("long").alias("archive"), "member", "size", "md5")
+    return listed.join(read, ["path", "member"]).select(ranged.name_of("path").cast("long").alias("archive"), "member", "size", "md5")
 
 
 _SHAPES = """CASE event_id % 7 WHEN 0 THEN props WHEN 1 THEN '"  ' || event_type || ' "' WHEN 2 THEN '[{"name": "' || event_type || '"}, {"title": " t' || user_id || '"}, " x ", 5, "", {"name": "", "title": "u"}]'

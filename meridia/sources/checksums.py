@@ -70,6 +70,25 @@ def _further(path: str, length: int, at: int, state: bytes | None, most: int) ->
     return stop, None, out.raw.hex()
 
 
+def of_files(files: DataFrame, most: int = RANGE) -> DataFrame:
+    """``path, length, sha256`` of listed files of ``path, length``, read in pieces by the task that has them; those of more than ``most`` bytes in ranges."""
+    kinds = pa.schema([("path", pa.string()), ("length", pa.int64()), ("sha256", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                whole = hashlib.sha256()
+                for piece in _pieces(path, 0, length):
+                    whole.update(piece)
+                found.append(whole.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], schema=kinds)
+
+    found = files.where(F.col("length") <= most).select("path", "length").mapInArrow(run, "path string, length long, sha256 string")
+    large = files.where(F.col("length") > most)
+    return found if large.isEmpty() else found.unionByName(sha256(large, most))
+
+
 def sha256(files: DataFrame, most: int = RANGE) -> DataFrame:
     """``path, length, sha256`` of listed files of ``path, length``.
 

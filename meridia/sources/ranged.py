@@ -7,25 +7,36 @@ directory and the wanted members.  Paths are those that Spark lists.
 from __future__ import annotations
 
 import struct
+import uuid
 import zipfile
 from collections.abc import Iterator
-from urllib.parse import unquote, urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Chunks of a sound file looked at before its samples, at most.
 MAX_CHUNKS = 64
+#: Files that a task writes to one folder; a folder is listed and read by one task.
+FOLDER_FILES = 1_000
+#: A name in a path: of a file (see ``write_files``), or of the folder that Spark's own writer makes for it.
+_NAMED = r"(?:^|/)name=([^/]*?)(?:\.\d+|/[^/]+)$"
 _HEADER = "path string, state string, error string, samplerate int, channels int, bits int, frames long, duration_sec double, size_bytes long, bytes_read long"
 
 
-def open_file(path: str) -> pa.NativeFile:
-    """A file by the path or URI that Spark gives it, to be read by ranges."""
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The store that holds a path or URI, and the path in it."""
     parts = urlsplit(path)
     if parts.scheme in ("", "file"):
-        return fs.LocalFileSystem().open_input_file(unquote(parts.path))
-    system, inner = fs.FileSystem.from_uri(path)
+        return fs.LocalFileSystem(), unquote(parts.path)
+    return fs.FileSystem.from_uri(path)
+
+
+def open_file(path: str) -> pa.NativeFile:
+    """A file by the path or URI that Spark gives it, to be read by ranges."""
+    system, inner = _store(path)
     return system.open_input_file(inner)
 
 
@@ -127,6 +138,64 @@ def zip_members(listed: DataFrame) -> DataFrame:
     return rows.repartition("path", "member").sortWithinPartitions("path", "member").mapInArrow(run, "path string, member string, content binary, error string")
 
 
-def write_files(rows: DataFrame, folder: str) -> None:
-    """A file for each row of ``name, content``, in ``folder/name=.../``, by Spark's commit protocol; a line feed follows the content."""
-    rows.select("name", rows["content"].cast("string").alias("content")).write.partitionBy("name").text(folder)
+def writes(folder: str) -> bool:
+    """Whether tasks can write files below a folder by themselves; other stores are written by Spark only."""
+    try:
+        _store(folder)
+    except (OSError, ValueError):
+        return False
+    return True
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """A file for each row of ``name, content``, a line feed after the content; returns the ``path, length`` that the store lists.
+
+    A task fills folders of its own, of ``FOLDER_FILES`` files each, and says which are done.  Only these are listed, so
+    the files of a task that failed or ran twice count once, and neither names nor paths go through the driver.
+    """
+    spark, rows = rows.sparkSession, rows.select(F.col("name").cast("string").alias("name"), F.col("content").cast("binary").alias("content"))
+    if not writes(folder):
+        rows.select(F.url_encode("name").alias("name"), F.col("content").cast("string").alias("content")).write.partitionBy("name").text(folder)
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, own, n = None, "", 0
+        for batch in batches:
+            for name, content in zip(batch.column("name"), batch.column("content"), strict=True):
+                if not n:
+                    own = f"{folder}/files/{uuid.uuid4().hex}"
+                    store, inner = _store(own)
+                    store.create_dir(inner, recursive=True)
+                file = f"name={quote(name.as_py(), safe='')}.{n}" if name.is_valid else f"none.{n}"
+                with store.open_output_stream(f"{inner}/{file}") as out:
+                    out.write(content.as_py() or b"")
+                    out.write(b"\n")
+                n += 1
+                if n == FOLDER_FILES:
+                    n = 0
+                    yield pa.RecordBatch.from_pydict({"folder": [own]})
+        if n:
+            yield pa.RecordBatch.from_pydict({"folder": [own]})
+
+    rows.mapInArrow(write, "folder string").write.parquet(f"{folder}/done")
+    return files_in(spark.read.schema("folder string").parquet(f"{folder}/done"))
+
+
+def files_in(folders: DataFrame) -> DataFrame:
+    """``path, length`` of the files in each ``folder``; a task for each folder, so folders should have thousands of files at most."""
+    kinds = pa.schema([("path", pa.string()), ("length", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                store, inner = _store(folder)
+                found = [i for i in store.get_file_info(fs.FileSelector(inner)) if i.is_file]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{quote(i.base_name, safe='=')}" for i in found], pa.string()), pa.array([i.size for i in found], pa.int64())], schema=kinds)
+
+    return folders.select("folder").repartition(max(1, min(4096, folders.count()))).mapInArrow(run, "path string, length long")
+
+
+def name_of(path: Column | str) -> Column:
+    """The name of a file that ``write_files`` wrote, from its path; null if it had none."""
+    path = F.col(path) if isinstance(path, str) else path
+    return F.when(path.rlike(_NAMED), F.url_decode(F.url_decode(F.regexp_extract(path, _NAMED, 1))))

@@ -63,6 +63,56 @@ def test_checksums_of_all_files(spark, tmp_path):
         assert len(want) > 1 and sorted(map(tuple, entry.queries()["SNK-9"](spark, d).collect())) == want
 
 
+@pytest.mark.parametrize("by_tasks", [True, False])
+def test_files_of_rows(spark, tmp_path, monkeypatch, by_tasks):
+    """Each row is a file, whatever its name; folders hold many files, and only those of tasks that ended are listed."""
+    from meridia.sources import checksums, ranged
+
+    if not by_tasks:
+        monkeypatch.setattr(ranged, "writes", lambda folder: False)
+    rows = [(f"{i} %/\u00fc=+.7", bytes([i % 256]) * (i % 50)) for i in range(60)] + ([("same", b"a"), ("same", b"a"), ("same", b"bc"), (None, b"x"), ("", b"")] if by_tasks else [])
+    monkeypatch.setattr(ranged, "FOLDER_FILES", 10)
+    files = ranged.write_files(spark.createDataFrame(rows, "name string, content binary").coalesce(1), f"file://{tmp_path}/a b")
+    if by_tasks:
+        assert len(list((tmp_path / "a b" / "files").iterdir())) == 7
+        (tmp_path / "a b" / "files" / "stray").mkdir()
+        (tmp_path / "a b" / "files" / "stray" / "name=cut.0").write_bytes(b"cut short")
+    assert sorted(r.length for r in files.collect()) == sorted(len(c) + 1 for _, c in rows)
+    if by_tasks:  # else the store isn't one that tasks can read
+        want = sorted((str(n), len(c) + 1, hashlib.sha256(c + b"\n").hexdigest()) for n, c in rows)
+        for most in (checksums.RANGE, 20):
+            got = checksums.of_files(files, most).select(ranged.name_of("path"), "length", "sha256").collect()
+            assert sorted((str(n), length, digest) for n, length, digest in got) == want
+    assert sorted(str(r[0]) for r in files.select(ranged.name_of("path")).collect()) == sorted(str(n) for n, _ in rows)
+
+
+def test_files_of_pages_in_a_store_that_only_spark_opens(spark, monkeypatch):
+    from meridia.sources import ranged
+
+    monkeypatch.setattr(ranged, "writes", lambda folder: False)
+    for name in ("SNK-9.files", "SRC-23"):
+        got, want = pairs(entry.queries()[name](spark, D), entry.oracle_sql()[name].replace("FROM pages", f"FROM '{D}/pages.parquet/*.parquet'" if os.path.isdir(f"{D}/pages.parquet") else f"FROM '{D}/pages.parquet'"))
+        assert got == want
+
+
+@pytest.mark.parametrize("name", ["SRC-16.files", "SNK-9.files", "SRC-23"])
+def test_files_of_pages(spark, tmp_path, name):
+    """Repeated page_ids and none are files of their own, as in the SQL; tasks are far fewer than files."""
+    rows = [(i, f"u{i}", f"<p>\u00e9 {i}\n</p>" * (i % 7)) for i in range(400)] + [(7, "u", "again"), (7, "u", "<p>"), (None, "u", "no id")]
+    pages = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(pages)
+    want = duckdb.sql(entry.oracle_sql()[name].replace("FROM pages", f"FROM '{pages}/*.parquet'")).fetchall()
+    tracker, group = spark.sparkContext.statusTracker(), f"files {name}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = entry.queries()[name](spark, str(tmp_path)).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+    assert 0 < sum(s.numTasks for s in stages if s) < 50
+
+
 def test_checksums_by_ranges(spark, tmp_path):
     """Lengths around the ranges' ends; no turn reads more of a file than a range, and a file is read once."""
     from meridia import sources
